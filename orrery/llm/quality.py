@@ -1,16 +1,17 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote good, bad or nothing on each document.
-Expectation-maximisation over the counts of vote patterns, which cover all documents
-and are bounded by the number of patterns, estimates each labeller's accuracies and a
-posterior for each pattern. The posteriors label a sample of documents, and a linear
+Overlapping heuristic labellers vote good, bad or nothing on each document; a labeller
+knows one kind of badness. Expectation-maximisation over the counts of vote patterns,
+which cover all documents and are bounded by the number of patterns, estimates each
+labeller's accuracies on good documents and on each kind of bad ones, and a posterior for
+each pattern. The posteriors label a sample of documents, and a linear
 scorer over hashed words and word shapes learns from them; it then scores every
 document over its whole text.
 
 The sample that fits the scorer is bounded by ``sample`` (default 3,000 documents, the
 smallest by a hash of the id); all else covers all rows.
 
-Edge cases: null and empty texts get no votes and the score of the empty text; texts of
+Edge cases: null, empty and very short texts get no votes, and the score of their words; texts of
 any length are scored whole; repeated rows give repeated rows; an empty table gives an
 empty result; other columns are not looked at.
 """
@@ -53,30 +54,31 @@ def measures(text: str, words: list[str]) -> tuple[float, ...]:
         len(set(words)) / k,
         short / k,
         letters / k,
-        len(set(sentences)) / max(1, len(sentences)),
+        len(set(sentences)) / len(sentences) if sentences else 0.6,
         (counts[ord("|")] + counts[ord("!")]) / k,
     )
 
 
-#: Each labeller: its measure, where it votes good, where it votes bad.
+#: Each labeller: its measure, its kind of badness, where it votes good, where it votes bad.
 LABELLERS = (
-    ("symbols", 0, lambda x: x < 0.01, lambda x: x > 0.04),
-    ("shouting", 1, lambda x: x < 0.15, lambda x: x > 0.5),
-    ("stutter", 2, lambda x: x < 0.02, lambda x: x > 0.2),
-    ("variety", 3, lambda x: x > 0.5, lambda x: x < 0.2),
-    ("short words", 4, lambda x: x > 0.18, lambda x: x < 0.08),
-    ("word length", 5, lambda x: 3.0 < x < 7.0, lambda x: x > 9.0),
-    ("sentences", 6, lambda x: x > 0.8, lambda x: x < 0.5),
-    ("marks", 7, lambda x: x < 0.1, lambda x: x > 0.4),
+    ("symbols", 0, 0, lambda x: x < 0.01, lambda x: x > 0.04),
+    ("marks", 7, 0, lambda x: x < 0.1, lambda x: x > 0.4),
+    ("shouting", 1, 1, lambda x: x < 0.15, lambda x: x > 0.5),
+    ("stutter", 2, 2, lambda x: x < 0.02, lambda x: x > 0.2),
+    ("variety", 3, 2, lambda x: x > 0.5, lambda x: x < 0.2),
+    ("sentences", 6, 2, lambda x: x > 0.8, lambda x: x < 0.5),
+    ("short words", 4, 3, lambda x: x > 0.18, lambda x: x < 0.08),
+    ("word length", 5, 3, lambda x: 3.0 < x < 7.0, lambda x: x > 9.0),
 )
+KINDS, FALSE_ALARMS, FEW_WORDS = 4, 0.005, 20
 
 
 def votes(text: str, words: list[str]) -> int:
-    """The vote pattern as a number in base 3; texts without words get no vote at all."""
-    if not words:
+    """The vote pattern as a number in base 3; texts of fewer words than FEW_WORDS get no vote at all."""
+    if len(words) < FEW_WORDS:
         return 3 ** len(LABELLERS) - 1
     m, out = measures(text, words), 0
-    for _, k, good, bad in LABELLERS:
+    for _, k, _, good, bad in LABELLERS:
         out = 3 * out + (GOOD if good(m[k]) else BAD if bad(m[k]) else NONE)
     return out
 
@@ -86,22 +88,32 @@ def patterns(codes: np.ndarray) -> np.ndarray:
 
 
 def posteriors(codes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """P(bad | pattern), and each labeller's P(vote | class), by expectation-maximisation."""
+    """P(bad | pattern), and P(vote | class) of each labeller, by expectation-maximisation.
+
+    The classes are good and one for each kind of badness. A pattern can be bad in a kind
+    only if a labeller of that kind says so, and on good documents a labeller is taken to
+    raise at most FALSE_ALARMS; what it in fact raises, and misses, is estimated.
+    """
     seen = patterns(codes)
-    bad = np.clip((seen == BAD).sum(1) - 0.5 * (seen == GOOD).sum(1), -3, 3)
-    chance = 1 / (1 + np.exp(-1.5 * bad))
+    of = np.array([kind for _, _, kind, _, _ in LABELLERS])
+    raised = np.stack([(seen[:, of == k] == BAD).sum(1) for k in range(KINDS)], 1)
+    share = np.concatenate([np.full((len(seen), 1), 0.5), raised], 1) * np.concatenate([np.ones((len(seen), 1)), raised > 0], 1)
+    share /= share.sum(1, keepdims=True)
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - chance), counts * chance])
-        prior = (weight.sum(1) + 1) / (weight.sum() + 2)
+        weight = (share * counts[:, None]).T
+        prior = (weight.sum(1) + 1) / (weight.sum() + len(weight))
         tables = np.stack([[np.bincount(seen[:, j], w, 3) + 0.1 for j in range(seen.shape[1])] for w in weight])
         tables /= tables.sum(2, keepdims=True)
+        tables[0, :, BAD] = np.minimum(tables[0, :, BAD], FALSE_ALARMS)
         worth = np.log(prior)[:, None] + sum(np.log(tables[:, j])[:, seen[:, j]] for j in range(seen.shape[1]))
-        chance = 1 / (1 + np.exp(np.clip(worth[0] - worth[1], -50, 50)))
-    return chance, tables
+        worth[1:][(raised == 0).T] = -np.inf
+        share = np.exp(worth - worth.max(0)).T
+        share /= share.sum(1, keepdims=True)
+    return 1 - share[:, 0], tables
 
 
 class Hashed:
-    """Hashed counts of words and word shapes, as a unit vector and a constant."""
+    """Hashed counts of words and word shapes as a vector whose length tells how sure they are, repeats, and a constant."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
@@ -125,7 +137,8 @@ class Hashed:
             ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         again = (np.diff(ids) == 0).sum() if len(ids) else 0
         x = np.bincount(np.concatenate([ids & 0xFFFF, ids >> 16]), minlength=WIDTH).astype(np.float64)
-        return np.concatenate([x / max(1.0, np.sqrt(x @ x)), [again / max(1, len(words)), 1.0]])
+        sure = len(words) / (len(words) + 8)  # a few words say little
+        return np.concatenate([x * sure / max(1.0, np.sqrt(x @ x)), [again / max(1, len(words)), 1.0]])
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> np.ndarray:
@@ -184,7 +197,7 @@ def train(docs: DataFrame, sample: int = 3_000, id_col: str = "doc_id", text_col
     seen = rows.mapInPandas(_voted, "doc_id long, pattern int").groupBy("pattern").count().toPandas()
     codes, counts = seen["pattern"].to_numpy(np.int64), seen["count"].to_numpy(np.float64)
     if not len(codes):
-        return Classifier(np.zeros(WIDTH + 2), {}, np.zeros((2, len(LABELLERS), 3)))
+        return Classifier(np.zeros(WIDTH + 2), {}, np.zeros((1 + KINDS, len(LABELLERS), 3)))
     chance, tables = posteriors(codes, counts)
     by = dict(zip(codes.tolist(), chance.tolist(), strict=True))
     # A hash threshold with room to spare, then exactly the smallest hashes.
