@@ -71,6 +71,9 @@ LABELLERS = (
     ("word length", 5, 3, lambda x: 3.0 < x < 7.0, lambda x: x > 9.0),
 )
 KINDS, FALSE_ALARMS, FEW_WORDS = 4, 0.005, 20
+#: The fit weighs both classes alike though most documents are good, so rejection asks for more than a half.
+REJECT = 0.75
+WORST = float(np.log(REJECT / (1 - REJECT)))
 
 
 def votes(text: str, words: list[str]) -> int:
@@ -113,7 +116,7 @@ def posteriors(codes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple
 
 
 class Hashed:
-    """Hashed counts of words and word shapes as a vector whose length tells how sure they are, repeats, and a constant."""
+    """Hashed counts of words and word shapes as a unit vector, the share of repeats, and a constant."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
@@ -137,8 +140,7 @@ class Hashed:
             ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         again = (np.diff(ids) == 0).sum() if len(ids) else 0
         x = np.bincount(np.concatenate([ids & 0xFFFF, ids >> 16]), minlength=WIDTH).astype(np.float64)
-        sure = len(words) / (len(words) + 8)  # a few words say little
-        return np.concatenate([x * sure / max(1.0, np.sqrt(x @ x)), [again / max(1, len(words)), 1.0]])
+        return np.concatenate([x / max(1.0, np.sqrt(x @ x)), [again / max(1, len(words)), 1.0]])
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> np.ndarray:
@@ -175,7 +177,7 @@ def _scored(weights: np.ndarray, chance: dict[int, float]):
             score = np.array([hashed(w) @ weights for w in words])
             bad = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
             weak = [chance.get(votes(t, w), 0.5) for t, w in zip(batch["text"], words, strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "p_bad_weak": weak, "p_bad": bad, "kept": bad < 0.5})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "p_bad_weak": weak, "p_bad": bad, "kept": bad < REJECT})
 
     return run
 
@@ -224,6 +226,6 @@ def keep_good(docs: DataFrame, model: Classifier | None = None, id_col: str = "d
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
         hashed = Hashed()
-        return pd.Series([bool(hashed((t or "").split()) @ weights < 0) for t in texts])
+        return pd.Series([bool(hashed((t or "").split()) @ weights < WORST) for t in texts])
 
     return docs.filter(good(F.col(f"`{text_col}`")))
