@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import importlib
 
-def queries():
-    return {}
+from .registry import ORACLES, QUERIES, Query
 
+MODULES = (
+    "plans.track_metrics",
+    "operators.windows",
+    "operators.ordering",
+)
 
-def oracles():
-    return {}
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f".{name}", __package__)
+
+
+def queries() -> dict[str, Query]:
+    load()
+    return dict(QUERIES)
+
+
+def oracles() -> dict[str, str]:
+    load()
+    return dict(ORACLES)
