@@ -10,6 +10,7 @@ MODULES = (
     "plans.track_metrics",
     "operators.windows",
     "operators.ordering",
+    "operators.aggregates",
 )
 
 
