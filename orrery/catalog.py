@@ -11,6 +11,7 @@ MODULES = (
     "operators.windows",
     "operators.ordering",
     "operators.aggregates",
+    "operators.joins",
 )
 
 
