@@ -12,6 +12,13 @@ MODULES = (
     "operators.ordering",
     "operators.aggregates",
     "operators.joins",
+    "operators.selection",
+    "functions.scalars",
+    "functions.geometry",
+    "functions.udfs",
+    "plans.schedules",
+    "streaming.live",
+    "sources.files",
 )
 
 

@@ -58,8 +58,8 @@ def agg_upper_median(spark, sf_dir):
 def nearest_rank(rows: DataFrame, key: str, value: str, fraction: float) -> DataFrame:
     """``sorted[min(n - 1, max(0, int(n * f) - 1))]`` of each key."""
     w = Window.partitionBy(key)
-    n = rows.select(key, value, F.row_number().over(w.orderBy(value)).alias("k"), F.count("*").over(w).alias("n"))
-    return n.filter(F.col("k") == F.least(F.col("n"), F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(fraction))))).select(key, value)
+    n = rows.select(key, value, F.row_number().over(w.orderBy(value)).alias("__k"), F.count("*").over(w).alias("__n"))
+    return n.filter(F.col("__k") == F.least(F.col("__n"), F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(fraction))))).select(key, value)
 
 
 @query(f"WITH {RESIDUAL}, n AS (SELECT view, r, row_number() OVER (PARTITION BY view ORDER BY r) AS k, count(*) OVER (PARTITION BY view) AS n FROM residual) SELECT view, round(r, 6) AS p90 FROM n WHERE k = least(n, greatest(1, CAST(floor(n * CAST(0.9 AS DOUBLE)) AS BIGINT)))")
@@ -157,10 +157,10 @@ def agg_scene_loss_summary(spark, sf_dir):
     return scalars(spark, sf_dir).groupBy((F.col("step") % 10).alias("scene")).agg(F.count(v).alias("n"), r6(F.median(v)).alias("median"), r6(F.percentile(v, 0.9)).alias("p90"))
 
 
-@query(f"WITH {METRICS} SELECT method, dataset, round(avg(value) FILTER (WHERE metric = 'F'), 6) AS F, round(avg(value) FILTER (WHERE metric = 'O'), 6) AS O, round(avg(value) FILTER (WHERE metric = 'P'), 6) AS P FROM metrics GROUP BY method, dataset")
+@query(f"WITH {METRICS} SELECT method, dataset, round(sum(value) FILTER (WHERE metric = 'F'), 4) AS F, round(sum(value) FILTER (WHERE metric = 'O'), 4) AS O, round(sum(value) FILTER (WHERE metric = 'P'), 4) AS P FROM metrics GROUP BY method, dataset")
 def agg_pivot_methods(spark, sf_dir):
-    p = metrics(spark, sf_dir).groupBy("method", "dataset").pivot("metric", ["F", "O", "P"]).agg(F.avg("value"))
-    return p.select("method", "dataset", *[r6(c).alias(c) for c in ("F", "O", "P")])
+    p = metrics(spark, sf_dir).groupBy("method", "dataset").pivot("metric", ["F", "O", "P"]).agg(F.sum("value"))
+    return p.select("method", "dataset", *[F.round(c, 4).alias(c) for c in ("F", "O", "P")])
 
 
 @query("SELECT l_orderkey AS sample, coalesce(max(l_quantity) FILTER (WHERE l_linenumber = 1), -1) AS rgb, coalesce(max(l_quantity) FILTER (WHERE l_linenumber = 2), -1) AS depth, coalesce(max(l_quantity) FILTER (WHERE l_linenumber = 7), -1) AS mask FROM lineitem GROUP BY l_orderkey")

@@ -61,7 +61,7 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, clamped to [-1, 1]; null if either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), norm)))
+    return F.when(norm > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), norm))))
 
 
 COS = "greatest(-1, least(1, list_dot_product(a.f, b.f) / nullif(sqrt(list_dot_product(a.f, a.f)) * sqrt(list_dot_product(b.f, b.f)), 0)))"

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..registry import query, r6
 from ..sources.views import FOLLOWED, SCALARS, TRACK_OBS, followed, hashed, hashed_sql, scalars, table, track_obs
 
-BY_TRACK = Window.partitionBy("track").orderBy("frame")
+def by_track():
+    return Window.partitionBy("track").orderBy("frame")
 
 
 @query(f"WITH {TRACK_OBS} SELECT track, min(frame) FILTER (WHERE vis) AS first_visible FROM track_obs GROUP BY track")
@@ -71,7 +72,7 @@ def win_first_frame_gate(spark, sf_dir):
 SELECT track, round(avg(abs(v) * 30) FILTER (WHERE ok1), 4) AS speed, round(avg(abs(a) * 900) FILTER (WHERE ok2), 4) AS acceleration, round(avg(abs(j) * 27000) FILTER (WHERE ok3), 3) AS jerk FROM d GROUP BY track""")
 def win_derivatives(spark, sf_dir):
     """Mean speed, acceleration and jerk at 30 frames a second, each over runs of visible frames."""
-    lag = lambda c, k: F.lag(c, k).over(BY_TRACK)
+    lag = lambda c, k: F.lag(c, k).over(by_track())
     seen = lambda n: F.lit(True) if n < 0 else (F.col("vis") if n == 0 else lag("vis", n)) & seen(n - 1)
     d = track_obs(spark, sf_dir).select(
         "track",
@@ -85,7 +86,7 @@ def win_derivatives(spark, sf_dir):
 @query(f"""WITH {TRACK_OBS}, d AS (SELECT track, vis <> lag(vis) OVER (PARTITION BY track ORDER BY frame) AS flip FROM track_obs)
 SELECT track, round(count(*) FILTER (WHERE flip) / nullif(count(flip), 0), 6) AS rate FROM d GROUP BY track""")
 def win_transition_rate(spark, sf_dir):
-    d = track_obs(spark, sf_dir).withColumn("flip", F.col("vis") != F.lag("vis").over(BY_TRACK))
+    d = track_obs(spark, sf_dir).withColumn("flip", F.col("vis") != F.lag("vis").over(by_track()))
     return d.groupBy("track").agg(r6(F.try_divide(F.count_if("flip"), F.count("flip"))).alias("rate"))
 
 
@@ -113,7 +114,7 @@ def win_cumulative_distinct(spark, sf_dir):
 SELECT track, CAST(done // 4 + 1 AS BIGINT) AS step, count(*) FILTER (WHERE vis) AS accepted, count(*) FILTER (WHERE NOT vis) AS failed FROM s GROUP BY track, CAST(done // 4 + 1 AS BIGINT)""")
 def win_microbatch_steps(spark, sf_dir):
     """Every four accepted samples make a step; failures count to the step that is open."""
-    done = F.sum(F.col("vis").cast("int")).over(BY_TRACK) - F.col("vis").cast("int")
+    done = F.sum(F.col("vis").cast("int")).over(by_track()) - F.col("vis").cast("int")
     s = track_obs(spark, sf_dir).withColumn("step", (F.floor(done / 4) + 1).cast("long"))
     return s.groupBy("track", "step").agg(F.count_if("vis").alias("accepted"), F.count_if(~F.col("vis")).alias("failed"))
 
@@ -176,8 +177,8 @@ b AS (SELECT *, last_value(CASE WHEN known IS NOT NULL THEN frame END IGNORE NUL
 SELECT track, frame, round(CASE WHEN f1 IS NULL OR f0 = f1 THEN v0 ELSE v0 + (v1 - v0) * (frame - f0) / (f1 - f0) END, 6) AS value FROM b""")
 def win_interpolate(spark, sf_dir):
     """Linear between the known frames, the last known value beyond them."""
-    lo = BY_TRACK.rowsBetween(Window.unboundedPreceding, 0)
-    hi = BY_TRACK.rowsBetween(0, Window.unboundedFollowing)
+    lo = by_track().rowsBetween(Window.unboundedPreceding, 0)
+    hi = by_track().rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col("frame") % 4 == 0, F.col("x"))
     at = F.when(known.isNotNull(), F.col("frame"))
     b = track_obs(spark, sf_dir).select("track", "frame", F.last(at, True).over(lo).alias("f0"), F.last(known, True).over(lo).alias("v0"), F.first(at, True).over(hi).alias("f1"), F.first(known, True).over(hi).alias("v1"))
@@ -188,7 +189,7 @@ def win_interpolate(spark, sf_dir):
 @query(f"""WITH {TRACK_OBS} SELECT track, frame, max(abs(x - px)) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) < 25 AS background FROM track_obs""")
 def win_max_filter(spark, sf_dir):
     """Background where the largest difference of five frames stays below a limit."""
-    w = BY_TRACK.rowsBetween(-2, 2)
+    w = by_track().rowsBetween(-2, 2)
     return track_obs(spark, sf_dir).select("track", "frame", (F.max(F.abs(F.col("x") - F.col("px"))).over(w) < 25).alias("background"))
 
 
@@ -274,7 +275,7 @@ def win_global_sample_index(spark, sf_dir):
 @query(f"WITH {TRACK_OBS}, s AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY frame) - 1 AS n FROM track_obs WHERE vis) SELECT track, frame, x FROM s WHERE n BETWEEN 4 AND 40 AND n % 3 = 1")
 def win_strided_slice(spark, sf_dir):
     """Rows 4 to 40 of the visible frames, every third."""
-    n = F.row_number().over(BY_TRACK) - 1
+    n = F.row_number().over(by_track()) - 1
     return track_obs(spark, sf_dir).filter("vis").withColumn("n", n).filter("n BETWEEN 4 AND 40 AND n % 3 = 1").select("track", "frame", "x")
 
 
@@ -287,7 +288,7 @@ def win_bounded_history(spark, sf_dir):
 @query(f"""WITH {TRACK_OBS} SELECT track, frame, last_value(CASE WHEN view = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sample FROM track_obs""")
 def win_attach_last_open(spark, sf_dir):
     """Each line belongs to the last line before it that opened a sample."""
-    w = BY_TRACK.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_track().rowsBetween(Window.unboundedPreceding, 0)
     return track_obs(spark, sf_dir).select("track", "frame", F.last(F.when(F.col("view") == 0, F.col("event_id")), True).over(w).alias("sample"))
 
 
