@@ -124,15 +124,17 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A long metric table: ``dataset, method, sequence, metric, value``, of two methods."""
     o = table(spark, sf_dir, "orders")
     base = o.groupBy(F.col("o_orderpriority").alias("dataset"), (F.col("o_custkey") % 20).alias("sequence"), F.col("o_orderstatus").alias("metric")).agg(
-        F.round(F.avg("o_totalprice") / 1000, 4).alias("value")
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.count("*").alias("n")
     )
+    # Whole numbers until the last step: four decimals without ties to round.
+    base = base.select("dataset", "sequence", "metric", (F.floor(F.col("cents") / F.col("n") / 10) / 10000.0).alias("value"))
     moved = F.round(F.col("value") + hashed("cand", F.concat_ws("-", "dataset", "sequence", "metric")) - 0.4, 4)
     one = base.withColumn("method", F.lit("original"))
     return one.unionByName(base.withColumn("value", moved).withColumn("method", F.lit("candidate"))).select("dataset", "method", "sequence", "metric", "value")
 
 
 METRICS = f"""base_metric AS (
-    SELECT o_orderpriority AS dataset, o_custkey % 20 AS sequence, o_orderstatus AS metric, round(avg(o_totalprice) / 1000, 4) AS value
+    SELECT o_orderpriority AS dataset, o_custkey % 20 AS sequence, o_orderstatus AS metric, floor(CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 10) / CAST(10000 AS DOUBLE) AS value
     FROM orders GROUP BY ALL
 ), metrics AS (
     SELECT dataset, 'original' AS method, sequence, metric, value FROM base_metric
