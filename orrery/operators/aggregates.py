@@ -70,18 +70,21 @@ def agg_nearest_rank(spark, sf_dir):
 LEVELS = (0.5, 0.9, 0.95, 0.99, 0.999)
 
 
-def residual_summary(rows: DataFrame, *keys: str) -> DataFrame:
-    """Count, mean, RMSE, percentiles, largest, share within 0.05 of |r|, and signed percentiles."""
-    a = F.abs("r")
-    return rows.groupBy(*keys).agg(*summary_columns(a))
-
+def residual_summary(grouped, *keys: str) -> DataFrame:
+    """Count, mean, RMSE, percentiles, largest, share within 0.05 of |r|, and signed percentiles, of grouped rows.
 
-def summary_columns(a: Column) -> list[Column]:
-    return [
-        F.count("r").alias("n"), r6(F.avg(a)).alias("mean"), r6(F.sqrt(F.avg(F.col("r") * F.col("r")))).alias("rmse"),
-        *[r6(F.percentile(a, p)).alias(f"p{str(p)[2:].ljust(2, '0')}") for p in LEVELS],
-        r6(F.max(a)).alias("largest"), r6(F.avg((a <= 0.05).cast("double"))).alias("within"), r6(F.percentile("r", 0.01)).alias("signed_p01"), r6(F.percentile("r", 0.5)).alias("signed_p50"),
-    ]
+    All levels of a percentile come from one buffer of the group's values.
+    """
+    a = F.abs("r")
+    found = grouped.agg(
+        *([F.grouping_id().cast("long").alias("grain")] if "grain" in keys else []),
+        F.count("r").alias("n"), r6(F.avg(a)).alias("mean"), r6(F.sqrt(F.avg(F.col("r") * F.col("r")))).alias("rmse"), F.percentile(a, F.array(*map(F.lit, LEVELS))).alias("of_size"),
+        r6(F.max(a)).alias("largest"), r6(F.avg((a <= 0.05).cast("double"))).alias("within"), F.percentile("r", F.array(F.lit(0.01), F.lit(0.5))).alias("of_r"),
+    )
+    at = lambda c, k, name: r6(F.element_at(c, k)).alias(name)
+    return found.select(
+        *keys, "n", "mean", "rmse", *[at("of_size", k + 1, f"p{str(p)[2:].ljust(2, '0')}") for k, p in enumerate(LEVELS)], "largest", "within", at("of_r", 1, "signed_p01"), at("of_r", 2, "signed_p50")
+    )
 
 
 SUMMARY = ", ".join(
@@ -93,7 +96,7 @@ SUMMARY = ", ".join(
 
 @query(f"WITH {RESIDUAL} SELECT layout, mode, {SUMMARY} FROM residual GROUP BY layout, mode")
 def agg_residual_summary(spark, sf_dir):
-    return residual_summary(residual(spark, sf_dir), "layout", "mode")
+    return residual_summary(residual(spark, sf_dir).groupBy("layout", "mode"), "layout", "mode")
 
 
 @query(f"WITH {RESIDUAL} SELECT layout, mode, view, CAST(grouping(layout, mode, view) AS BIGINT) AS grain, {SUMMARY} FROM residual GROUP BY GROUPING SETS ((layout, mode), (view, mode), ())")
@@ -101,7 +104,7 @@ def agg_grouping_sets_summary(spark, sf_dir):
     """The same summary at several grains in one pass."""
     rows, c = residual(spark, sf_dir), F.col
     grouped = rows.groupingSets([[c("layout"), c("mode")], [c("view"), c("mode")], []], c("layout"), c("mode"), c("view"))
-    return grouped.agg(F.grouping_id().cast("long").alias("grain"), *summary_columns(F.abs("r")))
+    return residual_summary(grouped, "layout", "mode", "view", "grain")
 
 
 @query(f"WITH {RESIDUAL}, o AS (SELECT layout, view - 4 AS off, avg(abs(r)) AS v FROM residual GROUP BY layout, view) SELECT layout, arg_min(off, struct_pack(a := round(v, 6), b := abs(off), c := off)) AS best FROM o GROUP BY layout")

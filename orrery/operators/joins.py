@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query, r6
 from ..sources.views import FOLLOWED, POINTS, SCALARS, TRACK_OBS, followed, points, scalars, table, track_obs
+from .components import components
 from .windows import around, cells
 
 SMALL_SIDE_ROWS = 10_000
@@ -249,33 +250,25 @@ def join_bilinear(spark, sf_dir):
     return s.join(g, ["cx", "cy"]).groupBy("ax", "ay").agg(r6(F.sum(F.col("w") * F.col("depth")) / F.sum("w")).alias("value")).withColumnsRenamed({"ax": "cx", "ay": "cy"})
 
 
-def eps_components(rows: DataFrame, eps: float, rounds: int = 30) -> DataFrame:
+def eps_components(rows: DataFrame, eps: float) -> DataFrame:
     """``id, component``: connected components of points closer than ``eps``, by their smallest id.
 
-    Points meet in grid cells of width eps: each goes to the nine cells around it, others to
-    their own. Labels then move along edges until none changes; lineage is cut each round.
+    Points meet in grid cells of width eps: each goes to the cells around it, others to their
+    own. A point without a close one is its own component.
     """
     cell = lambda c: F.floor(F.col(c) / eps).cast("long")
-    p = rows.select("id", "x", "y", "z", cell("x").alias("cx"), cell("y").alias("cy"))
-    shift = F.array(*map(F.lit, (-1, 0, 1)))
-    q = p.withColumn("dx", F.explode(shift)).withColumn("dy", F.explode(shift)).select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    d = (F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 + (F.col("z") - F.col("oz")) ** 2
-    edges = p.join(q, ["cx", "cy"]).filter((d <= eps * eps) & (F.col("id") != F.col("other"))).select("id", "other").checkpoint()
-    labels = rows.select("id", F.col("id").alias("component"))
-    for _ in range(rounds):
-        near = edges.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("least"))
-        new = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("least", "component")).alias("component"), F.coalesce(F.col("least") < F.col("component"), F.lit(False)).alias("moved")).checkpoint()
-        labels = new.drop("moved")
-        if new.filter("moved").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    p = rows.select("id", "x", "y", "z", *[cell(c).alias(f"c{c}") for c in "xyz"])
+    shift = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    q = p.withColumn("dx", shift).withColumn("dy", shift).withColumn("dz", shift)
+    q = q.select(F.col("id").alias("u"), *[F.col(c).alias(f"o{c}") for c in "xyz"], *[(F.col(f"c{c}") + F.col(f"d{c}")).alias(f"c{c}") for c in "xyz"])
+    d = sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz")
+    edges = p.join(q, ["cx", "cy", "cz"]).filter((d <= eps * eps) & (F.col("id") > F.col("u"))).select("u", F.col("id").alias("v"))
+    found = components(edges)
+    return rows.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 @query(f"""WITH RECURSIVE {POINTS}, e AS (SELECT a.id AS a, b.id AS b FROM points a JOIN points b ON a.id <> b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 0.03::DOUBLE * 0.03::DOUBLE),
 reach AS (SELECT id AS a, id AS b FROM points UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b) SELECT a AS id, min(b) AS component FROM reach GROUP BY a""")
 def graph_eps_components(spark, sf_dir):
     """Near copies of points: components of the graph of close pairs."""
-    from ..sources.checkpoints import ready
-
-    ready(spark)
     return eps_components(points(spark, sf_dir), 0.03)
