@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import CAMERAS, SQL_PROJECT, bounded_broadcast, cameras, cosine, project
 from ..registry import query, r6
-from ..sources.views import POINTS, TRACK_OBS, points, table, track_obs
+from ..sources.views import POINTS, TRACK_OBS, hashed, hashed_sql, points, table, track_obs
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -179,3 +179,15 @@ def arr_explode_join(spark, sf_dir):
     a = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("archive")).agg(F.collect_list("n_nationkey").alias("members"))
     m = bounded_broadcast(a.select("archive", F.explode("members").alias("c_nationkey")))
     return table(spark, sf_dir, "customer").join(m, "c_nationkey").groupBy("archive").agg(F.count("*").alias("customers"))
+
+
+def camera_noise(key: str, salt: str, spread: float) -> Column:
+    """A normal number that a key and a salt settle, by Box and Muller's transform of two hashes."""
+    one, two = hashed(f"{salt}a", key), hashed(f"{salt}b", key)
+    return F.lit(spread) * F.sqrt(-2 * F.log((one * 10000 + 1) / 10001)) * F.cos(2 * F.pi() * two)
+
+
+@query(f"""WITH {CAMERAS} SELECT view, round(f + 5::DOUBLE * sqrt(-2 * ln(({hashed_sql("focala", "view")} * 10000 + 1) / 10001)) * cos(2 * pi() * {hashed_sql("focalb", "view")}), 6) AS f FROM cameras""")
+def mat_camera_noise(spark, sf_dir):
+    """Focal lengths with Gaussian noise of five pixels."""
+    return cameras(spark, sf_dir).select("view", r6(F.col("f") + camera_noise("view", "focal", 5.0)).alias("f"))

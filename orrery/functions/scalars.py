@@ -99,6 +99,11 @@ def str_quartet_parse(spark, sf_dir):
     return t.filter(F.size("w") >= 4 * F.col("entry") + 4).select("doc_id", "entry", at(1).alias("ext"), at(2).alias("off"), at(4).alias("name"))
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
+def str_utc_iso(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
+
+
 @query("""SELECT o_orderkey, o_orderstatus AS status, round(o_totalprice, 2) AS price FROM orders""")
 def json_roundtrip(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))).alias("j"))

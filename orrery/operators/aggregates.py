@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, r6
+from .quantiles import exact_quantiles
 from ..sources.views import (
     FOLLOWED, METRICS, POINTS, RESIDUAL, SCALARS, TRACK_OBS, followed, hashed, hashed_sql, metrics, points, residual, scalars, table, track_obs,
 )
@@ -319,7 +320,9 @@ SELECT count(*) AS n, round(avg(abs(best)), 6) AS best_mean, round(quantile_cont
 def agg_residual_distribution(spark, sf_dir):
     """Residuals at the nearest place and at the best of its neighbourhood."""
     b = residual(spark, sf_dir).groupBy("ordinal").agg(F.min_by("r", F.abs("r")).alias("best"), F.max(F.when(F.col("view") == 1, F.col("r"))).alias("nearest"))
-    return b.agg(F.count("*").alias("n"), r6(F.avg(F.abs("best"))).alias("best_mean"), r6(F.percentile(F.abs("best"), 0.95)).alias("best_p95"), r6(F.avg(F.abs("nearest"))).alias("nearest_mean"), r6(F.max(F.abs("nearest"))).alias("nearest_max"))
+    p95 = exact_quantiles(b.select(F.abs("best").alias("a")), [], "a", [0.95]).select(r6("quantile").alias("best_p95"))
+    whole = b.agg(F.count("*").alias("n"), r6(F.avg(F.abs("best"))).alias("best_mean"), r6(F.avg(F.abs("nearest"))).alias("nearest_mean"), r6(F.max(F.abs("nearest"))).alias("nearest_max"))
+    return whole.crossJoin(F.broadcast(p95))  # one row each
 
 
 @query(f"""WITH {POINTS}, c AS (SELECT batch, avg(x) AS cx, avg(y) AS cy, quantile_cont(z, 0.12) AS floor_z FROM points GROUP BY batch), d AS (SELECT batch, quantile_disc(sqrt((x - cx) ** 2 + (y - cy) ** 2), 0.5) AS m FROM points JOIN c USING (batch) GROUP BY batch)
@@ -394,7 +397,7 @@ def agg_collect_sorted(spark, sf_dir):
 def agg_percentile_threshold(spark, sf_dir):
     """Valid rows at or above a percentile of the valid ones; one number is joined back."""
     o = track_obs(spark, sf_dir).filter("vis")
-    limit = o.agg(F.percentile("x", 0.3).alias("limit"))
+    limit = exact_quantiles(o, [], "x", [0.3]).select(F.col("quantile").alias("limit"))
     return o.crossJoin(F.broadcast(limit)).filter("x >= limit AND x > 1e-5").groupBy("track").agg(F.count("*").alias("kept"))
 
 

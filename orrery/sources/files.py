@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tarfile
 import uuid
 from collections.abc import Iterator
 
@@ -81,6 +82,32 @@ def read_arrays(spark: SparkSession, path: str, shape: tuple[int, ...]) -> DataF
     return files.select("path", "content").mapInPandas(rows, "path string, i long, j long, value double")
 
 
+def read_tars(spark: SparkSession, path: str, batch_bytes: int = 32 << 20) -> DataFrame:
+    """Members of TAR shards as rows ``shard, position, scene, kind, name, bytes, content``.
+
+    A member's scene is its folder and its kind the last part of its name. A shard is one
+    task; its members leave in batches of about ``batch_bytes``.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["shard", "position", "scene", "kind", "name", "bytes", "content"]
+        for batch in batches:
+            for shard, content in zip(batch["path"], batch["content"], strict=True):
+                out, held = [], 0
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:") as tar:
+                    for k, member in enumerate(m for m in tar if m.isfile()):
+                        scene, _, base = member.name.rpartition("/")
+                        out.append((shard, k, scene, base.rpartition(".")[2], member.name, member.size, tar.extractfile(member).read()))
+                        held += member.size
+                        if held >= batch_bytes:
+                            yield pd.DataFrame(out, columns=names)
+                            out, held = [], 0
+                yield pd.DataFrame(out, columns=names)
+
+    shards = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path).select("path", "content")
+    return shards.mapInPandas(rows, "shard string, position long, scene string, kind string, name string, bytes long, content binary")
+
+
 def publish(df: DataFrame, path: str) -> bool:
     """Writes ``df`` beside ``path`` and renames it into place; False, and nothing written, if it is there."""
     spark = df.sparkSession

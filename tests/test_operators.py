@@ -1,12 +1,14 @@
 """Hand-computed cases, properties and odd inputs of the operators."""
 
+import io
 import json
+import tarfile
 
 import numpy as np
 import pandas as pd
 import pytest
 from orrery.functions import scalars, udfs
-from orrery.operators import aggregates, joins, ordering, windows
+from orrery.operators import aggregates, joins, ordering, quantiles, windows
 from orrery.plans import schedules, track_metrics
 from orrery.sources import checkpoints, files
 from pyspark.sql import functions as F
@@ -175,3 +177,24 @@ def test_global_index_runs_over_keys(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 1), ("c", 0)], "k string, o long")
     got = {(r.k, r.o): r.n for r in windows.global_index(df, "k", "o", "n").collect()}
     assert got == {("a", 1): 0, ("a", 2): 1, ("b", 1): 2, ("c", 0): 3}
+
+
+def test_tar_members_are_rows(spark, tmp_path):
+    with tarfile.open(tmp_path / "a.tar", "w") as tar:
+        for name, data in (("s1/meta.json", b"{}"), ("s1/view0.jpg", b"abc"), ("s2/meta.json", b"{ }")):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    got = files.read_tars(spark, str(tmp_path), batch_bytes=3).orderBy("position").collect()
+    assert [(r.position, r.scene, r.kind, r.bytes, bytes(r.content)) for r in got] == [(0, "s1", "json", 2, b"{}"), (1, "s1", "jpg", 3, b"abc"), (2, "s2", "json", 3, b"{ }")]
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_exact_quantiles_are_numpys(spark, keys):
+    r = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": r.integers(0, 3, 500), "v": np.where(r.random(500) < 0.4, 7.0, r.normal(size=500).round(2))})
+    df = spark.createDataFrame(pdf).union(spark.createDataFrame([(0, None), (9, 1.5)], "g long, v double"))
+    levels = [0.0, 0.12, 0.5, 0.9, 1.0]
+    got = {(x[keys[0]] if keys else 0, x.level): x.quantile for x in quantiles.exact_quantiles(df, keys, "v", levels).collect()}
+    groups = {int(g): p["v"] for g, p in pdf.groupby("g")} | {9: pd.Series([1.5])} if keys else {0: pd.concat([pdf["v"], pd.Series([1.5])])}
+    assert got == {(g, p): pytest.approx(np.quantile(v, p)) for g, v in groups.items() for p in levels}
