@@ -5,7 +5,7 @@ counts). The field reads word shapes: it is trained by gradient on a small label
 table, and decoded by Viterbi in numpy batches. Only words within ``REACH`` words of a
 digit or an at sign can bear a label, so its chains are the runs of such words; all
 other words of a text are outside by definition. Spans of the field that touch no base
-span are added, base spans always stay.
+span, and could be of their kind, are added; base spans always stay.
 
 Patterns are written so that no text, however long or uniform, costs more than linear
 time. Edge cases: null and empty texts have no spans; repeated rows give repeated rows;
@@ -111,7 +111,7 @@ def labelled_table(rows: int = 300, seed: int = 7) -> list[list[tuple[str, str]]
 
     def one() -> list[tuple[str, str]]:
         t = tail()
-        at = f"{plain()}.{digits(2)}{r.choice(['[at]', '(at)'])}{plain()}.{r.choice(['com', 'org'])}"
+        at = f"{plain()}.{digits(2)}{r.choice(['[at]', '(at)'])}{plain()}{r.choice(['', '.example'])}.{r.choice(['com', 'org'])}"
         return r.choice([
             lambda: [(f"{plain()}.{digits(2)}@{plain()}.example.com{t}", "B-email")],
             lambda: [(at + t, "B-email")],
@@ -313,6 +313,23 @@ def found_spans(text: str, runs: list[list[tuple[int, int]]], labels: list[np.nd
     return [s for s in out if s[1] < s[2]]
 
 
+AT = re.compile(r"[^\s@]+(?:@|[\[(]at[\])])[^\s@]+\.[^\s@]+")
+NUMBER = re.compile(r"\+?[0-9 ().-]+")
+
+
+def plausible(kind: str, said: str) -> bool:
+    """What a span must hold at least to be of its kind; the field proposes, this disposes."""
+    digits = sum(c.isdigit() for c in said)
+    if kind == "email":
+        return AT.fullmatch(said) is not None
+    if NUMBER.fullmatch(said) is None:
+        return False
+    if kind == "ip":
+        parts = said.split(".")
+        return len(parts) == 4 and all(p.isdigit() for p in parts) and octets(parts)
+    return 14 <= digits <= 19 if kind == "card" else 7 <= digits <= 15
+
+
 def detect(texts: list[str], field: Field) -> Iterator[tuple[list[Span], list[Span]]]:
     """For each text its base spans and the spans that the field adds."""
     known: dict[str, tuple[int, ...]] = {}
@@ -332,7 +349,7 @@ def detect(texts: list[str], field: Field) -> Iterator[tuple[list[Span], list[Sp
         base = base_spans(text)
         added = []
         for span in found_spans(text, mine, labels[at : at + len(mine)]) if mine else []:
-            if all(span[2] <= b[1] or b[2] <= span[1] for b in base):
+            if all(span[2] <= b[1] or b[2] <= span[1] for b in base) and plausible(span[0], text[span[1] : span[2]]):
                 added.append(span)
         at += len(mine)
         yield base, added

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import filesystem
+from .shared import filesystem, rename_new
 
 
 @dataclass(frozen=True)
@@ -79,12 +79,12 @@ class ShardStore:
 
     def _commit(self, version: int, schema: str, shards: list[Shard]) -> None:
         """The whole manifest goes to a file of its own, which a rename without overwriting makes the version."""
-        fs, final = filesystem(self.spark, self._manifest(version))
-        _, draft = filesystem(self.spark, f"{self.root}/manifest/.draft-{uuid.uuid4().hex}")
+        name = f"{self.root}/manifest/.draft-{uuid.uuid4().hex}"
+        fs, draft = filesystem(self.spark, name)
         out = fs.create(draft, False)
         out.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
         out.close()
-        if fs.exists(final) or not fs.rename(draft, final):
+        if not rename_new(self.spark, name, self._manifest(version)):
             fs.delete(draft, False)
             raise Conflict(f"version {version} is there")
 

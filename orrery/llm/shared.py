@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,6 +37,21 @@ def filesystem(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a file to a name that must be free; False if it is taken. HDFS does this atomically."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    fs, where = filesystem(spark, target)
+    files = hadoop.FileContext.getFileContext(fs.getUri(), context._jsc.hadoopConfiguration())
+    try:
+        files.rename(hadoop.Path(source), where, context._gateway.new_array(hadoop.Options.Rename, 0))
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def discard(spark: SparkSession, path: str) -> None:
     fs, where = filesystem(spark, path)
     fs.delete(where, True)

@@ -158,6 +158,12 @@ def test_the_field_learns_held_out_rows():
     assert right / sum(map(len, held_out)) > 0.97
 
 
+def test_the_field_adds_what_the_patterns_miss():
+    text = "please write to anna.21[at]mail.example.com or call (555) 201-3344 soon, hash 3f9a0c12e4b7d6558899aabbccddeeff00112233 is not data"
+    base, added = next(pii.detect([text], pii.default_field()))
+    assert not base and [(k, text[a:b]) for k, a, b in added] == [("email", "anna.21[at]mail.example.com"), ("phone", "(555) 201-3344")]
+
+
 def test_redaction_hides_what_was_found(spark):
     df = spark.createDataFrame([(1, "mail me at jo.doe@mail.example.com or +1 (555) 010-2222 now")], "doc_id long, text string")
     assert pii.redact(df).first().text == "mail me at [EMAIL] or [PHONE] now"
