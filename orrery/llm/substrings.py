@@ -35,8 +35,9 @@ START = re.compile(r"(?<=[.!?])\s+(?=\S)")
 UNITS = "doc_id long, same_id long, unit int, start int, end int, words int, digest binary"
 
 
-def units(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """``start, end, words, digest`` of each unit that has ``min_words`` words or more."""
+def units(text: str, min_words: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """``number, start, end, words, digest`` of each unit that has ``min_words`` words or more; numbers count all units."""
+    number = -1
     for line in LINE.finditer(text):
         base, said = line.start(), line.group()
         cuts = [m.end() for m in START.finditer(said)]
@@ -46,19 +47,20 @@ def units(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
                 starts.append(at)
         for at, end in zip(starts, [*starts[1:], len(said)], strict=True):
             words = said[at:end].lower().split()
+            number += bool(words)
             if len(words) >= min_words:
                 body = said[at:end]
                 lead = len(body) - len(body.lstrip())
-                yield base + at + lead, base + at + len(body.rstrip()), len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+                yield number, base + at + lead, base + at + len(body.rstrip()), len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 
 def hashed(min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (doc, same, k, *unit)
+                (doc, same, *unit)
                 for doc, same, text in zip(batch["doc_id"], batch["same_id"], batch["text"], strict=True)
-                for k, unit in enumerate(units(text, min_words))
+                for unit in units(text, min_words)
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "same_id", "unit", "start", "end", "words", "digest"])
 

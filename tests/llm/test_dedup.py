@@ -132,7 +132,7 @@ def test_drop_near_copies_keeps_columns_and_one_of_each(corpus):
 def brute_repeats(rows, min_words):
     seen, out = {}, set()
     for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0)):
-        for start, end, _, digest in substrings.units(r.text or "", min_words):
+        for _, start, end, _, digest in substrings.units(r.text or "", min_words):
             if digest in seen:
                 out.add((r.doc_id, start, end))
             else:
@@ -142,9 +142,9 @@ def brute_repeats(rows, min_words):
 
 def test_units_cover_lines_and_sentences():
     text = "One two three four five. Six seven. Eight nine ten eleven twelve!\nShort line.\n  padded line with many words here  "
-    got = [text[a:b] for a, b, _, _ in substrings.units(text, 5)]
+    got = [text[a:b] for _, a, b, _, _ in substrings.units(text, 5)]
     assert got == ["One two three four five. Six seven.", "Eight nine ten eleven twelve!", "padded line with many words here"]
-    assert [w for _, _, w, _ in substrings.units(text, 5)] == [7, 5, 6]
+    assert [(n, w) for n, _, _, w, _ in substrings.units(text, 5)] == [(0, 7), (1, 5), (3, 6)]
 
 
 def test_repeats_match_brute_force(spark, corpus):
