@@ -52,7 +52,7 @@ def blocked(rows: DataFrame, count: int, name: str, block_rows: int) -> DataFram
     n = max(1, -(-count // block_rows))
     key = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name)
 
-    def run(key, batch: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("vec_id", kind="stable")
         matrix = np.stack([np.asarray(v, dtype=np.int64) for v in batch["v"]])
         if np.abs(matrix).max() < 1 << 15:
@@ -165,7 +165,7 @@ def exact_top_k(
         .agg(F.when(F.count("*") == k, F.min("score")).alias("cutoff"))
     )
     # One array of cutoffs a query block, in the order of the block's ids.
-    def cutoffs(key, blocks: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    def cutoffs(key: tuple, blocks: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         known = dict(zip(found["query_id"], found["cutoff"], strict=True))
         out = []
         for _, b in blocks.iterrows():
