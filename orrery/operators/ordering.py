@@ -61,9 +61,9 @@ def set_intersect(spark, sf_dir):
     return s.filter("tag = 'view'").select("step").intersect(s.filter("tag = 'error'").select("step"))
 
 
-@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set_except(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query(f"WITH {TRACK_OBS} SELECT DISTINCT track, view FROM track_obs")
@@ -89,13 +89,13 @@ def set_disjoint_check(spark, sf_dir):
     return s.filter("splits > 1")
 
 
-@query(f"""WITH {TRACK_OBS}, frames AS (SELECT DISTINCT view, frame // 3 AS f FROM track_obs), want AS (SELECT DISTINCT f FROM frames)
-SELECT v AS view, f, 'missing' AS problem FROM (SELECT unnest([0, 1, 2])::BIGINT AS v), want WHERE NOT EXISTS (SELECT 1 FROM frames x WHERE x.view = v AND x.f = want.f)""")
+@query(f"""WITH {TRACK_OBS}, frames AS (SELECT DISTINCT track, view, frame // 6 AS f FROM track_obs), want AS (SELECT DISTINCT track, f FROM frames)
+SELECT track, v AS view, f, 'missing' AS problem FROM (SELECT unnest([0, 1, 2])::BIGINT AS v), want WHERE NOT EXISTS (SELECT 1 FROM frames x WHERE x.track = want.track AND x.view = v AND x.f = want.f)""")
 def set_frames_match(spark, sf_dir):
-    """Frames that a view lacks of those that any view has."""
-    frames = track_obs(spark, sf_dir).select("view", F.floor(F.col("frame") / 3).cast("long").alias("f")).distinct()
-    every = frames.select("f").distinct().withColumn("view", F.explode(F.array(*[F.lit(v).cast("long") for v in range(3)])))
-    return every.select("view", "f").subtract(frames.select("view", "f")).withColumn("problem", F.lit("missing"))
+    """Frames that a view lacks of those that any view of its track has; none if the views match."""
+    frames = track_obs(spark, sf_dir).select("track", "view", F.floor(F.col("frame") / 6).cast("long").alias("f")).distinct()
+    every = frames.select("track", "f").distinct().withColumn("view", F.explode(F.array(*[F.lit(v).cast("long") for v in range(3)])))
+    return every.select("track", "view", "f").subtract(frames).withColumn("problem", F.lit("missing"))
 
 
 @query(f"""WITH {SPLITS}, want AS (SELECT DISTINCT family FROM splits WHERE split = 'train'), bad AS (SELECT DISTINCT family FROM splits WHERE family LIKE 'B%')
