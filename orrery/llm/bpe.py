@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIRST_LETTER = 0x100
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
 

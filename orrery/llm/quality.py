@@ -29,9 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import parts
+
 WIDTH = 1024
 GOOD, BAD, NONE = 0, 1, 2
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#$%&*+<=>@\\^_`{|}~!")] = True
 UPPER, LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -164,7 +166,7 @@ def _voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashed = Hashed()
-    for batch in batches:
+    for batch in parts(batches):
         words = [t.split() for t in batch["text"]]
         yield pd.DataFrame({"pattern": [votes(t, w) for t, w in zip(batch["text"], words, strict=True)], "x": [hashed(w).astype("<f4").tobytes() for w in words]})
 
@@ -172,7 +174,7 @@ def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _scored(weights: np.ndarray, chance: dict[int, float]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = Hashed()
-        for batch in batches:
+        for batch in parts(batches):
             words = [t.split() for t in batch["text"]]
             score = np.array([hashed(w) @ weights for w in words])
             bad = 1 / (1 + np.exp(-np.clip(score, -50, 50)))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def parts(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Arrow batches in parts of a few rows: what a worker makes of long texts stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder; a lost executor costs no recomputation of it."""
     shared_dir(df.sparkSession)
