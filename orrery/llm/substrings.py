@@ -2,12 +2,19 @@
 
 A unit is a line, and within a line a sentence: units start at a line's start and at
 sentences of at least ``min_words`` words, so that shorter sentences belong to the unit
-before them. A unit is normalised (lower case, single spaces) and hashed to 128 bits; the
+before them. A unit of two times ``min_words`` words or more is cut further before words whose
+hash is the smallest within ``min_words - 1`` words to both sides: these borders depend on the
+words around them alone, so that they lie alike in a passage that was pasted into a sentence.
+A unit is normalised (lower case, single spaces) and hashed to 128 bits; the
 digests are grouped over all documents. The occurrence ranked first, by id and then
 offset, stays; every other one is removed. Units of fewer than ``min_words`` words are
 never removed. Neighbouring removed units, and the white space between them, make one
 span, in code points of the original text.
 
+What is missed: the words of a pasted passage before its first border and after its last, where
+it does not start or end with a unit; lines and sentences of fewer than ``min_words`` words; and
+parts of runs that say the same few words over and over, which have no borders within.
+
 Digests are grouped by partial aggregation, and met again by a join on the digest whose
 hot keys Spark may split; no step gathers the occurrences of one unit.
 
@@ -21,6 +28,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
+from zlib import crc32
 
 import pandas as pd
 import xxhash
@@ -32,9 +41,22 @@ MIN_WORDS = 5
 LINE = re.compile(r"[^\n]+")
 #: Where a sentence may start: after an end mark and white space.
 START = re.compile(r"(?<=[.!?])\s+(?=\S)")
+WORD = re.compile(r"\S+")
 UNITS = "doc_id long, same_id long, unit int, start int, end int, words int, digest binary"
 
 
+def borders(words: list[str], least: int) -> Iterator[int]:
+    """Places in ``words`` before which a new unit starts, ``least`` words or more from each other and from both ends."""
+    if len(words) < 2 * least:
+        return
+    keys = [crc32(w.encode("utf-8", "surrogatepass")) for w in words]
+    for at in range(least, len(keys) - least + 1):
+        key = keys[at]
+        # Strict to the left only: of two equal keys that are near, neither or the first is a border.
+        if key < min(keys[at - least + 1 : at], default=key + 1) and key <= min(keys[at : at + least]):
+            yield at
+
+
 def units(text: str, min_words: int) -> Iterator[tuple[int, int, int, int, bytes]]:
     """``number, start, end, words, digest`` of each unit that has ``min_words`` words or more; numbers count all units."""
     number = -1
@@ -46,12 +68,14 @@ def units(text: str, min_words: int) -> Iterator[tuple[int, int, int, int, bytes
             if len(said[at:end].split()) >= min_words:
                 starts.append(at)
         for at, end in zip(starts, [*starts[1:], len(said)], strict=True):
-            words = said[at:end].lower().split()
-            number += bool(words)
-            if len(words) >= min_words:
-                body = said[at:end]
-                lead = len(body) - len(body.lstrip())
-                yield number, base + at + lead, base + at + len(body.rstrip()), len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+            body = said[at:end]
+            words = body.lower().split()
+            cuts = list(borders(words, min_words))
+            places = [m.span() for m in WORD.finditer(body)] if len(words) >= min_words else []
+            for a, b in pairwise([0, *cuts, len(words)]):
+                number += b > a
+                if b - a >= min_words:
+                    yield number, base + at + places[a][0], base + at + places[b - 1][1], b - a, xxhash.xxh3_128_digest(" ".join(words[a:b]).encode("utf-8", "surrogatepass"))
 
 
 def hashed(min_words: int):

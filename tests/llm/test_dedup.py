@@ -164,5 +164,23 @@ def test_spans_are_removed_and_the_first_stays(spark):
     assert substrings.remove_repeats(df).columns == df.columns
 
 
+def test_a_passage_pasted_into_sentences_is_found(spark, rand):
+    r = rand(3)
+    say = lambda n: " ".join("".join(r.choice("abcdefghiklmnoprst") for _ in range(7)) for _ in range(n))
+    passage = say(60)
+    texts = [f"{say(9)} {passage} {say(8)}.", f"{say(3)} {passage}. {say(2)}.", f"{say(40)} {passage} {say(40)}"]
+    spans = substrings.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for k in (1, 2):
+        [(start, end)] = [(s.start, s.end) for s in spans if s.doc_id == k]
+        assert texts[k][start:end] in passage and end - start > len(passage) / 2
+    assert {s.doc_id for s in spans} == {1, 2}
+
+
+def test_cut_units_join_to_the_whole_sentence(rand):
+    words = [rand(k).choice("abcdefgh") * 3 + str(k % 17) for k in range(200)]
+    got = list(substrings.units(" ".join(words), 5))
+    assert len(got) > 10 and min(w for *_, w, _ in got) >= 5 and sum(w for *_, w, _ in got) == 200
+
+
 def test_repeats_of_nothing(empty):
     assert substrings.repeated_spans(empty).count() == 0
