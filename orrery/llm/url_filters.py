@@ -1,10 +1,13 @@
 """URL filters: host and path rules first, trust carried over the host graph for the rest.
 
 Hosts are the nodes. Edges are the links that pages carry to other hosts, and both
-directions between a host and its parent host (``a.b.c`` and ``b.c``) where pages exist
-on both. Seeds come from the rules: a host is trusted by its share of allowed pages and
+directions between a host and its parent host (``a.b.c`` and ``b.c``), and so on upwards.
+Parents are nodes without pages too, so that sibling hosts meet in them; a parent of one
+label (``net``) only where it has pages, and numeric hosts have none. Seeds come from the rules: a host is trusted by its share of allowed pages and
 distrusted by its share of blocked ones. Personalised PageRank carries trust forward
-from the trusted seeds, and distrust against the edges from the blocked ones. A page
+from the trusted seeds, and distrust against the edges from the blocked ones, until no
+further host is reached and all ranks together are within ``settled`` times the seeds'
+sum of their limit: a host with no trust is blocked however far its distrust came. A page
 that no rule fits is blocked when its host's distrust exceeds ``threshold`` times its
 trust, and allowed otherwise; without evidence it is allowed.
 
@@ -28,6 +31,11 @@ LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?(?:https?:)?//([^\"'/?#>\s]+)"
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SALTS = 16
+NUMERIC = r"^[0-9.:]*$"
+#: Rounds between two looks at whether the ranks have settled.
+STEP = 4
+#: Edges a task of a round; few rows in many tasks would write mostly empty shuffle files, round after round.
+EDGES = 100_000
 
 
 def after_scheme(url: Column) -> Column:
@@ -60,36 +68,66 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     linked = pages.select(
         F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1))).alias("dst")
     ).select("src", F.translate("dst", UPPER, LOWER).alias("dst"))
-    child = hosts.select("host", F.regexp_replace("host", r"^[^.]*\.?", "").alias("parent")).filter("parent != ''")
-    kin = child.join(hosts.select(F.col("host").alias("parent")), "parent", "left_semi")
+    # Each host and its ancestors with two labels or more: a.b.c.d, b.c.d, c.d.
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    nodes = hosts.filter(~F.col("host").rlike(NUMERIC)).select(F.explode(above).alias("host")).distinct()
+    child = nodes.select("host", F.regexp_replace("host", r"^[^.]*\.?", "").alias("parent")).filter("parent != ''")
+    kin = child.join(nodes.union(hosts.select("host")).distinct().select(F.col("host").alias("parent")), "parent", "left_semi")
     both = kin.select(F.col("host").alias("src"), F.col("parent").alias("dst")).union(kin.select("parent", "host"))
     return linked.filter("src != '' and dst != src").union(both).distinct().withColumn("salt", F.pmod(F.xxhash64("src", "dst"), F.lit(SALTS)).cast("int"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, column: str, rounds: int, damping: float) -> DataFrame:
-    """Personalised PageRank of ``host, seed`` over ``src, dst, salt``: ``host, <column>``."""
+def propagated(seeds: DataFrame, edges: DataFrame, column: str, rounds: int | None, damping: float, settled: float = 1e-6) -> DataFrame:
+    """Personalised PageRank of ``host, seed`` over ``src, dst, salt``: ``host, <column>``.
+
+    After ``rounds`` rounds, or else at its limit: until as many hosts have rank as ``STEP`` rounds
+    before, and the sum of all distances to the limit is ``settled`` times the seeds' sum at most.
+    """
     out = cut(edges.join(edges.groupBy("src", "salt").count().groupBy("src").agg(F.sum("count").alias("degree")), "src"))
     rank = seeds.select("host", F.col("seed").alias(column))
-    if out.isEmpty():
+    if not (size := out.count()):
         return rank.withColumn(column, (1 - damping) * F.col(column))
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    for k in range(rounds):
+    tasks = 1 + size // EDGES
+    out, seeds, rank = cut(out.coalesce(tasks)), cut(seeds.coalesce(tasks)), rank.coalesce(tasks)
+
+    def after(rank: DataFrame) -> DataFrame:
         sent = rank.filter(F.col(column) > 0).select(F.col("host").alias("src"), column, every.alias("salt"))
         come = (
             out.join(sent, ["src", "salt"])
+            .coalesce(tasks)
             .groupBy(F.col("dst").alias("host"))
             .agg(F.sum(F.col(column) / F.col("degree")).alias("come"))
         )
-        rank = seeds.join(come, "host", "full_outer").select(
+        return seeds.join(come, "host", "full_outer").select(
             "host", ((1 - damping) * F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("come", F.lit(0.0))).alias(column)
-        )
-        if k % 3 == 2:
-            rank = cut(rank)
-    return rank
+        ).coalesce(tasks)
+
+    if rounds is not None:
+        for k in range(rounds):
+            rank = after(rank)
+            if k % 3 == 2:
+                rank = cut(rank)
+        return rank
+    # A round brings any two rankings closer by the damping: what is left follows from the last change.
+    left = damping**STEP / (1 - damping**STEP)
+    total = seeds.agg(F.sum("seed")).first()[0] or 0.0
+    while True:
+        last = rank
+        for _ in range(STEP):
+            rank = after(rank)
+        rank = cut(rank)
+        new, old = F.coalesce(column, F.lit(0.0)), F.coalesce("old", F.lit(0.0))
+        seen = rank.join(last.withColumnRenamed(column, "old"), "host", "full_outer").agg(
+            F.coalesce(F.sum(F.abs(new - old)), F.lit(0.0)).alias("change"), F.count_if((new > 0) & (old <= 0)).alias("reached")
+        ).first()
+        if not seen["reached"] and seen["change"] * left <= settled * total:
+            return rank
 
 
 def url_verdicts(
-    pages: DataFrame, rules=RULES, rounds: int = 6, damping: float = 0.85, threshold: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+    pages: DataFrame, rules=RULES, rounds: int | None = None, damping: float = 0.85, threshold: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """Rows ``page_id, host, path, rule, verdict, trust, distrust``, one for each page."""
     judged = ruled(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), rules)
@@ -99,9 +137,14 @@ def url_verdicts(
         .agg(F.avg(F.coalesce(F.col("ruling") == "allow", F.lit(False)).cast("double")).alias("good"), F.avg(F.coalesce(F.col("ruling") == "block", F.lit(False)).cast("double")).alias("bad"))
     )
     edges = cut(host_edges(judged, hosts))
-    trust = propagated(hosts.select("host", F.col("good").alias("seed")), edges, "trust", rounds, damping)
+    # Both directions in one run: "+" before a host is its trust, "-" its distrust.
+    named = lambda sign, *of: [F.concat(F.lit(sign), c).alias(c) for c in of]
+    seeds = hosts.select(*named("+", "host"), F.col("good").alias("seed")).union(hosts.select(*named("-", "host"), F.col("bad").alias("seed")))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "salt")
-    distrust = propagated(hosts.select("host", F.col("bad").alias("seed")), back, "distrust", rounds, damping)
+    both = edges.select(*named("+", "src", "dst"), "salt").union(back.select(*named("-", "src", "dst"), "salt"))
+    found = propagated(seeds, both, "rank", rounds, damping)
+    of = lambda sign, name: found.filter(F.startswith("host", F.lit(sign))).select(F.expr("substring(host, 2)").alias("host"), F.col("rank").alias(name))
+    trust, distrust = of("+", "trust"), of("-", "distrust")
     ranks = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
     # A host may own a third of the pages: its verdict is met in salted groups.
     salted = ranks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

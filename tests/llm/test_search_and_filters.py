@@ -90,6 +90,21 @@ def test_propagation_matches_a_dense_solution(spark, rand):
     assert all(abs(got.get(h, 0) - rank[h]) < 1e-9 for h in hosts)
 
 
+def test_distrust_comes_from_any_distance_and_settles(spark):
+    link = lambda h: f'<a href="http://{h}/x">there</a>'
+    rows = [(0, "http://bad.net/a", None)] + [(k, f"http://h{k}.io/a", link(f"h{k - 1}.io" if k > 1 else "bad.net")) for k in range(1, 13)]
+    got = {r.page_id: r for r in url_filters.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(r.verdict == "block" for r in got.values())
+    assert all(abs(got[k].distrust - 0.15 * 0.85**k) < 1e-6 for k in range(13))
+
+
+def test_siblings_meet_in_a_parent_without_pages(spark):
+    rows = [(1, "http://a.shop.net/x", None), (2, "http://b.far.shop.io/x", None), (3, "http://a.shop.io/de/x", None), (4, "http://other.io/x", None), (5, "http://1.0.0.9/x", None), (6, "http://2.0.0.9/x", None)]
+    rules = (("a.shop.io", "/", "block"), ("1.0.0.9", "/", "block"))
+    got = {r.page_id: r.verdict for r in url_filters.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "allow"}
+
+
 def test_url_filters_of_nothing(spark):
     assert url_filters.url_verdicts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
