@@ -1,4 +1,4 @@
-"""The folder for checkpoints: the session's own setting, a temporary one only where none is set."""
+"""The folder for checkpoints: the session's own setting; where none is set, a temporary one in local mode only."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ from pyspark.sql import SparkSession
 
 def ready(spark: SparkSession) -> str:
     context = spark.sparkContext
-    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-orrery-")
+    if not (named := context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-orrery-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
