@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of our own only where none is named."""
+    """The session's checkpoint folder. Where none is named: a new one in local mode, an error on a cluster."""
     context = spark.sparkContext
     if not (named := context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-orrery-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -22,12 +24,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def parts(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    """Arrow batches in parts of a few rows: what a worker makes of long texts stays small."""
+    """Arrow batches in parts of a few rows: what a worker makes of long texts stays small. Ids stay whole numbers."""
     for batch in batches:
+        if "doc_id" in batch:
+            batch = batch.astype({"doc_id": "Int64"})
         for at in range(0, len(batch), rows):
             yield batch.iloc[at : at + rows]
 
 
+class Remembered(dict):
+    """A worker's results by word, for words of up to ``longest`` letters; ``room`` bounds their number, so bytes are bounded.
+
+    A longer word is worked out each time: texts without spaces would fill the memory.
+    """
+
+    def __init__(self, make: Callable[[str | bytes], object], room: int, longest: int = 64):
+        super().__init__()
+        self.make, self.room, self.longest = make, room, longest
+
+    def __missing__(self, word: str | bytes) -> object:
+        made = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.room:
+                self.clear()
+            self[word] = made
+        return made
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that ``df`` does not have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder; a lost executor costs no recomputation of it."""
     shared_dir(df.sparkSession)
