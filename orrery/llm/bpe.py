@@ -25,6 +25,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Remembered, parts
+
 FIRST_LETTER = 0x100
 REMEMBERED = 200_000
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
@@ -69,7 +71,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.whole = {v: i for i, v in enumerate(vocabulary)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised(vocabulary))
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(self.piece, REMEMBERED)
 
     def piece(self, token: str) -> bytes:
         data = token.encode("utf-8", "surrogatepass")
@@ -78,16 +80,7 @@ class Codec:
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        tokens, known = self.split(text), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        try:
-            return b"".join(map(known.__getitem__, tokens))
-        except KeyError:
-            for token in set(tokens):
-                if token not in known:
-                    known[token] = self.piece(token)
-        return b"".join(map(known.__getitem__, tokens))
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -108,14 +101,14 @@ def _tokens(ranks_path: str, pattern: str, digests: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = codec(ranks_path, pattern)
         sha = (lambda x: hashlib.sha256(x).hexdigest()) if digests else (lambda x: x)
-        for batch in batches:
+        for batch in parts(batches):
             counts, ids, decoded = [], [], []
             for text in batch["text"]:
                 coded = made.encode(text or "")
                 counts.append(len(coded) // 4)
                 ids.append(sha(coded))
                 decoded.append(sha(made.decode(coded)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts, "ids": ids, "decoded": decoded})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "n_tokens": counts, "ids": ids, "decoded": decoded})
 
     return run
 
@@ -127,6 +120,6 @@ def bpe_round_trip(
 
     ``ranks_path`` must name a file that every worker has, as an installed package does.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     schema = SCHEMA.replace("binary", "string") if digests else SCHEMA
     return rows.mapInPandas(_tokens(ranks_path, pattern, digests), schema)

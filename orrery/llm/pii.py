@@ -2,9 +2,9 @@
 
 The base finds emails, IPs, cards and phones by pattern and check (octets, Luhn, digit
 counts). The field reads word shapes: it is trained by gradient on a small labelled
-table, and decoded by Viterbi in numpy batches. Only words within ``REACH`` words of a
-digit or an at sign can bear a label, so its chains are the runs of such words; all
-other words of a text are outside by definition. Spans of the field that touch no base
+table, and decoded by Viterbi in numpy batches. A span must hold a digit or an at sign in each
+of its words, so words without one are outside; those within ``REACH`` words of one are in the
+chains as context, and more of them would change no label's own or neighbouring shapes. Spans of the field that touch no base
 span, and could be of their kind, are added; base spans always stay.
 
 Patterns are written so that no text, however long or uniform, costs more than linear
@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import parts
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 REACH, WIDTH = 3, 1024
@@ -78,13 +80,13 @@ def base_spans(text: str) -> list[Span]:
 def features(word: str) -> tuple[int, ...]:
     """Hashed word-shape features; a set of them stands for the word."""
     core = word.strip("!,;:.?*#$%&\"'")
-    kind = re.sub(r"[^\W\d_]", "x", re.sub(r"[0-9]", "9", core[:64]))
+    kind = re.sub(r"[^\W\d_]", "x", re.sub(r"[0-9]", "9", core))
     digits = re.sub(r"[^0-9]", "", core)
     parts = core.split(".")
     said = [
-        "s=" + re.sub(r"(.)\1+", r"\1", kind)[:24],
+        "s=" + re.sub(r"(.)\1+", r"\1", kind),
         f"n={min(len(digits), 20)}",
-        "w=" + re.sub(r"(x)\1+", r"\1", kind)[:24],
+        "w=" + re.sub(r"(x)\1+", r"\1", kind),
         f"f={core[:1] if not core[:1].isalnum() else 'a'}{'@' in core}{core.count('.')}",
         f"d={bool(digits)}{len(digits) == len(core)}",
     ]
@@ -361,9 +363,9 @@ def written(spans: list[Span]) -> str:
 
 def _rows(field: Field):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             out = []
-            for doc, (base, added) in zip(batch["doc_id"], detect(list(batch["text"]), field), strict=True):
+            for doc, (base, added) in zip(batch["doc_id"].array, detect(list(batch["text"]), field), strict=True):
                 counts = [sum(s[0] == k for s in base) for k in KINDS]
                 out.append((doc, *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(base + added), len(added)))
             yield pd.DataFrame(out, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
@@ -373,7 +375,7 @@ def _rows(field: Field):
 
 def find_pii(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added``; counts are of base spans."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return rows.mapInPandas(_rows(field or default_field()), SCHEMA)
 
 
@@ -383,17 +385,17 @@ def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text")
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        out = []
-        for text, (base, added) in zip(texts, detect([t or "" for t in texts], field), strict=True):
+        out, some = [], (texts.iloc[at : at + 500] for at in range(0, len(texts), 500))
+        for text, (base, added) in ((t, found) for few in some for t, found in zip(few, detect([t or "" for t in few], field), strict=True)):
             if text is None:
                 out.append(None)
                 continue
-            parts, at = [], 0
+            kept, at = [], 0
             for kind, start, end in sorted(base + added, key=lambda s: (s[1], -s[2])):
                 if start >= at:
-                    parts += [text[at:start], f"[{kind.upper()}]"]
+                    kept += [text[at:start], f"[{kind.upper()}]"]
                 at = max(at, end)
-            out.append("".join([*parts, text[at:]]))
+            out.append("".join([*kept, text[at:]]))
         return pd.Series(out, dtype=object)
 
     return docs.withColumn(text_col, clean(F.col(f"`{text_col}`")))
