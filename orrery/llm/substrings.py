@@ -1,27 +1,26 @@
-"""Substring dedup by hashing units of text.
-
-A unit is a line, and within a line a sentence: units start at a line's start and at
-sentences of at least ``min_words`` words, so that shorter sentences belong to the unit
-before them. A unit of two times ``min_words`` words or more is cut further before words whose
-hash is the smallest within ``min_words - 1`` words to both sides: these borders depend on the
-words around them alone, so that they lie alike in a passage that was pasted into a sentence.
-A unit is normalised (lower case, single spaces) and hashed to 128 bits; the
-digests are grouped over all documents. The occurrence ranked first, by id and then
-offset, stays; every other one is removed. Units of fewer than ``min_words`` words are
-never removed. Neighbouring removed units, and the white space between them, make one
-span, in code points of the original text.
+"""Substring dedup by hashing units of lines.
+
+Units are lines. A line of more than ``2 * reach`` words is cut further, before words whose hash is the
+smallest within ``reach`` words to both sides: these borders depend on the words around them
+alone, so that they lie alike in a passage that was pasted into the middle of another line. A
+unit is normalised (lower case, single spaces) and hashed to 128 bits; the digests are grouped
+over all documents. The occurrence ranked first, by id and then place, stays; the others
+are repeats. Neighbouring repeats, and the white space between them, make one span, and
+spans of ``least_span`` words or more are removed, in code points of the original text. A
+single line that many documents share stays: it is a phrase, not a passage.
 
 What is missed: the words of a pasted passage before its first border and after its last, where
-it does not start or end with a unit; lines and sentences of fewer than ``min_words`` words; and
-parts of runs that say the same few words over and over, which have no borders within.
+it does not start or end with a line; and so passages much shorter than twice ``least_span``.
 
-Digests are grouped by partial aggregation, and met again by a join on the digest whose
-hot keys Spark may split; no step gathers the occurrences of one unit.
+Texts are read and hashed in one pass, whose result is written once. Digests are counted by
+(digest, salt) first, and repeats meet them by the same key: no task holds the occurrences of one
+digest, however many.
 
-Edge cases: null and empty texts have no units; a document of any length is one row; rows
-that repeat an id are ranked by their text's hash next and then as one; a null id ranks last;
-repeats within one document count as well; an empty table gives an empty result; other
-columns are not looked at, and ``remove_repeats`` returns them as they were.
+Edge cases: null and empty texts have no units; a document of any length is one row; a null
+id ranks last; rows that repeat an id, or have none, rank by their place in the table, and each
+is a document; repeats within one document count as well; an empty table gives an empty
+result; other columns, whatever their names, are not looked at, and ``remove_repeats`` returns
+them as they were.
 """
 
 from __future__ import annotations
@@ -31,117 +30,134 @@ from collections.abc import Iterator
 from itertools import pairwise
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Remembered, cut, fresh, parts
+
+REACH, LEAST_SPAN = 4, 25
+SALTS = 1_024
+WORD, LINE = re.compile(r"\S+"), re.compile("\n")
+UNITS = "doc_id long, row long, unit int, start int, end int, words int, digest binary"
+
 
-MIN_WORDS = 5
-LINE = re.compile(r"[^\n]+")
-#: Where a sentence may start: after an end mark and white space.
-START = re.compile(r"(?<=[.!?])\s+(?=\S)")
-WORD = re.compile(r"\S+")
-UNITS = "doc_id long, same_id long, unit int, start int, end int, words int, digest binary"
+def word_key(word: str) -> int:
+    return crc32(word.encode("utf-8", "surrogatepass"))
 
 
-def borders(words: list[str], least: int) -> Iterator[int]:
-    """Places in ``words`` before which a new unit starts, ``least`` words or more from each other and from both ends."""
-    if len(words) < 2 * least:
+def borders(keys: np.ndarray, lines: np.ndarray, reach: int) -> np.ndarray:
+    """Whether a unit starts before each word: lines do, and words with the least key within ``reach`` words of their line."""
+    n = len(keys)
+    starts = np.ones(n, bool)
+    starts[1:] = lines[1:] != lines[:-1]
+    if n > 2 * reach:
+        # Strict to the left only: of equal keys that are near, the first is the border.
+        least = np.ones(n - 2 * reach, bool)
+        here = keys[reach : n - reach]
+        for step in range(1, reach + 1):
+            least &= here < keys[reach - step : n - reach - step]
+            least &= here <= keys[reach + step : n - reach + step]
+        least &= lines[: n - 2 * reach] == lines[2 * reach :]
+        starts[reach : n - reach] |= least
+    return starts
+
+
+def units(text: str, reach: int, keys: dict[str, int]) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """``number, start, end, words, digest`` of each unit of a text."""
+    spans = np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
+    if not len(spans):
         return
-    keys = [crc32(w.encode("utf-8", "surrogatepass")) for w in words]
-    for at in range(least, len(keys) - least + 1):
-        key = keys[at]
-        # Strict to the left only: of two equal keys that are near, neither or the first is a border.
-        if key < min(keys[at - least + 1 : at], default=key + 1) and key <= min(keys[at : at + least]):
-            yield at
-
-
-def units(text: str, min_words: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """``number, start, end, words, digest`` of each unit that has ``min_words`` words or more; numbers count all units."""
-    number = -1
-    for line in LINE.finditer(text):
-        base, said = line.start(), line.group()
-        cuts = [m.end() for m in START.finditer(said)]
-        starts = [0]
-        for at, end in zip(cuts, [*cuts[1:], len(said)][: len(cuts)], strict=True):
-            if len(said[at:end].split()) >= min_words:
-                starts.append(at)
-        for at, end in zip(starts, [*starts[1:], len(said)], strict=True):
-            body = said[at:end]
-            words = body.lower().split()
-            cuts = list(borders(words, min_words))
-            places = [m.span() for m in WORD.finditer(body)] if len(words) >= min_words else []
-            for a, b in pairwise([0, *cuts, len(words)]):
-                number += b > a
-                if b - a >= min_words:
-                    yield number, base + at + places[a][0], base + at + places[b - 1][1], b - a, xxhash.xxh3_128_digest(" ".join(words[a:b]).encode("utf-8", "surrogatepass"))
-
-
-def hashed(min_words: int):
+    words = [w.lower() for w in WORD.findall(text)]
+    ends = np.array([m.start() for m in LINE.finditer(text)], np.int64)
+    hashes = np.fromiter(map(keys.__getitem__, words), np.int64, len(words))
+    at = np.flatnonzero(borders(hashes, np.searchsorted(ends, spans[:, 0]), reach)).tolist()
+    for number, (a, b) in enumerate(pairwise([*at, len(words)])):
+        said = " ".join(words[a:b]).encode("utf-8", "surrogatepass")
+        yield number, int(spans[a, 0]), int(spans[b - 1, 1]), b - a, xxhash.xxh3_128_digest(said)
+
+
+def hashed(reach: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        keys = Remembered(word_key, 200_000)
+        for batch in parts(batches):
             rows = [
-                (doc, same, *unit)
-                for doc, same, text in zip(batch["doc_id"], batch["same_id"], batch["text"], strict=True)
-                for unit in units(text, min_words)
+                (doc, row, *unit)
+                for doc, row, text in zip(batch["doc_id"].array, batch["row"], batch["text"], strict=True)
+                for unit in units(text, reach, keys)
             ]
-            yield pd.DataFrame(rows, columns=["doc_id", "same_id", "unit", "start", "end", "words", "digest"])
+            yield pd.DataFrame(rows, columns=["doc_id", "row", "unit", "start", "end", "words", "digest"]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("same_id"), text.alias("text"))
-    return rows.mapInPandas(hashed(min_words), UNITS)
+def occurrences(docs: DataFrame, reach: int, id_col: str, text_col: str, row: Column) -> DataFrame:
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return rows.mapInPandas(hashed(reach), UNITS)
+
 
+def repeats(
+    docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None
+) -> DataFrame:
+    """Repeated units: ``doc_id, row, unit, start, end, words, first_doc_id, first_start, copies``.
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Removed units: ``doc_id, same_id, unit, start, end, words, first_doc_id, first_start, copies``."""
-    found = occurrences(docs, min_words, id_col, text_col)
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "same_id", "start")
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    return found.withColumn("rank", rank).join(first, "digest").filter("rank != first").select(
-        "doc_id", "same_id", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "copies"
+    ``row`` tells the rows of ``docs`` apart.
+    """
+    found = cut(occurrences(docs, reach, id_col, text_col, F.monotonically_increasing_id() if row is None else row))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "start")
+    salted = found.withColumn("rank", rank).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    # A digest has SALTS rows here at most, so its window is bounded.
+    one = salted.groupBy("digest", "salt").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    whole = Window.partitionBy("digest")
+    first = one.select("digest", "salt", F.min("first").over(whole).alias("first"), F.sum("n").over(whole).alias("copies")).filter("copies > 1")
+    return salted.join(first, ["digest", "salt"]).filter("rank != first").select(
+        "doc_id", "row", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "copies"
     )
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a removed span: ``doc_id, start, end, units, words, first_doc_id, first_start, same_id``.
+def repeated_spans(
+    docs: DataFrame, reach: int = REACH, least_span: int = LEAST_SPAN, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None
+) -> DataFrame:
+    """One row a removed span: ``doc_id, start, end, units, words, first_doc_id, first_start, row``.
 
     ``first_doc_id`` and ``first_start`` are where the span's first unit stays.
     """
-    # Rows that repeat id and text have the same units; they are told apart by nothing and count once.
-    found = repeats(docs, min_words, id_col, text_col).dropDuplicates(["doc_id", "same_id", "unit"])
-    by_unit = Window.partitionBy("doc_id", "same_id").orderBy("unit")
-    joined = found.withColumn("island", F.col("unit") - F.row_number().over(by_unit))
-    return joined.groupBy("doc_id", "same_id", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("units"), F.sum("words").alias("words"),
+    found = repeats(docs, reach, id_col, text_col, row)
+    place = F.row_number().over(Window.partitionBy("row").orderBy("unit"))  # one document
+    joined = found.withColumn("island", F.col("unit") - place)
+    return joined.groupBy("row", "island").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("units"), F.sum("words").alias("words"),
         F.min(F.struct("unit", "first_doc_id", "first_start")).alias("first"),
-    ).select(
+    ).filter(F.col("words") >= least_span).select(
         "doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "units", "words",
-        F.col("first.first_doc_id").alias("first_doc_id"), F.col("first.first_start").cast("long").alias("first_start"), "same_id",
+        F.col("first.first_doc_id").alias("first_doc_id"), F.col("first.first_start").cast("long").alias("first_start"), "row",
     )
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the removed spans; what a null text was stays null."""
-    spans = repeated_spans(docs, min_words, id_col, text_col).groupBy(F.col("doc_id").alias("__id"), F.col("same_id").alias("__same")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans")  # bounded by one document
+def remove_repeats(docs: DataFrame, reach: int = REACH, least_span: int = LEAST_SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the removed spans; what a null text was stays null.
+
+    The rows get their number once and for all, in a copy of ``docs`` in the shared folder.
+    """
+    row, cuts = fresh(docs, "row", "cuts")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    spans = repeated_spans(rows, reach, least_span, id_col, text_col, F.col(f"`{row}`")).groupBy(F.col("row").alias(row)).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cuts)  # one document
     )
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
         out = []
         for text, spans in zip(texts, cuts, strict=True):
-            at, parts = 0, []
+            at, kept = 0, []
             for s in spans if spans is not None and text is not None else ():
-                parts.append(text[at : s["start"]])
+                kept.append(text[at : s["start"]])
                 at = s["end"]
-            out.append("".join([*parts, text[at:]]) if parts else text)
+            out.append("".join([*kept, text[at:]]) if kept else text)
         return pd.Series(out, dtype=object)
 
-    text = F.col(f"`{text_col}`")
-    joined = docs.join(spans, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__same")), "left")
-    return joined.withColumn(text_col, without(text, F.col("__spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = rows.join(spans, row, "left")
+    text = without(F.col(f"`{text_col}`"), F.col(f"`{cuts}`"))
+    return joined.select(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
