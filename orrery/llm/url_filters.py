@@ -3,16 +3,17 @@
 Hosts are the nodes. Edges are the links that pages carry to other hosts, and both
 directions between a host and its parent host (``a.b.c`` and ``b.c``), and so on upwards.
 Parents are nodes without pages too, so that sibling hosts meet in them; a parent of one
-label (``net``) only where it has pages, and numeric hosts have none. Seeds come from the rules: a host is trusted by its share of allowed pages and
-distrusted by its share of blocked ones. Personalised PageRank carries trust forward
+label (``net``) only where it has pages, and numeric hosts have none. Seeds come from
+the rules: a host is trusted by its share of allowed pages and distrusted by its share of blocked ones. Personalised PageRank carries trust forward
 from the trusted seeds, and distrust against the edges from the blocked ones, until no
 further host is reached and all ranks together are within ``settled`` times the seeds'
 sum of their limit: a host with no trust is blocked however far its distrust came. A page
 that no rule fits is blocked when its host's distrust exceeds ``threshold`` times its
 trust, and allowed otherwise; without evidence it is allowed.
 
-Only edges between distinct hosts, counted once, take part, and the outgoing side of a
-hub is dealt into salted groups before ranks meet edges.
+Only edges between distinct hosts, counted once, take part. The edges of a hub, and the pages of a
+large host, lie in salted groups; a host's rank goes to those groups only that the host has, one row
+for most.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, fits no rule and
 is allowed; null html has no links; repeated rows are judged each; an empty table gives
@@ -21,7 +22,7 @@ an empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -84,22 +85,20 @@ def propagated(seeds: DataFrame, edges: DataFrame, column: str, rounds: int | No
     After ``rounds`` rounds, or else at its limit: until as many hosts have rank as ``STEP`` rounds
     before, and the sum of all distances to the limit is ``settled`` times the seeds' sum at most.
     """
-    out = cut(edges.join(edges.groupBy("src", "salt").count().groupBy("src").agg(F.sum("count").alias("degree")), "src"))
+    counts = edges.groupBy("src", "salt").count()
+    # The salted groups that each host has, SALTS rows at most, with the host's degree.
+    groups = cut(counts.select("src", "salt", F.sum("count").over(Window.partitionBy("src")).alias("degree")))
+    out = cut(edges)
     rank = seeds.select("host", F.col("seed").alias(column))
     if not (size := out.count()):
         return rank.withColumn(column, (1 - damping) * F.col(column))
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     tasks = 1 + size // EDGES
-    out, seeds, rank = cut(out.coalesce(tasks)), cut(seeds.coalesce(tasks)), rank.coalesce(tasks)
+    out, seeds, rank, groups = cut(out.coalesce(tasks)), cut(seeds.coalesce(tasks)), rank.coalesce(tasks), groups.coalesce(tasks)
 
     def after(rank: DataFrame) -> DataFrame:
-        sent = rank.filter(F.col(column) > 0).select(F.col("host").alias("src"), column, every.alias("salt"))
-        come = (
-            out.join(sent, ["src", "salt"])
-            .coalesce(tasks)
-            .groupBy(F.col("dst").alias("host"))
-            .agg(F.sum(F.col(column) / F.col("degree")).alias("come"))
-        )
+        share = (F.col(column) / F.col("degree")).alias("share")
+        sent = rank.filter(F.col(column) > 0).withColumnRenamed("host", "src").join(groups, "src").select("src", "salt", share)
+        come = out.join(sent, ["src", "salt"]).coalesce(tasks).groupBy(F.col("dst").alias("host")).agg(F.sum("share").alias("come"))
         return seeds.join(come, "host", "full_outer").select(
             "host", ((1 - damping) * F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("come", F.lit(0.0))).alias(column)
         ).coalesce(tasks)
@@ -130,7 +129,7 @@ def url_verdicts(
     pages: DataFrame, rules=RULES, rounds: int | None = None, damping: float = 0.85, threshold: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """Rows ``page_id, host, path, rule, verdict, trust, distrust``, one for each page."""
-    judged = ruled(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), rules)
+    judged = ruled(pages.select(*[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "page_id"), (url_col, "url"), (html_col, "html"))]), rules)
     hosts = cut(
         judged.filter("host != ''")
         .groupBy("host")
@@ -146,9 +145,9 @@ def url_verdicts(
     of = lambda sign, name: found.filter(F.startswith("host", F.lit(sign))).select(F.expr("substring(host, 2)").alias("host"), F.col("rank").alias(name))
     trust, distrust = of("+", "trust"), of("-", "distrust")
     ranks = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    # A host may own a third of the pages: its verdict is met in salted groups.
-    salted = ranks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # A host may own a third of the pages: its verdict is met in the salted groups that it has.
     spread = judged.drop("html", "url").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    salted = spread.select("host", "salt").distinct().join(ranks, "host")
     worse = F.coalesce(F.col("distrust") > threshold * F.col("trust"), F.lit(False))
     return spread.join(salted, ["host", "salt"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruling", F.when(worse, "block").otherwise("allow")).alias("verdict"),
