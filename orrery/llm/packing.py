@@ -3,9 +3,10 @@
 A configuration is a multiset of piece lengths that fits one sequence. The program over
 the length histogram (at most one entry for each length up to the capacity, whatever
 the number of documents) is solved by multiplicative weights: lengths carry prices, a
-knapsack dynamic program finds the configurations worth most, each length asks for the
-best one that holds it, and prices move with the coverage so reached. The fractional
-solution is rounded down against the true counts, the rest is packed best fit.
+knapsack dynamic program finds the configurations worth most, and prices move with the
+coverage so reached, until the solution is within a hundredth of its lower bound. Weights are rounded
+down, the program is solved again for what remains, and the last pieces, whose
+counts are too small for it, go best fit.
 The plan is a bounded list of slot ranges by length; pieces find their slots by their
 rank among the pieces of their length, which is counted in salted groups.
 
@@ -30,10 +31,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import cut
+from .shared import Remembered, cut, parts
 
 CAPACITY, END_ID = 4096, 1
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 pack_ids = struct.Struct("<I").pack
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -54,7 +55,8 @@ class Words:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {"": b""}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known, self.parts = Remembered(self.word, REMEMBERED), Remembered(self.part, REMEMBERED)
         self.merge = self.tokenizer.model.tokenize
         shown = byte_letters()
         self.letters = str.maketrans({chr(b): shown[b] for b in range(256)})
@@ -65,31 +67,15 @@ class Words:
         return b"".join([pack_ids(t.id) for t in tokens])
 
     def word(self, word: str) -> bytes:
+        if not word:
+            return b""
         if not self.plain or "<|" in word or not PLAIN(word):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        out, parts = [], self.parts
         word = word.lower()
-        for part in (word,) if word.isalpha() else SPLIT(word):
-            ids = parts.get(part)
-            if ids is None:
-                ids = parts[part] = self.part(part)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.parts.__getitem__, (word,) if word.isalpha() else SPLIT(word)))
 
     def ids(self, text: str) -> bytes:
-        words, known = text.replace("\n", " ").split(" "), self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            for word in words:
-                if word not in known:
-                    known[word] = self.word(word)
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def byte_letters() -> list[str]:
@@ -107,9 +93,9 @@ def words(path: str) -> Words:
 def cut_pieces(tokenizer_path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made, end = words(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, text in zip(batch["doc_id"].array, batch["text"], strict=True):
                 data = made.ids(text) + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     piece = data[at : at + 4 * capacity]
@@ -120,90 +106,181 @@ def cut_pieces(tokenizer_path: str, capacity: int, end_id: int):
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return rows.mapInPandas(cut_pieces(tokenizer_path, capacity, end_id), PIECES)
 
 
-def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best worth for each room, and the item that it ends with (-1: none)."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+Config = tuple[int, ...]
+
+
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The best worth of pieces that fit each room from 0 to ``capacity``."""
+    best = np.zeros(capacity + 1)
     for room in range(int(lengths[0]), capacity + 1):
         fits = np.searchsorted(lengths, room, "right")
-        worth = best[room - lengths[:fits]] + prices[:fits]
-        k = int(worth.argmax())
-        if worth[k] > best[room - 1] * (1 + 1e-12):
-            best[room], last[room] = worth[k], k
-        else:
-            best[room] = best[room - 1]
-    return best, last
-
-
-def _traced(last: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
-    held = []
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
+        best[room] = max(best[room - 1], float((best[room - lengths[:fits]] + prices[:fits]).max()))
+    return best
+
+
+def priced_column(
+    first: int, lengths: np.ndarray, left: np.ndarray, prices: np.ndarray, best: np.ndarray, capacity: int, allowed: float, looks: int = 40
+) -> dict[int, int] | None:
+    """A configuration from ``first`` on, within ``left``, that is worth ``best[capacity] - allowed`` at least.
+
+    Depth first, longest piece first: a piece is taken if the optimum for the room that is left to it can
+    still make up the worth. Gives up after ``looks`` pieces that lead nowhere.
+    """
+    held: dict[int, int] = {}
+    #: Room, what may still be lost, the piece taken last, and whether it is to be tried.
+    path: list[tuple[int, float, int]] = []
+    room, spare, below = capacity, allowed, first + 1
+    while True:
+        fits = min(below, int(np.searchsorted(lengths, room, "right")))
+        loss = best[room] - best[room - lengths[:fits]] - prices[:fits]
+        ok = np.flatnonzero((left[:fits] > 0) & (loss <= spare))
+        k = next((int(j) for j in ok[::-1] if left[j] > held.get(int(j), 0)), None)
+        if k is not None:
+            path.append((room, spare, k))
+            held[k] = held.get(k, 0) + 1
+            room, spare, below = room - int(lengths[k]), spare - float(loss[k]), k + 1
             continue
-        held.append(int(last[room]))
-        room -= int(lengths[last[room]])
-    return held
+        if best[room] <= spare:
+            return held
+        looks -= 1
+        if looks < 0 or len(path) < 2:
+            return None
+        room, spare, k = path.pop()
+        held[k] -= 1
+        below = k
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 12, rate: float = 1.0) -> tuple[dict[tuple[int, ...], float], float]:
-    """Configurations with their weights, and a lower bound on the number of sequences."""
-    prices, columns, bound = lengths / capacity, {}, 0.0
-    for _ in range(rounds):
-        best, last = _knapsack(lengths, prices, capacity)
+def priced_columns(lengths: np.ndarray, left: np.ndarray, prices: np.ndarray, best: np.ndarray, capacity: int, slack: float) -> list[tuple[Config, int]]:
+    """Configurations worth ``(1 - slack) * best[capacity]`` or more, and how often each is used, on the pieces that are ``left``.
+
+    Each starts with the longest piece that none holds yet, and is used until it runs out of a
+    length: there are at most as many as lengths.
+    """
+    left, out = left.copy(), []
+    for first in range(len(lengths) - 1, -1, -1):
+        while left[first] and (held := priced_column(first, lengths, left, prices, best, capacity, slack * best[capacity])):
+            held = {j: n for j, n in held.items() if n}
+            times = min(int(left[j]) // n for j, n in held.items())
+            for j, n in held.items():
+                left[j] -= times * n
+            out.append((tuple(sorted(j for j, n in held.items() for _ in range(n))), times))
+    return out
+
+
+def uncovered(columns: dict[Config, float], counts: np.ndarray) -> np.ndarray:
+    bare = counts.astype(np.float64).copy()
+    for config, weight in columns.items():
+        np.subtract.at(bare, list(config), weight)
+    return np.maximum(bare, 0.0)
+
+
+def fractional(
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 24, gap: float = 0.01, rate: float = 0.2
+) -> tuple[dict[Config, float], float, float]:
+    """The configuration program by multiplicative weights: columns and weights, a lower bound, and the gap to it.
+
+    Minimise the number of sequences such that the configurations cover each length's count.
+    Prices on the lengths start at their share of a sequence. In each round the knapsack program
+    prices the rooms, which gives the bound ``counts @ prices / best``, and near-optimal columns; what they
+    leave uncovered gets dearer by a factor. A round's columns cover no length more than once, and so
+    does their mean over the rounds. The cheaper of the two counts, with what it leaves uncovered
+    in sequences of one length; the cheapest of all rounds is the solution.
+    """
+    prices, bound, alone = lengths / capacity, 0.0, capacity // lengths
+    total: dict[Config, float] = {}
+    found, least = {}, np.inf
+    for k in range(1, rounds + 1):
+        best = knapsack(lengths, prices, capacity)
         bound = max(bound, float(counts @ prices) / best[capacity])
-        covered = np.zeros(len(lengths))
-        asks = best[capacity - lengths] + prices
-        for k in np.nonzero(asks >= 0.98 * best[capacity])[0]:
-            config = sorted([int(k), *_traced(last, lengths, capacity - int(lengths[k]))])
-            ids, held = np.unique(config, return_counts=True)
-            share = float((counts[ids] / held).min()) / rounds
-            covered[ids] += held * share * rounds
-            columns[tuple(config)] = columns.get(tuple(config), 0.0) + share
-        prices = prices * np.exp(rate * (0.5 - np.minimum(covered / counts, 1.0)) * 0.05)
+        now = {}
+        for config, times in priced_columns(lengths, counts, prices, best, capacity, gap / 2):
+            now[config] = now.get(config, 0.0) + times
+            total[config] = total.get(config, 0.0) + times
+        bare = uncovered(now, counts)
+        for columns in (now, {c: w / k for c, w in total.items()} if k > 1 else now):
+            cost = sum(columns.values()) + float((uncovered(columns, counts) / alone).sum())
+            if cost < least:
+                found, least = columns, cost
+        if least <= (1 + gap) * bound:
+            break
+        prices = prices * np.exp(rate * bare / counts)
         prices /= (prices * capacity / lengths).max()
-    return columns, bound
+    return found, bound, least / bound - 1
 
 
-def rounded(columns: dict[tuple[int, ...], float], lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Whole numbers of configurations that use each piece once: (lengths, how often)."""
-    left, plan = counts.astype(np.int64).copy(), []
-    spare = lambda c: capacity - int(lengths[list(c)].sum())
-    for config, weight in sorted(columns.items(), key=lambda x: (spare(x[0]), -int(lengths[x[0][-1]]), x[0])):
+def rounded(columns: dict[Config, float], left: np.ndarray) -> list[tuple[Config, int]]:
+    """The columns' weights rounded down, heaviest first, within what is left; ``left`` is lowered."""
+    plan = []
+    for config, weight in sorted(columns.items(), key=lambda x: (-x[1], x[0])):
         ids, held = np.unique(config, return_counts=True)
-        if times := min(int((left[ids] // held).min()), int(np.ceil(weight))):
+        if (times := min(int(weight + 1e-9), int((left[ids] // held).min()))) > 0:
             left[ids] -= times * held
-            plan.append((tuple(int(lengths[i]) for i in config), times))
-    while left.any():
-        room, held = capacity, {}
-        while True:
-            free = np.nonzero((left > 0) & (lengths <= room))[0]
-            k = next((int(i) for i in free[::-1] if left[i] > held.get(int(i), 0)), None)
-            if k is None:
-                break
-            fits = min(room // int(lengths[k]), int(left[k]) - held.get(k, 0))
-            held[k] = held.get(k, 0) + fits
-            room -= fits * int(lengths[k])
-        times = min(int(left[k]) // n for k, n in held.items())
-        for k, n in held.items():
-            left[k] -= times * n
-        plan.append((tuple(int(lengths[k]) for k, n in held.items() for _ in range(n)), times))
+            plan.append((config, times))
     return plan
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 12) -> tuple[list[tuple[tuple[int, ...], int]], float]:
-    """A plan for all pieces of the histogram, and the program's lower bound."""
+def best_fit(plan: list[tuple[Config, int]], lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
+    """``plan`` with all pieces that are left: longest first, each into the fullest sequence that has room."""
+    rooms: dict[int, list[tuple[Config, int]]] = {}
+    for config, times in plan:
+        rooms.setdefault(capacity - int(lengths[list(config)].sum()), []).append((config, times))
+    for k in range(len(lengths) - 1, -1, -1):
+        size, need = int(lengths[k]), int(left[k])
+        while need:
+            room = min((r for r in rooms if r >= size and rooms[r]), default=None)
+            config, times = rooms[room].pop() if room is not None else ((), -(-need // (capacity // size)))
+            if room is None:
+                # New sequences take as many copies as fit.
+                fits = capacity // size
+                whole, rest = divmod(need, fits)
+                for copies, n in ((fits, whole), (rest, 1)):
+                    if copies and n:
+                        rooms.setdefault(capacity - copies * size, []).append(((k,) * copies, n))
+                break
+            used = min(times, need)
+            if times > used:
+                rooms[room].append((config, times - used))
+            rooms.setdefault(room - size, []).append(((*config, k), used))
+            need -= used
+    return [x for room in rooms.values() for x in room]
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 24, passes: int = 8) -> tuple[list[tuple[tuple[int, ...], int]], dict[str, float]]:
+    """A plan for all pieces of the histogram, (lengths, how often); and what made it.
+
+    The program is solved and rounded down, and solved again for what that leaves, until a pass places less
+    than a tenth of it. ``by_columns`` is the number of pieces that the program placed,
+    ``bound`` the lower bound of the first solution, ``gap`` how far that is from it.
+    """
     full = histogram.get(capacity, 0)
     plan = [((capacity,), full)] if full else []
     lengths = np.array(sorted(n for n, c in histogram.items() if n < capacity and c), dtype=np.int64)
+    said = {"bound": float(full), "gap": 0.0, "by_columns": full, "pieces": sum(histogram.values())}
     if not len(lengths):
-        return plan, float(full)
-    counts = np.array([histogram[int(n)] for n in lengths], dtype=np.float64)
-    columns, bound = fractional(lengths, counts, capacity, rounds)
-    return plan + rounded(columns, lengths, counts, capacity), bound + full
+        return plan, said
+    left = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
+    made: list[tuple[Config, int]] = []
+    for k in range(passes):
+        open_ = np.flatnonzero(left)
+        before = int(left.sum())
+        if not len(open_):
+            break
+        columns, bound, gap = fractional(lengths[open_], left[open_], capacity, rounds)
+        if k == 0:
+            said |= {"bound": bound + full, "gap": gap}
+        now = left[open_]
+        taken = rounded(columns, now)
+        left[open_] = now
+        made += [(tuple(int(open_[j]) for j in config), times) for config, times in taken]
+        if before - int(left.sum()) < before / 10:
+            break
+    said["by_columns"] = said["pieces"] - int(left.sum())
+    plan += [(tuple(int(lengths[j]) for j in config), times) for config, times in best_fit(made, lengths, left, capacity)]
+    return plan, said
 
 
 def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -258,7 +335,7 @@ def pack(
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rounds: int = 12,
+    rounds: int = 24,
     rows_per_salt: int = 20_000,
 ) -> DataFrame:
     """One row a piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
