@@ -7,19 +7,23 @@ more, one Spark job merges that run into files of about ``target_bytes`` or of t
 tier: input files are coalesced, so rows are copied once and never shuffled.
 
 A version becomes visible by the creation of its manifest file, which fails if another
-writer was first; then the loser reads the winner's version and tries again. Data files that no manifest
-names are never read, so a lost executor or a failed job leaves the store as it was.
-The manifest holds one entry for each file, not for rows.
+writer was first; then the loser reads the winner's version and tries again. Data files that no
+manifest names are never read, so a lost executor or a failed job leaves the store as it was.
+A manifest names the shards that its version adds and removes; every ``FULL``-th names all,
+so that a commit writes what changed and a reader opens ``FULL`` files at most. Entries are
+files, not rows.
 
 Edge cases: an empty arrival commits a version without new shards, and an empty store
 reads as an empty table of its schema; nulls, repeated rows and columns of any name are
-data; an arrival whose columns differ from the store's is refused; files that ``vacuum``
-deletes are those that the newest ``keep`` versions do not name.
+data; an arrival whose columns differ from the store's is refused. ``vacuum`` deletes every
+file below the store that the newest ``keep`` versions do not name, files of failed jobs and lost
+races too, once it is ``grace_s`` seconds old: younger ones may belong to a running writer.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -29,7 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import filesystem, rename_new
+from .shared import discard, filesystem, fresh, rename_new
+
+#: Versions between two manifests that name all shards.
+FULL = 16
+LARGE = 99
 
 
 @dataclass(frozen=True)
@@ -62,31 +70,52 @@ class ShardStore:
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def manifest(self, version: int | None = None) -> dict:
-        """``version``, ``schema`` (JSON or None), ``shards``; version 0 is the empty store."""
-        known = self.versions()
-        version = (known[-1] if known else 0) if version is None else version
-        if version == 0:
-            return {"version": 0, "schema": None, "shards": []}
+    def _said(self, version: int) -> dict:
         fs, path = filesystem(self.spark, self._manifest(version))
         stream = fs.open(path)
         try:
             jvm = self.spark.sparkContext._jvm
-            said = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return said | {"shards": [Shard(**s) for s in said["shards"]]}
 
-    def _commit(self, version: int, schema: str, shards: list[Shard]) -> None:
+    def _chain(self, version: int) -> list[dict]:
+        """The manifests that make up a version: from the last that names all shards on."""
+        chain = [self._said(version)]
+        while not chain[0]["full"]:
+            chain.insert(0, self._said(chain[0]["version"] - 1))
+        return chain
+
+    def manifest(self, version: int | None = None) -> dict:
+        """``version``, ``schema`` (JSON or None), ``shards``; version 0 is the empty store."""
+        known = self.versions()
+        version = (known[-1] if known else 0) if version is None else version
+        shards: dict[str, Shard] = {}
+        schema = None
+        for said in self._chain(version) if version else ():
+            schema = said["schema"]
+            for path in said["removed"]:
+                del shards[path]
+            shards |= {s["path"]: Shard(**s) for s in said["added"]}
+        return {"version": version, "schema": schema, "shards": list(shards.values())}
+
+    def _commit(self, now: dict, schema: str, shards: list[Shard]) -> int:
         """The whole manifest goes to a file of its own, which a rename without overwriting makes the version."""
+        version, was, new = now["version"] + 1, {s.path for s in now["shards"]}, {s.path for s in shards}
+        full = version % FULL == 1
+        said = {
+            "version": version, "schema": schema, "full": full, "removed": [] if full else sorted(was - new),
+            "added": [asdict(s) for s in shards if full or s.path not in was],
+        }
         name = f"{self.root}/manifest/.draft-{uuid.uuid4().hex}"
         fs, draft = filesystem(self.spark, name)
         out = fs.create(draft, False)
-        out.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
+        out.write(bytearray(json.dumps(said).encode()))
         out.close()
         if not rename_new(self.spark, name, self._manifest(version)):
             fs.delete(draft, False)
             raise Conflict(f"version {version} is there")
+        return version
 
     def _change(self, make: Callable[[dict], tuple[str, list[Shard]] | None], tries: int = 5) -> int:
         for attempt in range(tries):
@@ -94,8 +123,7 @@ class ShardStore:
             if (made := make(now)) is None:
                 return now["version"]
             try:
-                self._commit(now["version"] + 1, *made)
-                return now["version"] + 1
+                return self._commit(now, *made)
             except Conflict:
                 if attempt == tries - 1:
                     raise
@@ -104,10 +132,12 @@ class ShardStore:
     # data
 
     def tier(self, size: int) -> int:
+        if size >= self.target_bytes // 2:
+            return LARGE
         k = 0
-        while size > self.small_bytes * self.fan_in**k and size < self.target_bytes // 2:
+        while size > self.small_bytes * self.fan_in**k:
             k += 1
-        return k if size < self.target_bytes // 2 else 99
+        return k
 
     def _written(self, df: DataFrame, born: int) -> list[Shard]:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
@@ -137,7 +167,7 @@ class ShardStore:
         """Runs of shards of one tier that are due for a merge: the lowest tier that has enough."""
         by: dict[int, list[Shard]] = {}
         for s in shards:
-            if s.tier != 99:
+            if s.tier != LARGE:
                 by.setdefault(s.tier, []).append(s)
         return [sorted(v, key=lambda s: (s.born, s.path)) for _, v in sorted(by.items()) if len(v) >= self.fan_in][:1]
 
@@ -154,9 +184,8 @@ class ShardStore:
                 gone = {s.path for s in due[0]}
                 key = tuple(sorted(gone))
                 if key not in merged:
-                    size = sum(s.bytes for s in due[0])
-                    # Files of the target size if the run has enough, else at most a fan_in-th as many files.
-                    files = max(1, min(-(-size // self.target_bytes), len(gone) // 2), min(size // self.target_bytes, len(gone) // 2))
+                    # Files of the target size if the run has enough for several, else one of a higher tier.
+                    files = max(1, min(sum(s.bytes for s in due[0]) // self.target_bytes, len(gone) // 2))
                     merged[key] = self._written(self.load(now["schema"], sorted(gone)).coalesce(files), now["version"] + 1)
                 return now["schema"], [s for s in now["shards"] if s.path not in gone] + merged[key]
 
@@ -184,17 +213,26 @@ class ShardStore:
         rows = [(s.path, s.rows, s.bytes, s.tier, s.born) for s in self.manifest(version)["shards"]]
         return self.spark.createDataFrame(rows, "path string, rows long, bytes long, tier int, born long")
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes the data files that the newest ``keep`` versions do not name; how many."""
+    def vacuum(self, keep: int = 1, grace_s: float = 86_400.0) -> int:
+        """Deletes the files that the newest ``keep`` versions do not need and that are ``grace_s`` seconds old; how many."""
         known = self.versions()
-        named = {s.path for v in known[-keep:] for s in self.manifest(v)["shards"]}
-        old = {s.path for v in known[:-keep] for s in self.manifest(v)["shards"]} - named
+        if not known:
+            return 0
+        kept = known[-keep:]
+        path_of = lambda p: filesystem(self.spark, p)[1].toUri().getPath()
+        needed = {path_of(s.path) for v in kept for s in self.manifest(v)["shards"]}
+        needed |= {path_of(self._manifest(v)) for v in range(self._chain(kept[0])[0]["version"], known[-1] + 1)}
+        fs, root = filesystem(self.spark, self.root)
+        files, old, before = fs.listFiles(root, True), [], (time.time() - grace_s) * 1000
+        while files.hasNext():
+            status = files.next()
+            # A version that came after the list was read is younger than the list, if not than the grace.
+            name, newer = status.getPath().getName(), status.getModificationTime() > before
+            fresh_version = name[:-5].isdigit() and name.endswith(".json") and int(name[:-5]) > known[-1]
+            if status.getPath().toUri().getPath() not in needed and not newer and not fresh_version:
+                old.append(status.getPath())
         for path in old:
-            fs, where = filesystem(self.spark, path)
-            fs.delete(where, False)
-        for v in known[:-keep]:
-            fs, where = filesystem(self.spark, self._manifest(v))
-            fs.delete(where, False)
+            fs.delete(path, False)
         return len(old)
 
 
@@ -205,16 +243,17 @@ def shard_table(docs: DataFrame, root: str, arrivals: int = 4, key: str = "doc_i
     """
     spark = docs.sparkSession
     dealt = f"{root}/arriving"
-    docs.withColumn("__arrival", F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(arrivals)).cast("int")).write.partitionBy("__arrival").parquet(dealt)
+    [arrival] = fresh(docs, "arrival")
+    number = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(arrivals)).cast("int")
+    docs.withColumn(arrival, number).write.partitionBy(arrival).parquet(dealt)
     store = ShardStore(spark, root, **sizes)
-    fs, where = filesystem(spark, dealt)
     for k in range(arrivals):
-        _, part = filesystem(spark, f"{dealt}/__arrival={k}")
+        fs, part = filesystem(spark, f"{dealt}/{arrival}={k}")
         if fs.exists(part):
-            store.append(spark.read.schema(docs.schema).parquet(f"{dealt}/__arrival={k}"))
+            store.append(spark.read.schema(docs.schema).parquet(f"{dealt}/{arrival}={k}"))
     if not store.versions():
         store.append(docs.limit(0))
-    fs.delete(where, True)
+    discard(spark, dealt)
     store.compact()
-    store.vacuum()
+    store.vacuum(grace_s=0.0)  # nobody else writes here yet
     return store
