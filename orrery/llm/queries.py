@@ -29,7 +29,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_spans(table(spark, sf_dir, "documents")).drop("same_id")
+    return substrings.repeated_spans(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +41,9 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the shard that holds it after compaction, read back from the store."""
+    """Every document as the store's last version holds it, after appends, compaction and vacuum."""
     store = shards.shard_table(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
-    rows = store.read(shard_col="shard")
-    return rows.select(
-        "doc_id", F.element_at(F.split("shard", "/"), -1).alias("shard_file"), F.lit(store.manifest()["version"]).cast("long").alias("version"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
-    )
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,22 +88,26 @@ WITH norm AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
 """
 
+OP6_SQL = """
+SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+"""
+
 OP7_SQL = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
     FROM embeddings
-    WHERE embedding IS NOT NULL
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
-    FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    SELECT a.own, a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.own <> b.own AND len(a.q) = len(b.q)
     WHERE a.vec_id % 20 = 0
 ), ranked AS (
-    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+    SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_exact_top_k": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_sharding": OP6_SQL, "op7_exact_top_k": OP7_SQL}

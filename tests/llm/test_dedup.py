@@ -1,11 +1,14 @@
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
+import xxhash
 from orrery.llm import exact_dedup, jaccard, substrings
 from pyspark.sql import functions as F
 
 from ..conftest import DATA
+from .conftest import prose
 
 
 def norm(t):
@@ -129,39 +132,81 @@ def test_drop_near_copies_keeps_columns_and_one_of_each(corpus):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == ids
 
 
-def brute_repeats(rows, min_words):
-    seen, out = {}, set()
-    for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0)):
-        for _, start, end, _, digest in substrings.units(r.text or "", min_words):
-            if digest in seen:
-                out.add((r.doc_id, start, end))
-            else:
-                seen[digest] = 1
+def plain_units(text, reach=4):
+    """Lines, cut before words whose key is the least of the ``reach`` words to both sides: ``start, end, words, said``."""
+    out, base = [], 0
+    for line in text.split("\n"):
+        places = [(m.start() + base, m.end() + base) for m in re.finditer(r"\S+", line)]
+        words = [text[a:b].lower() for a, b in places]
+        keys = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
+        starts = [0] if words else []
+        for at in range(reach, len(words) - reach):
+            if all(keys[at] < k for k in keys[at - reach : at]) and all(keys[at] <= k for k in keys[at + 1 : at + reach + 1]):
+                starts.append(at)
+        for a, b in zip(starts, [*starts[1:], len(words)], strict=False):
+            out.append((places[a][0], places[b - 1][1], b - a, " ".join(words[a:b])))
+        base += len(line) + 1
     return out
 
 
-def test_units_cover_lines_and_sentences():
-    text = "One two three four five. Six seven. Eight nine ten eleven twelve!\nShort line.\n  padded line with many words here  "
-    got = [text[a:b] for _, a, b, _, _ in substrings.units(text, 5)]
-    assert got == ["One two three four five. Six seven.", "Eight nine ten eleven twelve!", "padded line with many words here"]
-    assert [(n, w) for n, _, _, w, _ in substrings.units(text, 5)] == [(0, 7), (1, 5), (3, 6)]
+def brute_spans(rows, least=25):
+    """Removed spans as (place of the row, start, end, words), by a set of what was seen before."""
+    seen, out = set(), []
+    for place, r in sorted(enumerate(rows), key=lambda x: (x[1].doc_id is None, x[1].doc_id or 0, x[0])):
+        island = None
+        for start, end, words, said in plain_units(r.text or ""):
+            if said in seen:
+                island = (place, island[1], end, island[3] + words) if island else (place, start, end, words)
+                continue
+            seen.add(said)
+            out, island = out + [island] * (island is not None), None
+        out += [island] * (island is not None)
+    return [s for s in out if s[3] >= least]
 
 
-def test_repeats_match_brute_force(spark, corpus):
-    unique = corpus.dropDuplicates(["doc_id", "text"]).filter("doc_id IS NOT NULL")
-    got = {(r.doc_id, r.start, r.end) for r in substrings.repeats(unique).collect()}
-    assert got == brute_repeats(unique.collect(), substrings.MIN_WORDS) and got
+def ids_of(rows, spans):
+    return sorted(((rows[p].doc_id, a, b, w) for p, a, b, w in spans), key=str)
 
 
-def test_spans_are_removed_and_the_first_stays(spark):
-    passage = "This long passage comes back again and again. It has two sentences of many words."
-    rows = [(3, f"{passage}\nSomething that is only here for once."), (1, f"Another beginning of some length. {passage}"), (2, f"x {passage.upper()} y"), (4, None), (5, "")]
+def test_units_are_lines_and_parts_of_long_lines(rand):
+    keys = substrings.Remembered(substrings.word_key, 100)
+    for text in ("One two.\n\n  three  FOUR five \n", "", " \n ", prose(rand(1), 700), "word " * 300, "x" * 5000, "a\u2003b\x1cc\x85d"):
+        got = [(a, b, w, d) for _, a, b, w, d in substrings.units(text, 4, keys)]
+        assert got == [(a, b, w, xxhash.xxh3_128_digest(said.encode())) for a, b, w, said in plain_units(text)]
+        assert sum(w for *_, w, _ in got) == len(text.split())
+
+
+def test_spans_match_brute_force(corpus):
+    rows = corpus.collect()
+    got = substrings.repeated_spans(corpus.selectExpr("*", "1 AS row", "2 AS start")).collect()
+    assert sorted(((r.doc_id, r.start, r.end, r.words) for r in got), key=str) == ids_of(rows, brute_spans(rows)) and len(got) > 20
+
+
+def test_rows_that_repeat_go_but_one(spark, rand):
+    text = prose(rand(8), 80)
+    rows = [(1, text), (1, text), (None, text), (None, text), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "cuts": F.lit("c"), "ROW": F.lit(2)})
+    kept = substrings.remove_repeats(df)
+    assert kept.columns == df.columns
+    said = [(r.doc_id, (r.text or "").strip()) for r in kept.collect()]
+    assert sum(t == text.strip() for _, t in said) == 1 and (1, text.strip()) in said and sum(t == "" for _, t in said) == 5
+    assert kept.filter("text IS NULL").count() == 1
+
+
+def test_spans_are_removed_and_the_first_stays(spark, rand):
+    passage = prose(rand(2), 60).strip()
+    rows = [(3, f"{passage}\nSomething that is only here for once."), (1, f"Another beginning of some length.\n{passage}"), (2, f"x\n{passage.upper()}\ny"), (4, None), (5, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1)).withColumn("digest", F.lit("z"))
     spans = {(r.doc_id, r.start, r.end, r.first_doc_id) for r in substrings.repeated_spans(df).collect()}
-    assert (3, 0, len(passage), 1) in spans
+    assert spans == {(3, 0, len(passage), 1), (2, 2, 2 + len(passage), 1)}
     kept = {r.doc_id: r.text for r in substrings.remove_repeats(df).collect()}
-    assert kept[3] == "\nSomething that is only here for once." and kept[1] == rows[1][1] and kept[4] is None and kept[5] == ""
-    assert substrings.remove_repeats(df).columns == df.columns
+    assert kept[3] == "\nSomething that is only here for once." and kept[1] == rows[1][1] and kept[2] == "x\n\ny" and kept[4] is None and kept[5] == ""
+
+
+def test_a_shared_line_stays(spark, rand):
+    r = rand(4)
+    rows = [(k, f"{prose(r, 40)}\nall rights are reserved by whoever wrote this.\n{prose(r, 40)}") for k in range(20)]
+    assert substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
 
 
 def test_a_passage_pasted_into_sentences_is_found(spark, rand):
@@ -176,11 +221,30 @@ def test_a_passage_pasted_into_sentences_is_found(spark, rand):
     assert {s.doc_id for s in spans} == {1, 2}
 
 
-def test_cut_units_join_to_the_whole_sentence(rand):
-    words = [rand(k).choice("abcdefgh") * 3 + str(k % 17) for k in range(200)]
-    got = list(substrings.units(" ".join(words), 5))
-    assert len(got) > 10 and min(w for *_, w, _ in got) >= 5 and sum(w for *_, w, _ in got) == 200
-
-
 def test_repeats_of_nothing(empty):
     assert substrings.repeated_spans(empty).count() == 0
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+CLASHES = ("id", "sha", "row", "own", "cid", "node", "more", "range", "run", "best", "all")
+
+
+def test_columns_of_any_name_stay(corpus):
+    odd = corpus.withColumns({c: F.lit(k) for k, c in enumerate(CLASHES)})
+    for keep in (exact_dedup.drop_copies, jaccard.drop_near_copies, substrings.remove_repeats):
+        kept = keep(odd)
+        assert kept.columns == odd.columns and kept.filter(f"{CLASHES[0]} != 0 OR row != 2").count() == 0 and kept.count() == keep(corpus).count()
+
+
+def test_merges_run_along_sorted_rows(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    runs = exact_dedup.signatures(docs).withColumns({"range": F.col("doc_id") % 2, "n": F.lit(1)})
+    plan = exact_dedup.merged(runs, F.col("run"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" in plan and plan.count("Sort [") == 1
+
+
+def test_classes_of_one_id_keep_their_links(spark, rand):
+    a, b = prose(rand(5), 60), prose(rand(6), 60)
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, b + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert components_of(jaccard.jaccard_components(df)) == brute_components(df.collect())

@@ -1,6 +1,7 @@
 """The registered queries, with their production parameters, against SQL, libraries and brute force."""
 
 import base64
+import collections
 import hashlib
 import zlib
 
@@ -9,11 +10,11 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from orrery.llm import pii, queries, substrings
+from orrery.llm import pii, queries, shards
 from tokenizers import Tokenizer
 
 from ..conftest import DATA
-from .test_dedup import brute_components, brute_repeats
+from .test_dedup import brute_components, brute_spans, ids_of
 from .test_search_and_filters import plain_spans, rule_of
 
 SF = f"{DATA}/sf0.001"
@@ -62,21 +63,9 @@ def test_op2(run, texts):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in run("op2_byte_bpe")} == wanted
 
 
-def test_op3(run, docs, texts):
+def test_op3(run, docs):
     spans = run("op3_substring_dedup")
-    covered = {}
-    for r in spans:
-        covered.setdefault(r.doc_id, []).append((r.start, r.end))
-    removed = brute_repeats(docs, substrings.MIN_WORDS)
-    assert {d for d, _, _ in removed} == set(covered)
-    assert all(any(a <= start and end <= b for a, b in covered[d]) for d, start, end in removed)
-    # Beyond the removed units a span holds white space only.
-    for d, parts in covered.items():
-        units = [(a, b) for x, a, b in removed if x == d]
-        for a, b in parts:
-            mine = sorted(u for u in units if a <= u[0] and u[1] <= b)
-            gaps = [texts[d][p[1] : q[0]] for p, q in zip(mine, mine[1:], strict=False)]
-            assert mine[0][0] == a and mine[-1][1] == b and not "".join(gaps).strip()
+    assert sorted(((r.doc_id, r.start, r.end, r.words) for r in spans), key=str) == ids_of(docs, brute_spans(docs)) and spans
 
 
 def test_op4(spark, run):
@@ -106,10 +95,15 @@ def test_op5(run, texts):
     assert max(used.values()) <= 4096 and len(used) <= -(-sum(used.values()) // 4096) + 1
 
 
-def test_op6(run, texts):
-    got = run("op6_sharding")
-    assert {r.doc_id: r.text_sha256 for r in got} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in texts.items()}
-    assert len(got) == len(texts) and all(r.shard_file.endswith(".parquet") and r.version > 0 for r in got)
+def test_op6_shards(spark, tmp_path):
+    """What the query reads back lies in files of the sizes that its tiers allow."""
+    store = shards.shard_table(spark.read.parquet(f"{SF}/documents.parquet").repartition(6), f"{tmp_path}/s")
+    held = store.manifest()["shards"]
+    assert not store.runs(held) and all(s.tier == store.tier(s.bytes) for s in held)
+    assert max(collections.Counter(s.tier for s in held).values()) < store.fan_in
+    files = [f for f in (tmp_path / "s").rglob("*") if f.is_file() and f.suffix in (".parquet", ".json")]
+    assert {f.name for f in files if f.suffix == ".parquet"} == {s.path.rsplit("/", 1)[1] for s in held}
+    assert all(f.stat().st_size == s.bytes for f in files for s in held if f.name == s.path.rsplit("/", 1)[1])
 
 
 def test_op8(run, docs):

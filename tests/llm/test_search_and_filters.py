@@ -5,35 +5,33 @@ import pytest
 from orrery.llm import pii, quality, shards, topk, url_filters
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ..conftest import DATA
 
 
 def brute_top(rows, k, every):
-    """All inner products of each query."""
-    good = {}
+    """All inner products of each query row with every other row."""
+    good = []
     for i, v in rows:
-        if i is None or not v or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        q = np.floor(64 * np.array(v, np.float64)).astype(np.int64)
-        if i not in good or q.tolist() < good[i].tolist():
-            good[i] = q
-    out = set()
-    for i in good:
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
+            good.append((i, np.floor(64 * np.array(v, np.float64)).astype(np.int64)))
+    out = []
+    for own, (i, q) in enumerate(good):
         if i % every == 0:
-            best = sorted((-int(good[i] @ good[j]), j) for j in good if j != i and len(good[j]) == len(good[i]))[:k]
-            out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
-    return out
+            best = sorted((-int(q @ w), j) for other, (j, w) in enumerate(good) if other != own and len(w) == len(q))[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(out)
 
 
 def test_top_k_matches_brute_force(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet").collect()]
     rows += [(k, rows[40][1]) for k in range(10_000, 10_060)]  # ties
-    rows += [(20_000, None), (20_020, []), (20_040, [float("nan")] * 64), (20_060, [None] + [0.0] * 63), (20_080, [float("inf")] * 64), (None, rows[0][1]), (20_100, [1.0, 2.0]), (20_120, [3.0, -2.0]), (20, rows[7][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS q", "3 AS dim")
+    rows += [(20_000, None), (20_020, []), (20_040, [float("nan")] * 64), (20_060, [None] + [0.0] * 63), (20_080, [float("inf")] * 64), (None, rows[0][1]), (20_100, [1.0, 2.0]), (20_120, [3.0, -2.0]), (20, rows[7][1]), (20, rows[7][1]), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS q", "3 AS dim", "4 AS row")
     for sizes in ({}, {"block_rows": 37, "query_rows": 11, "lists": 3}):
         got = topk.exact_top_k(df, lambda v: v % 20 == 0, **sizes)
-        assert {tuple(r) for r in got.collect()} == brute_top(rows, 20, 20)
+        assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 20, 20)
 
 
 def test_top_k_of_few_and_of_none(spark):
@@ -42,6 +40,17 @@ def test_top_k_of_few_and_of_none(spark):
     assert topk.exact_top_k(df.limit(0), lambda v: v % 20 == 0).count() == 0
 
 
+def test_lists_collect_a_part_of_all_pairs(spark):
+    r = np.random.default_rng(2)
+    rows = [(k, v.tolist()) for k, v in enumerate(r.normal(size=(3000, 64)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    held = topk.cut(topk.quantised(df, "vec_id", "embedding", 64))
+    search = topk.Search(held, F.col("vec_id") % 20 == 0, 20, 2, 1_000, 100, 128)
+    cutoffs = topk.cut(search.cutoffs())
+    some = search.collected(topk.enough(2), cutoffs).agg(F.sum("n")).first()[0]
+    assert 150 * 20 <= some < 0.15 * 150 * 2999
+
+
 def rule_of(url):
     host, _, rest = (url or "").partition("://")[2], "", ""
     if "://" not in (url or ""):
@@ -232,15 +241,35 @@ def test_store_keeps_every_row_through_compaction(store, corpus):
     assert not store.runs(now["shards"]) and sum(s.rows for s in now["shards"]) == 4 * corpus.count()
     everything = rows_of(corpus.union(corpus).union(corpus).union(corpus))
     assert rows_of(store.read()) == everything and rows_of(store.read(4)) == everything
-    assert store.vacuum() > 0 and rows_of(store.read()) == everything and store.versions() == [after]
+    assert store.vacuum() == 0 and store.vacuum(grace_s=0) > 0 and rows_of(store.read()) == everything
+    assert store.versions()[-1] == after and after - store.versions()[0] < shards.FULL
+
+
+def test_vacuum_leaves_nothing_that_no_version_names(store, corpus, tmp_path):
+    store.append(corpus)
+    store._written(corpus, 9)  # the files of a writer that failed
+    (tmp_path / "store" / "manifest" / ".draft-1").write_text("{}")
+    store.vacuum(grace_s=0)
+    left = {f.name for f in (tmp_path / "store").rglob("*") if f.is_file() and not f.name.endswith(".crc")}
+    assert left == {s.path.rsplit("/", 1)[1] for s in store.manifest()["shards"]} | {"000000000001.json"}
+
+
+def test_many_versions_read_alike(store, spark):
+    row = lambda k: spark.createDataFrame([(k, "t", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    for k in range(shards.FULL + 3):
+        store.append(row(k))
+        if k == 9:
+            store.compact()
+    assert sorted(r.doc_id for r in store.read().collect()) == list(range(shards.FULL + 3))
+    assert store.read(5).count() == 5
 
 
 def test_one_of_two_writers_loses(store, corpus):
     store.append(corpus.limit(3))
     now = store.manifest()
-    store._commit(2, now["schema"], now["shards"])
+    store._commit(now, now["schema"], now["shards"])
     with pytest.raises(shards.Conflict):
-        store._commit(2, now["schema"], [])
+        store._commit(now, now["schema"], [])
     assert store.manifest()["shards"] == now["shards"]
     with pytest.raises(ValueError):
         store.append(corpus.select("doc_id"))
@@ -251,8 +280,89 @@ def test_empty_arrivals(store, empty):
     assert store.read().columns == empty.columns and store.read().count() == 0
 
 
+def test_columns_of_any_name_are_stored(spark, tmp_path, corpus):
+    odd = corpus.selectExpr("*", "7 AS arrival", "doc_id % 3 AS __arrival", "8 AS Arrival_")
+    assert rows_of(shards.shard_table(odd, f"{tmp_path}/c").read()) == rows_of(odd)
+
+
 def test_shard_table_names_each_row(spark, tmp_path, corpus, empty):
     made = shards.shard_table(corpus, f"{tmp_path}/a", target_bytes=60_000, small_bytes=4_000)
     assert rows_of(made.read()) == rows_of(corpus)
     assert made.read(shard_col="where").filter("where IS NULL").count() == 0
     assert shards.shard_table(empty, f"{tmp_path}/b").read().count() == 0
+
+
+def plain_posteriors(codes, counts):
+    """The same model in plain loops: classes good and each kind, votes independent within a class, no vote no word."""
+    kinds = [k for _, _, k, _, _ in quality.LABELLERS]
+    seen = []
+    for code in codes:
+        digits = []
+        for _ in kinds:
+            code, d = divmod(code, 3)
+            digits.append(d)
+        seen.append(digits[::-1])
+    share = []
+    for v in seen:
+        raised = [sum(x == 1 for x, k in zip(v, kinds, strict=True) if k == kind) / kinds.count(kind) for kind in range(4)]
+        one = [1 - max(raised), *[r if r == max(raised) else 0 for r in raised]]
+        share.append([x / sum(one) for x in one])
+    for _ in range(200):
+        total = sum(counts)
+        prior = [(sum(s[c] * n for s, n in zip(share, counts, strict=True)) + 0.5) / (total + 2.5) for c in range(5)]
+        table = {}
+        for c in range(5):
+            for j in range(len(kinds)):
+                good, bad = (sum(s[c] * n for s, n, v in zip(share, counts, seen, strict=True) if v[j] == x) + 0.5 for x in (0, 1))
+                table[c, j] = (good / (good + bad), bad / (good + bad))
+        for i, v in enumerate(seen):
+            worth = [prior[c] * np.prod([table[c, j][x] for j, x in enumerate(v) if x < 2]) for c in range(5)]
+            share[i] = [w / sum(worth) for w in worth]
+    return [1 - s[0] for s in share]
+
+
+def patterns_of(texts):
+    codes = [quality.votes(t, t.split()) for t in texts]
+    found, counts = np.unique(codes, return_counts=True)
+    return codes, found, counts.astype(float)
+
+
+def test_posteriors_match_a_plain_model(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()]
+    _, found, counts = patterns_of(texts)
+    got, _, _ = quality.posteriors(found, counts)
+    assert np.abs(got - plain_posteriors(found.tolist(), counts.tolist())).max() < 1e-3
+
+
+def test_estimated_accuracies_are_those_on_labels(spark):
+    """What the model says of its labellers without labels, against the labels; and it is no mere vote of any."""
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/sf0.1/labels.parquet").collect()}
+    rows = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").collect()
+    codes, found, counts = patterns_of([r.text or "" for r in rows])
+    chance, tables, prior = quality.posteriors(found, counts)
+    by = dict(zip(found.tolist(), chance, strict=True))
+    seen = quality.patterns(np.array(codes))
+    known = np.array([r.doc_id in labels for r in rows])
+    good = np.array([labels.get(r.doc_id) == 1 for r in rows])
+    bad = known & ~good
+    for j, (name, *_) in enumerate(quality.LABELLERS):
+        votes, wrong = seen[good, j], (seen[good, j] == quality.BAD).sum()
+        assert abs(wrong / max(1, (votes != quality.NONE).sum()) - tables[0, j, quality.BAD]) < 0.02, name
+        of_bad = [(tables[1:, j, quality.BAD] * prior[1:]).sum() / prior[1:].sum(), (seen[bad, j] == quality.BAD).sum() / max(1, (seen[bad, j] != quality.NONE).sum())]
+        assert abs(of_bad[0] - of_bad[1]) < 0.12, name
+    said = np.array([by[c] for c in codes]) > 0.5
+    assert (said[good]).mean() < 0.005 and said[bad].mean() > 0.97
+    assert (said != (seen == quality.BAD).any(1)).any()
+
+
+def test_the_draw_holds_at_any_number_of_rows():
+    for rows in (1, 100, 3_000, 10**6, 10**9, 10**11, 10**14):
+        share = (quality.draw_limit(rows, 3_000) + 2**63) / 2**64
+        assert share == 1 - 2**-64 or abs(share * rows - min(rows, 4_500)) < 1
+
+
+def test_scores_of_very_long_and_short_texts(spark):
+    rows = [(1, "word " * 200_000), (2, "x" * 2_000_000), (3, "a"), (None, None), (4, "\ud83d\ude00 " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality.classify(df).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 2, 3, 4] and all(0 <= r.p_bad <= 1 for r in got)

@@ -88,14 +88,64 @@ def test_packing_comes_near_the_bound(rand):
         for _ in range(4000):
             n = min(4096, max(1, int(r.expovariate(1 / (top / 3)))))
             histogram[n] = histogram.get(n, 0) + 1
-        plan, bound = packing.pack_histogram(histogram)
+        plan, said = packing.pack_histogram(histogram)
         used = {}
         for config, times in plan:
             assert sum(config) <= 4096
             for n in config:
                 used[n] = used.get(n, 0) + times
         assert used == histogram
-        assert sum(t for _, t in plan) <= 1.02 * bound + 2
+        assert sum(t for _, t in plan) <= 1.02 * said["bound"] + 2
+
+
+def used_by(plan):
+    used = {}
+    for config, times in plan:
+        assert sum(config) <= 4096
+        for n in config:
+            used[n] = used.get(n, 0) + times
+    return used
+
+
+@pytest.mark.parametrize("times", [1, 20])
+def test_the_program_places_the_pieces(spark, times):
+    """On the lengths of a table: near its bound, by columns, and in no more sequences than best fit alone."""
+    cuts = packing.pieces(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), WORDS)
+    histogram = {r["length"]: times * r["count"] for r in cuts.groupBy("length").count().collect()}
+    plan, said = packing.pack_histogram(histogram)
+    assert used_by(plan) == histogram
+    assert said["gap"] < 0.01 and said["by_columns"] >= 0.9 * said["pieces"]
+    lengths = np.array(sorted(histogram))
+    alone = packing.best_fit([], lengths, np.array([histogram[int(n)] for n in lengths]), 4096)
+    assert sum(t for _, t in plan) <= sum(t for _, t in alone)
+    assert sum(t for _, t in plan) >= said["bound"] - 1e-6
+
+
+def test_prices_find_what_lengths_do_not_show():
+    """Two lengths of a third: only the mixed configuration is full, and best fit alone misses it."""
+    plan, said = packing.pack_histogram({1366: 1000, 1365: 1000})
+    assert used_by(plan) == {1366: 1000, 1365: 1000} and sum(t for _, t in plan) == 750 and said["gap"] < 0.01
+    lengths = np.array([1365, 1366])
+    assert sum(t for _, t in packing.best_fit([], lengths, np.array([1000, 1000]), 4096)) > 750
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
+def test_plans_hold_every_piece(histogram):
+    plan, said = packing.pack_histogram(histogram, 64)
+    used = {}
+    for config, times in plan:
+        assert sum(config) <= 64 and times > 0
+        for n in config:
+            used[n] = used.get(n, 0) + times
+    assert used == histogram and said["by_columns"] <= said["pieces"] == sum(histogram.values())
+
+
+def test_long_words_are_not_kept():
+    for made in (packing.words(WORDS), bpe.codec(RANKS, P.PATTERN)):
+        known = made.known
+        known["q" * 100_000], known["short"]
+        assert "short" in known and max(map(len, known)) <= known.longest
 
 
 def test_many_pieces_of_one_length(spark):
