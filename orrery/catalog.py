@@ -19,6 +19,8 @@ MODULES = (
     "plans.schedules",
     "streaming.live",
     "sources.files",
+    "sources.formats",
+    "sources.plugins",
 )
 
 

@@ -56,10 +56,10 @@ def unproject(u: Column, v: Column, depth: Column, f: Column, angle: Column, bac
     return F.cos(angle) * a + F.sin(angle) * b, F.cos(angle) * b - F.sin(angle) * a, depth - back
 
 
-@query(f"WITH {POINTS}, {CAMERAS} SELECT id, view, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y, round(z, 6) + 0.0::DOUBLE AS z FROM points, cameras WHERE batch % 5 = rig AND id % 3 = 0")
+@query(f"WITH {POINTS}, {CAMERAS} SELECT id, view, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y, round(z, 6) + 0.0::DOUBLE AS z FROM points, cameras WHERE batch % 5 = rig")
 def mat_roundtrip(spark, sf_dir):
     """Projected and taken back: the points that went in."""
-    p = points(spark, sf_dir).filter("id % 3 = 0").withColumn("rig", F.col("batch") % 5).join(bounded_broadcast(cameras(spark, sf_dir)), "rig")
+    p = points(spark, sf_dir).withColumn("rig", F.col("batch") % 5).join(bounded_broadcast(cameras(spark, sf_dir)), "rig")
     cam = tuple(map(F.col, ("f", "angle", "back")))
     u, v, depth = project(F.col("x"), F.col("y"), F.col("z"), *cam)
     x, y, z = unproject(u, v, depth, *cam)
@@ -121,21 +121,22 @@ def mat_sim3(spark, sf_dir):
     return points(spark, sf_dir).select("id", r6(2.5 * (c * x - s * y) + 1).alias("x"), r6(2.5 * (s * x + c * y) - 2).alias("y"), r6(2.5 * F.col("z") + 0.5).alias("z"))
 
 
-@query(f"WITH {POINTS}, m AS (SELECT batch, avg(x) AS mx, avg(y) AS my FROM points WHERE id % 10 = 0 GROUP BY batch) SELECT id, round(x - mx, 6) AS x, round(y - my, 6) AS y FROM points JOIN m USING (batch)")
+@query(f"WITH {POINTS}, m AS (SELECT batch, avg(x) AS mx, avg(y) AS my FROM points GROUP BY batch) SELECT id, round(x - mx, 6) AS x, round(y - my, 6) AS y FROM points JOIN m USING (batch)")
 def mat_recentre(spark, sf_dir):
-    """Less the mean camera centre of the first frame."""
+    """Less the mean centre of the rig."""
     p = points(spark, sf_dir)
-    m = p.filter("id % 10 = 0").groupBy("batch").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    m = p.groupBy("batch").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     return p.join(m, "batch").select("id", r6(F.col("x") - F.col("mx")).alias("x"), r6(F.col("y") - F.col("my")).alias("y"))
 
 
-@query(f"WITH {TRACK_OBS}, s AS (SELECT track, list(frame ORDER BY frame) FILTER (WHERE vis AND frame < 12) AS f FROM track_obs GROUP BY track), m AS (SELECT max(len(f)) AS n FROM s) SELECT track, list_resize(coalesce(f, []), n, 0) AS padded, n - len(coalesce(f, [])) AS padding FROM s, m")
+@query(f"WITH {TRACK_OBS}, s AS (SELECT track, frame // 64 AS part, list(frame ORDER BY frame) FILTER (WHERE vis) AS f FROM track_obs GROUP BY ALL), m AS (SELECT max(len(f)) AS n FROM s) SELECT track, part, list_resize(coalesce(f, []), n, 0) AS padded, n - len(coalesce(f, [])) AS padding FROM s, m")
 def arr_pad_mask(spark, sf_dir):
-    """Ragged lists padded to the longest; how much of each is padding."""
-    s = track_obs(spark, sf_dir).groupBy("track").agg(F.sort_array(F.collect_list(F.when(F.col("vis") & (F.col("frame") < 12), F.col("frame")))).alias("f"))
+    """Ragged lists padded to the longest; how much of each is padding. A list holds a part of 64 frames of a track."""
+    part = F.floor(F.col("frame") / 64).cast("long").alias("part")
+    s = track_obs(spark, sf_dir).groupBy("track", part).agg(F.sort_array(F.collect_list(F.when(F.col("vis"), F.col("frame")))).alias("f"))
     n = s.agg(F.max(F.size("f")).alias("n"))
     missing = F.col("n") - F.size("f")
-    return s.crossJoin(F.broadcast(n)).select("track", F.concat("f", F.array_repeat(F.lit(0).cast("long"), missing)).alias("padded"), missing.cast("long").alias("padding"))
+    return s.crossJoin(F.broadcast(n)).select("track", "part", F.concat("f", F.array_repeat(F.lit(0).cast("long"), missing)).alias("padded"), missing.cast("long").alias("padding"))
 
 
 @query(f"WITH {POINTS} SELECT id, list_transform([1, 5, 9], lambda i: round(fvec[i], 6)) AS picked FROM points")
@@ -162,17 +163,6 @@ def arr_grid(spark, sf_dir):
     return g.withColumn("px", (F.col("gx") + 0.5) * 8).withColumn("py", (F.col("gy") + 0.5) * 8)
 
 
-TOP = "tops AS (SELECT o_custkey AS step, list({'scene': o_orderkey, 'loss': o_totalprice} ORDER BY o_orderkey) AS top_scenes FROM orders GROUP BY o_custkey)"
-
-
-@query(f"WITH {TOP}, e AS (SELECT step, unnest(top_scenes) AS s FROM tops) SELECT s.scene % 50 AS scene, count(*) AS hits, round(avg(s.loss), 6) AS loss FROM e GROUP BY 1")
-def arr_explode_top_scenes(spark, sf_dir):
-    """Nested loss records, one row each, by scene."""
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("step")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("scene"), F.col("o_totalprice").alias("loss"))).alias("top_scenes"))
-    e = o.select("step", F.explode("top_scenes").alias("s"))
-    return e.groupBy((F.col("s.scene") % 50).alias("scene")).agg(F.count("*").alias("hits"), r6(F.avg("s.loss")).alias("loss"))
-
-
 @query("WITH a AS (SELECT n_regionkey AS archive, list(n_nationkey) AS members FROM nation GROUP BY n_regionkey), m AS (SELECT archive, unnest(members) AS member FROM a) SELECT archive::BIGINT AS archive, count(*) AS customers FROM customer JOIN m ON member = c_nationkey GROUP BY archive")
 def arr_explode_join(spark, sf_dir):
     """Member lists turned round: each member to its archive, then an equality join."""

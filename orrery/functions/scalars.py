@@ -90,13 +90,14 @@ def str_schedule_lookup(spark, sf_dir):
     return table(spark, sf_dir, "nation").filter(F.array_contains(steps, 6)).groupBy(F.col("n_name").alias("dataset")).agg(F.min(F.col("n_nationkey").cast("long")).alias("ordinal"))
 
 
-@query("""WITH t AS (SELECT doc_id, list_slice(regexp_extract_all(text, '[A-Za-z]+'), 1, 8) AS w FROM documents) SELECT doc_id, CAST(i AS BIGINT) AS entry, w[4 * i + 1] AS ext, w[4 * i + 2] AS off, w[4 * i + 4] AS name FROM t, (SELECT unnest([0, 1]) AS i) WHERE len(w) >= 4 * i + 4""")
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents), e AS (SELECT doc_id, w, unnest(range(len(w) // 4)) AS i FROM t)
+SELECT doc_id, i AS entry, w[4 * i + 1] AS ext, w[4 * i + 2] AS off, w[4 * i + 4] AS name FROM e""")
 def str_quartet_parse(spark, sf_dir):
-    """A flat list of tokens as entries of four."""
-    w = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 8)
-    t = table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).withColumn("entry", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
-    at = lambda k: F.try_element_at("w", (4 * F.col("entry") + k).cast("int"))
-    return t.filter(F.size("w") >= 4 * F.col("entry") + 4).select("doc_id", "entry", at(1).alias("ext"), at(2).alias("off"), at(4).alias("name"))
+    """A flat list of tokens as entries of four; what is left of a list is no entry."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    fours = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 4).cast("int") - 1), lambda i: F.slice("w", 4 * i + 1, 4))
+    t = t.filter(F.size("w") >= 4).select("doc_id", F.posexplode(fours).alias("entry", "e"))
+    return t.select("doc_id", F.col("entry").cast("long").alias("entry"), F.col("e")[0].alias("ext"), F.col("e")[1].alias("off"), F.col("e")[3].alias("name"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")

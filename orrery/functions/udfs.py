@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query, r6
-from ..sources.views import FOLLOWED, TRACK_OBS, followed, points, track_obs
+from ..sources.checkpoints import ready
+from ..sources.views import FOLLOWED, POINTS, TRACK_OBS, followed, points, track_obs
 
 
 @query(f"WITH {FOLLOWED}, s AS (SELECT track, x AS qx, y AS qy FROM followed WHERE frame = qt) SELECT track, frame, qx AS px, qy AS py, true AS visible FROM {'track_obs'} JOIN s USING (track)")
@@ -101,7 +102,31 @@ def hilbert_codes(coordinates: np.ndarray, bits: int) -> np.ndarray:
     return code
 
 
-@query()
+def hilbert_sql(cells: str, bits: int) -> str:
+    """The same code by one row of bit steps after another: ``cells`` has ``id, x, y, z``."""
+    steps, now = [f"h0 AS (SELECT id, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z FROM ({cells}))"], "h0"
+    for bit in (1 << b for b in range(bits - 1, 0, -1)):
+        for c in "xyz":
+            low, name = bit - 1, f"h{len(steps)}"
+            if c == "x":
+                moved = f"CASE WHEN x & {bit} > 0 THEN xor(x, {low}) ELSE x END AS x, y, z"
+            else:
+                swap = f"(xor(x, {c}) & {low})"
+                rest = "z" if c == "y" else "y"
+                one = f"CASE WHEN {c} & {bit} > 0 THEN {c} ELSE xor({c}, {swap}) END AS {c}"
+                moved = f"CASE WHEN {c} & {bit} > 0 THEN xor(x, {low}) ELSE xor(x, {swap}) END AS x, {one}, {rest}"
+            steps.append(f"{name} AS (SELECT id, {moved} FROM {now})")
+            now = name
+    steps.append(f"gray AS (SELECT id, x, xor(y, x) AS y, xor(z, xor(y, x)) AS z FROM {now})")
+    flip = "0::BIGINT"
+    for bit in (1 << b for b in range(bits - 1, 0, -1)):
+        flip = f"xor({flip}, CASE WHEN z & {bit} > 0 THEN {bit - 1} ELSE 0 END)"
+    steps.append(f"flat AS (SELECT id, xor(x, f) AS x, xor(y, f) AS y, xor(z, f) AS z FROM (SELECT *, {flip} AS f FROM gray))")
+    code = " + ".join(f"((({c} >> {b}) & 1) << {3 * b + 2 - k})" for b in range(bits) for k, c in enumerate("xyz"))
+    return f"WITH {', '.join(steps)} SELECT id, {code} AS code FROM flat"
+
+
+@query(hilbert_sql(f"WITH {POINTS} SELECT id, CAST(floor((x + 1) * 31) AS BIGINT) AS x, CAST(floor((y + 1) * 31) AS BIGINT) AS y, CAST(floor((z + 1) * 31) AS BIGINT) AS z FROM points", 6))
 def udf_hilbert(spark, sf_dir):
     """Places of points on a Hilbert curve over a grid of 64 cells a side."""
 
@@ -113,14 +138,80 @@ def udf_hilbert(spark, sf_dir):
     return points(spark, sf_dir).select("id", code(g("x"), g("y"), g("z")).alias("code"))
 
 
-@query()
+CENTRES, ROUNDS = 8, 4
+
+
+def nearest_centre(centres: list[tuple[float, ...]], columns: tuple[str, ...]) -> Column:
+    """The number of the nearest centre, the first of equals; the centres are a short list in the plan."""
+    far = [F.struct(F.round(sum((F.col(c) - F.lit(v)) ** 2 for c, v in zip(columns, centre, strict=True)), 9).alias("d"), F.lit(k).cast("long").alias("k")) for k, centre in enumerate(centres)]
+    return F.array_min(F.array(*far))["k"]
+
+
+def kmeans(rows: DataFrame, columns: tuple[str, ...], centres: int, rounds: int) -> DataFrame:
+    """``cluster``, its mean and number of rows after some rounds from the rows of the smallest ids; an empty cluster goes.
+
+    The driver holds the centres, never rows.
+    """
+    now = [tuple(r) for r in rows.orderBy("id").limit(centres).select(*columns).collect()]
+    for k in range(rounds):
+        found = rows.groupBy(nearest_centre(now, columns).alias("cluster")).agg(*[F.avg(c).alias(c) for c in columns], F.count("*").alias("points"))
+        if k == rounds - 1:
+            return found
+        now = [tuple(round(r[c], 9) for c in columns) for r in found.orderBy("cluster").collect()]
+    raise ValueError("at least one round")
+
+
+def kmeans_sql(centres: int, rounds: int) -> str:
+    steps = [POINTS, f"c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, x, y, z FROM (SELECT * FROM points ORDER BY id LIMIT {centres}))"]
+    for r in range(rounds):
+        near = f"SELECT p.id, arg_min(c.k, struct_pack(a := round((p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.z - c.z) ** 2, 9), b := c.k)) AS k FROM points p, c{r} c GROUP BY p.id"
+        steps.append(f"m{r} AS (SELECT k AS cluster, round(avg(x), 9) AS x, round(avg(y), 9) AS y, round(avg(z), 9) AS z, count(*) AS points FROM points JOIN ({near}) n USING (id) GROUP BY k)")
+        steps.append(f"c{r + 1} AS (SELECT row_number() OVER (ORDER BY cluster) - 1 AS k, x, y, z FROM m{r})")
+    return f"WITH {', '.join(steps)} SELECT cluster::BIGINT AS cluster, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, points FROM m{rounds - 1}"
+
+
+@query(kmeans_sql(CENTRES, ROUNDS))
 def ml_kmeans(spark, sf_dir):
     """Cluster centres of the positions, and how many points each has."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    p = points(spark, sf_dir).select("id", array_to_vector(F.array("x", "y", "z")).alias("features"))
-    return KMeans(k=8, seed=0).fit(p).transform(p).groupBy(F.col("prediction").cast("long").alias("cluster")).agg(F.count("*").alias("points"))
+    found = kmeans(points(spark, sf_dir).select("id", "x", "y", "z"), ("x", "y", "z"), CENTRES, ROUNDS)
+    return found.select("cluster", *[r6(c).alias(c) for c in "xyz"], "points")
+
+
+def ransac(pairs: DataFrame, tries: int, within: float) -> DataFrame:
+    """``batch, scale, rotation, shift, inliers`` of a similarity that most pairs fit to ``within``; the others may be anything.
+
+    ``pairs`` have ``id, batch, ax..az, bx..bz``. Each try fits three pairs that a hash draws; all
+    pairs are held against all tries, and those that fit the best one are fitted again.
+    """
+    ready(pairs.sparkSession)
+    names = [f"{s}{c}" for s in "ab" for c in "xyz"]
+    hashed_id = F.struct(F.xxhash64("id", "try").alias("h"), "id", *names)
+    each = pairs.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    # Three draws a try: the least hashes of three thirds of the ids, so that partial aggregation bounds them.
+    drawn = each.groupBy("batch", "try", F.pmod(F.xxhash64("id"), F.lit(3)).alias("third")).agg(F.min(hashed_id).alias("p"))
+    sets = drawn.select("batch", "try", *[F.col(f"p.{n}").alias(n) for n in names])
+    trial = sets.select((F.col("batch") * tries + F.col("try")).alias("batch"), *names)
+    fits = similarity_fit(trial).withColumn("try", F.pmod("batch", F.lit(tries)).cast("int")).withColumn("batch", F.floor(F.col("batch") / tries).cast("long")).checkpoint()
+
+    def off() -> Column:
+        a = [F.col(f"a{c}") for c in "xyz"]
+        at = lambda row: F.col("scale") * sum(F.element_at("rotation", 3 * row + k + 1) * a[k] for k in range(3)) + F.element_at("shift", row + 1)
+        return F.sqrt(sum((at(row) - F.col(f"b{c}")) ** 2 for row, c in enumerate("xyz")))
+
+    held = pairs.join(fits, "batch").withColumn("fits", off() <= within)
+    best = held.groupBy("batch", "try").agg(F.count_if("fits").alias("n")).groupBy("batch").agg(F.max_by("try", F.struct("n", -F.col("try"))).alias("try"))
+    good = pairs.join(fits.join(best, ["batch", "try"]), "batch").filter(off() <= within).select("batch", *names).checkpoint()
+    return similarity_fit(good).join(good.groupBy("batch").agg(F.count("*").alias("inliers")), "batch")
+
+
+@query("SELECT CAST(label AS BIGINT) AS batch, 1.0::DOUBLE AS scale, 0.955336::DOUBLE AS r11, 1.0::DOUBLE AS shift_x, count(*) FILTER (WHERE vec_id % 5 <> 0) AS inliers FROM embeddings GROUP BY label")
+def udf_ransac(spark, sf_dir):
+    """A rigid motion found although a fifth of the pairs are wrong."""
+    c, s = float(np.cos(0.3)), float(np.sin(0.3))
+    x, y, z = map(F.col, "xyz")
+    wrong = F.when(F.col("id") % 5 == 0, 3 + F.col("id") % 7).otherwise(0.0)
+    moved = points(spark, sf_dir).select("id", "batch", x.alias("ax"), y.alias("ay"), z.alias("az"), (c * x - s * y + 1 + wrong).alias("bx"), (s * x + c * y - 2 - wrong).alias("by"), (z + 0.5).alias("bz"))
+    return ransac(moved, 24, 1e-3).select("batch", r6("scale").alias("scale"), r6(F.element_at("rotation", 1)).alias("r11"), r6(F.element_at("shift", 1)).alias("shift_x"), "inliers")
 
 
 @query()

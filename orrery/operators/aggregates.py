@@ -1,8 +1,8 @@
 """Aggregations: masked statistics, residual summaries, correlation, verdicts, pooling.
 
 Statistics of a group are Spark aggregates with partial aggregation wherever the statistic
-allows it. Exact percentiles hold a group's distinct values in memory; where a group may be
-all rows, ``nearest_rank`` and the medians below work by rank instead.
+allows it. Percentiles of groups that may be a large part of a table come from ``quantiles``, by rank in
+ranges; those of single tracks use Spark's own buffer.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, r6
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, looked_up, running_counts, summarised
 from ..sources.views import (
     FOLLOWED, METRICS, POINTS, RESIDUAL, SCALARS, TRACK_OBS, followed, hashed, hashed_sql, metrics, points, residual, scalars, table, track_obs,
 )
@@ -71,21 +71,22 @@ def agg_nearest_rank(spark, sf_dir):
 LEVELS = (0.5, 0.9, 0.95, 0.99, 0.999)
 
 
-def residual_summary(grouped, *keys: str) -> DataFrame:
-    """Count, mean, RMSE, percentiles, largest, share within 0.05 of |r|, and signed percentiles, of grouped rows.
+def residual_summary(rows: DataFrame, *keys: str) -> DataFrame:
+    """Count, mean, RMSE, percentiles, largest, share within 0.05 of |r|, and signed percentiles, by ``keys``."""
+    a, r = F.abs("r"), F.col("r")
+    plain = [
+        F.count("r").alias("n"), r6(F.avg(a)).alias("mean"), r6(F.sqrt(F.avg(r * r))).alias("rmse"), r6(F.max(a)).alias("largest"), r6(F.avg((a <= 0.05).cast("double"))).alias("within"),
+    ]
+    names = {f"p{str(p)[2:].ljust(2, '0')}": (a, p) for p in LEVELS} | {"signed_p01": (r, 0.01), "signed_p50": (r, 0.5)}
+    found = summarised(rows, list(keys), plain, names)
+    return found.select(*keys, *[c for c in ("n", "mean", "rmse", "largest", "within")], *[r6(c).alias(c) for c in names])
 
-    All levels of a percentile come from one buffer of the group's values.
-    """
-    a = F.abs("r")
-    found = grouped.agg(
-        *([F.grouping_id().cast("long").alias("grain")] if "grain" in keys else []),
-        F.count("r").alias("n"), r6(F.avg(a)).alias("mean"), r6(F.sqrt(F.avg(F.col("r") * F.col("r")))).alias("rmse"), F.percentile(a, F.array(*map(F.lit, LEVELS))).alias("of_size"),
-        r6(F.max(a)).alias("largest"), r6(F.avg((a <= 0.05).cast("double"))).alias("within"), F.percentile("r", F.array(F.lit(0.01), F.lit(0.5))).alias("of_r"),
-    )
-    at = lambda c, k, name: r6(F.element_at(c, k)).alias(name)
-    return found.select(
-        *keys, "n", "mean", "rmse", *[at("of_size", k + 1, f"p{str(p)[2:].ljust(2, '0')}") for k, p in enumerate(LEVELS)], "largest", "within", at("of_r", 1, "signed_p01"), at("of_r", 2, "signed_p50")
-    )
+
+def at_grains(rows: DataFrame, grains: list[tuple[str, ...]], keys: list[str]) -> DataFrame:
+    """Each row once for each grain, with the keys that the grain lacks null, and the grain's bits in ``grain``."""
+    bits = lambda g: sum((k not in g) << (len(keys) - 1 - j) for j, k in enumerate(keys))
+    one = lambda g: F.struct(F.lit(bits(g)).cast("long").alias("grain"), *[(F.col(k) if k in g else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in keys])
+    return rows.withColumn("__g", F.explode(F.array(*map(one, grains)))).drop(*keys).select("__g.*", "*").drop("__g")
 
 
 SUMMARY = ", ".join(
@@ -97,15 +98,14 @@ SUMMARY = ", ".join(
 
 @query(f"WITH {RESIDUAL} SELECT layout, mode, {SUMMARY} FROM residual GROUP BY layout, mode")
 def agg_residual_summary(spark, sf_dir):
-    return residual_summary(residual(spark, sf_dir).groupBy("layout", "mode"), "layout", "mode")
+    return residual_summary(residual(spark, sf_dir), "layout", "mode")
 
 
 @query(f"WITH {RESIDUAL} SELECT layout, mode, view, CAST(grouping(layout, mode, view) AS BIGINT) AS grain, {SUMMARY} FROM residual GROUP BY GROUPING SETS ((layout, mode), (view, mode), ())")
 def agg_grouping_sets_summary(spark, sf_dir):
     """The same summary at several grains in one pass."""
-    rows, c = residual(spark, sf_dir), F.col
-    grouped = rows.groupingSets([[c("layout"), c("mode")], [c("view"), c("mode")], []], c("layout"), c("mode"), c("view"))
-    return residual_summary(grouped, "layout", "mode", "view", "grain")
+    rows = at_grains(residual(spark, sf_dir), [("layout", "mode"), ("view", "mode"), ()], ["layout", "mode", "view"])
+    return residual_summary(rows, "layout", "mode", "view", "grain")
 
 
 @query(f"WITH {RESIDUAL}, o AS (SELECT layout, view - 4 AS off, avg(abs(r)) AS v FROM residual GROUP BY layout, view) SELECT layout, arg_min(off, struct_pack(a := round(v, 6), b := abs(off), c := off)) AS best FROM o GROUP BY layout")
@@ -117,34 +117,39 @@ def agg_argmin_tiebreak(spark, sf_dir):
 
 @query(f"WITH {FOLLOWED} SELECT scene, count(d) AS n, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(quantile_cont(d, 0.999), 6) AS p999, round(max(d), 6) AS largest FROM followed GROUP BY scene")
 def agg_distribution(spark, sf_dir):
-    p = lambda q: r6(F.percentile("d", q))
-    return followed(track_obs(spark, sf_dir)).groupBy("scene").agg(F.count("d").alias("n"), r6(F.avg("d")).alias("mean"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.999).alias("p999"), r6(F.max("d")).alias("largest"))
+    d = F.col("d")
+    found = summarised(followed(track_obs(spark, sf_dir)), ["scene"], [F.count("d").alias("n"), r6(F.avg("d")).alias("mean"), r6(F.max("d")).alias("largest")], {"p50": (d, 0.5), "p90": (d, 0.9), "p999": (d, 0.999)})
+    return found.select("scene", "n", "mean", *[r6(c).alias(c) for c in ("p50", "p90", "p999")], "largest")
 
 
 @query(f"""WITH {RESIDUAL} SELECT view, mode, count(r) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS least, round(quantile_cont(r, 0.25), 6) AS q25,
 round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.75), 6) AS q75, round(max(r), 6) AS largest FROM residual GROUP BY GROUPING SETS ((view), (view, mode))""")
 def agg_describe(spark, sf_dir):
-    q = lambda p: r6(F.percentile("r", p))
-    rows, c = residual(spark, sf_dir), F.col
-    return rows.groupingSets([[c("view")], [c("view"), c("mode")]], c("view"), c("mode")).agg(
-        F.count("r").alias("n"), r6(F.avg("r")).alias("mean"), r6(F.stddev_samp("r")).alias("std"), r6(F.min("r")).alias("least"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), r6(F.max("r")).alias("largest")
-    )
+    rows, r = at_grains(residual(spark, sf_dir), [("view",), ("view", "mode")], ["view", "mode"]), F.col("r")
+    plain = [F.count("r").alias("n"), r6(F.avg("r")).alias("mean"), r6(F.stddev_samp("r")).alias("std"), r6(F.min("r")).alias("least"), r6(F.max("r")).alias("largest")]
+    found = summarised(rows, ["view", "mode", "grain"], plain, {"q25": (r, 0.25), "q50": (r, 0.5), "q75": (r, 0.75)})
+    return found.select("view", "mode", "n", "mean", "std", "least", *[r6(c).alias(c) for c in ("q25", "q50", "q75")], "largest")
 
 
 def spearman(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Rank correlation of finite pairs with average ranks; groups of fewer than three pairs are left out.
 
-    Ranks come from counts of distinct values, so ties and hot values cost one row each.
+    Ranks come from counts of distinct values, summed in ranges, and meet distinct pairs in
+    salted groups: a value that a third of the pairs have is one row of counts.
     """
-    ok = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(key, x, y)
+    ok = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).groupBy(key, x, y).agg(F.count("*").alias("n"))
 
     def ranks(c: str) -> DataFrame:
-        counts = ok.groupBy(key, c).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy(key).orderBy(c))
-        return counts.select(key, c, (upto - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
+        upto = running_counts(ok.groupBy(key, c).agg(F.sum("n").alias("n")), [key], c, "upto")
+        return upto.select(key, c, (F.col("upto") - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
 
-    both = ok.join(ranks(x), [key, x]).join(ranks(y), [key, y])
-    return both.groupBy(key).agg(F.count("*").alias("n"), F.corr(f"rank_{x}", f"rank_{y}").alias("rho")).filter("n >= 3")
+    both = looked_up(looked_up(ok, ranks(x), [key, x]), ranks(y), [key, y])
+    a, b, n = F.col(f"rank_{x}"), F.col(f"rank_{y}"), F.col("n")
+    # Ranks of both sides have one mean, so moments about it stay small.
+    middle = both.join(ok.groupBy(key).agg(((F.sum("n") + 1) / 2).alias("middle")), key).withColumns({"a": a - F.col("middle"), "b": b - F.col("middle")})
+    a, b = F.col("a"), F.col("b")
+    rho = F.try_divide(F.sum(n * a * b), F.sqrt(F.sum(n * a * a) * F.sum(n * b * b)))
+    return middle.groupBy(key).agg(F.sum("n").alias("n"), rho.alias("rho")).filter("n >= 3")
 
 
 @query("""WITH r AS (SELECT l_returnflag AS layout, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a,
@@ -157,8 +162,9 @@ def agg_spearman(spark, sf_dir):
 
 @query(f"WITH {SCALARS} SELECT step % 10 AS scene, count(*) FILTER (WHERE NOT isnan(value)) AS n, round(median(value) FILTER (WHERE NOT isnan(value)), 6) AS median, round(quantile_cont(value, 0.9) FILTER (WHERE NOT isnan(value)), 6) AS p90 FROM scalars GROUP BY step % 10")
 def agg_scene_loss_summary(spark, sf_dir):
-    v = F.when(~F.isnan("value"), F.col("value"))
-    return scalars(spark, sf_dir).groupBy((F.col("step") % 10).alias("scene")).agg(F.count(v).alias("n"), r6(F.median(v)).alias("median"), r6(F.percentile(v, 0.9)).alias("p90"))
+    rows = scalars(spark, sf_dir).select((F.col("step") % 10).alias("scene"), F.when(~F.isnan("value"), F.col("value")).alias("v"))
+    found = summarised(rows, ["scene"], [F.count("v").alias("n")], {"median": (F.col("v"), 0.5), "p90": (F.col("v"), 0.9)})
+    return found.select("scene", "n", r6("median").alias("median"), r6("p90").alias("p90"))
 
 
 @query(f"WITH {METRICS} SELECT method, dataset, round(sum(value) FILTER (WHERE metric = 'F'), 4) AS F, round(sum(value) FILTER (WHERE metric = 'O'), 4) AS O, round(sum(value) FILTER (WHERE metric = 'P'), 4) AS P FROM metrics GROUP BY method, dataset")
@@ -174,11 +180,11 @@ def agg_pivot_components(spark, sf_dir):
     return p.select("sample", *[F.coalesce(F.col(f"`{k}`"), F.lit(-1.0)).alias(c) for k, c in ((1, "rgb"), (2, "depth"), (7, "mask"))])
 
 
-@query("SELECT c_nationkey::BIGINT AS source, count(*) AS observations, count(DISTINCT c_mktsegment) AS scenes, count(DISTINCT (c_mktsegment, c_custkey % 5)) AS starts, list_sort(list(c_custkey % 5)) AS sorted_starts FROM customer GROUP BY c_nationkey")
+@query("SELECT c_nationkey::BIGINT AS source, count(*) AS observations, count(DISTINCT c_mktsegment) AS scenes, count(DISTINCT (c_mktsegment, c_custkey % 5)) AS starts, list_sort(list(DISTINCT c_custkey % 5)) AS sorted_starts FROM customer GROUP BY c_nationkey")
 def agg_diversity(spark, sf_dir):
     start = F.col("c_custkey") % 5
     return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("source")).agg(
-        F.count("*").alias("observations"), F.count_distinct("c_mktsegment").alias("scenes"), F.count_distinct("c_mktsegment", start).alias("starts"), F.sort_array(F.collect_list(start)).alias("sorted_starts")
+        F.count("*").alias("observations"), F.count_distinct("c_mktsegment").alias("scenes"), F.count_distinct("c_mktsegment", start).alias("starts"), F.sort_array(F.collect_set(start)).alias("sorted_starts")
     )
 
 
@@ -294,25 +300,24 @@ def agg_depth_quality(spark, sf_dir):
     e = F.abs(F.col("x") - F.col("px"))
     frames = rows.groupBy("scene", "frame").agg(F.sqrt(F.avg((F.col("x") - F.col("px")) ** 2)).alias("rmse")).groupBy("scene").agg(r6(F.avg("rmse")).alias("rmse"), r6(F.max("rmse")).alias("rmse_max"))
     far = F.col("x") > 1
-    whole = rows.groupBy("scene").agg(
-        r6(F.avg(F.when(F.col("pvis"), e))).alias("mae"), r6(F.median(e)).alias("median_error"), r6(F.avg(F.when(far, F.try_divide(e, F.col("x"))))).alias("abs_rel"),
-        r6(F.avg(F.col("pvis").cast("double"))).alias("valid"), r6(F.median(F.when(far, F.try_divide(F.col("px"), F.col("x"))))).alias("ratio"),
-    )
-    return frames.join(whole, "scene")
+    plain = [r6(F.avg(F.when(F.col("pvis"), e))).alias("mae"), r6(F.avg(F.when(far, F.try_divide(e, F.col("x"))))).alias("abs_rel"), r6(F.avg(F.col("pvis").cast("double"))).alias("valid")]
+    whole = summarised(rows, ["scene"], plain, {"median_error": (e, 0.5), "ratio": (F.when(far, F.try_divide(F.col("px"), F.col("x"))), 0.5)})
+    return frames.join(whole, "scene").withColumns({"median_error": r6("median_error"), "ratio": r6("ratio")})
 
 
-@query(f"WITH {POINTS}, n AS (SELECT id, batch, sqrt(list_sum(list_transform(fvec[1:8], lambda v: v * v))) AS norm FROM points) SELECT batch, round(sqrt(sum(norm * norm)), 6) AS total, round(max(norm), 6) AS largest, round(avg(CAST(norm > 0.35 AS DOUBLE)), 6) AS clipped FROM n GROUP BY batch")
+@query(f"WITH {POINTS}, n AS (SELECT id, batch, sqrt(list_sum(list_transform(fvec, lambda v: v * v))) AS norm FROM points) SELECT batch, round(sqrt(sum(norm * norm)), 6) AS total, round(max(norm), 6) AS largest, round(avg(CAST(norm > 1 AS DOUBLE)), 6) AS clipped FROM n GROUP BY batch")
 def agg_norm_clip(spark, sf_dir):
     """The norm of a gradient from its parts' norms, and the share above a clip."""
-    norm = F.sqrt(F.aggregate(F.slice("fvec", 1, 8), F.lit(0.0), lambda s, v: s + v * v))
-    return points(spark, sf_dir).withColumn("norm", norm).groupBy("batch").agg(r6(F.sqrt(F.sum(F.col("norm") ** 2))).alias("total"), r6(F.max("norm")).alias("largest"), r6(F.avg((F.col("norm") > 0.35).cast("double"))).alias("clipped"))
+    norm = F.sqrt(F.aggregate("fvec", F.lit(0.0), lambda s, v: s + v * v))
+    return points(spark, sf_dir).withColumn("norm", norm).groupBy("batch").agg(r6(F.sqrt(F.sum(F.col("norm") ** 2))).alias("total"), r6(F.max("norm")).alias("largest"), r6(F.avg((F.col("norm") > 1).cast("double"))).alias("clipped"))
 
 
 @query(f"WITH {POINTS} SELECT batch, round(quantile_cont(sqrt(x * x + y * y), 0.9), 6) AS radius_p90, round(avg(z), 6) AS mean_z, round(quantile_cont(z, 0.25), 6) AS q25, round(quantile_cont(z, 0.75), 6) AS q75, round(avg(CAST(z < 0 AS DOUBLE)), 6) AS below FROM points GROUP BY batch")
 def agg_scene_statistics(spark, sf_dir):
-    q = lambda p: r6(F.percentile("z", p))
-    radius = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)
-    return points(spark, sf_dir).groupBy("batch").agg(r6(F.percentile(radius, 0.9)).alias("radius_p90"), r6(F.avg("z")).alias("mean_z"), q(0.25).alias("q25"), q(0.75).alias("q75"), r6(F.avg((F.col("z") < 0).cast("double"))).alias("below"))
+    z, radius = F.col("z"), F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)
+    plain = [r6(F.avg("z")).alias("mean_z"), r6(F.avg((z < 0).cast("double"))).alias("below")]
+    found = summarised(points(spark, sf_dir), ["batch"], plain, {"radius_p90": (radius, 0.9), "q25": (z, 0.25), "q75": (z, 0.75)})
+    return found.select("batch", "mean_z", "below", *[r6(c).alias(c) for c in ("radius_p90", "q25", "q75")])
 
 
 @query(f"""WITH {RESIDUAL}, b AS (SELECT ordinal, min_by(r, abs(r)) AS best, max(r) FILTER (WHERE view = 1) AS nearest FROM residual GROUP BY ordinal)
@@ -330,9 +335,9 @@ SELECT batch, round(cx, 6) AS cx, round(cy, 6) AS cy, round(floor_z, 6) AS floor
 def agg_scene_normalise(spark, sf_dir):
     """Centroid, floor height and the scale that brings the median distance to 12."""
     p = points(spark, sf_dir)
-    c = p.groupBy("batch").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.percentile("z", 0.12).alias("floor_z"))
-    far = p.join(c, "batch").withColumn("r", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2))
-    m = far.groupBy("batch").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY r)").alias("m"))
+    c = summarised(p, ["batch"], [F.avg("x").alias("cx"), F.avg("y").alias("cy")], {"floor_z": (F.col("z"), 0.12)})
+    far = looked_up(p.select("batch", "id", "x", "y"), c, ["batch"]).withColumn("r", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2))
+    m = exact_quantiles(far, ["batch"], "r", [0.5], discrete=True).select("batch", F.col("quantile").alias("m"))
     return c.join(m, "batch").select("batch", r6("cx").alias("cx"), r6("cy").alias("cy"), r6("floor_z").alias("floor_z"), r6(12 / F.col("m")).alias("scale"))
 
 
@@ -408,10 +413,15 @@ def agg_scatter_add(spark, sf_dir):
     return e.groupBy("batch", "pixel").agg(r6(F.sum("x")).alias("total"), F.count("*").alias("hits"))
 
 
-@query(f"""WITH {POINTS}, c AS (SELECT id, x, y FROM points WHERE batch = 3), r AS (SELECT (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) / (2 * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) + 0.01) AS ratio FROM c a JOIN c b ON a.id < b.id) SELECT round(median(ratio), 6) AS scale, count(*) AS pairs FROM r""")
+@query("""WITH c AS (SELECT n_regionkey::BIGINT AS rig, n_nationkey AS view, 3 * cos(n_nationkey * 0.1::DOUBLE) AS x, 3 * sin(n_nationkey * 0.1::DOUBLE) AS y, n_nationkey % 4 * 0.2::DOUBLE AS z FROM nation),
+r AS (SELECT a.rig, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / (2 * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) + 0.01::DOUBLE) AS ratio FROM c a JOIN c b ON a.rig = b.rig AND a.view < b.view)
+SELECT rig, round(median(ratio), 6) AS scale, count(*) AS pairs FROM r GROUP BY rig""")
 def agg_baseline_scale(spark, sf_dir):
-    """Median ratio of two rigs' camera distances over all pairs of the cameras of one rig."""
-    c = points(spark, sf_dir).filter("batch = 3").select("id", "x", "y")
+    """Median ratio of two calibrations' camera distances over the pairs of cameras of each rig, which has a few."""
+    k = F.col("n_nationkey")
+    c = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("rig"), k.alias("view"), (3 * F.cos(k * 0.1)).alias("x"), (3 * F.sin(k * 0.1)).alias("y"), (k % 4 * 0.2).alias("z"))
     a, b = c.alias("a"), c.alias("b")
-    d = F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2)
-    return a.join(b, F.col("a.id") < F.col("b.id")).select((d / (2 * d + 0.01)).alias("ratio")).agg(r6(F.median("ratio")).alias("scale"), F.count("*").alias("pairs"))
+    flat = (F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2
+    ratio = F.sqrt(flat + (F.col("a.z") - F.col("b.z")) ** 2) / (2 * F.sqrt(flat) + 0.01)
+    pairs = a.join(b, (F.col("a.rig") == F.col("b.rig")) & (F.col("a.view") < F.col("b.view"))).select("a.rig", ratio.alias("ratio"))
+    return summarised(pairs, ["rig"], [F.count("*").alias("pairs")], {"scale": (F.col("ratio"), 0.5)}).withColumn("scale", r6("scale"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, r6
 from ..sources.views import FOLLOWED, POINTS, SCALARS, TRACK_OBS, followed, points, scalars, table, track_obs
+from ..sources.checkpoints import ready
 from .components import components
 from .windows import around, cells
 
 SMALL_SIDE_ROWS = 10_000
+CELL_SALTS = 8
 
 
 def bounded_broadcast(side: DataFrame, rows: int = SMALL_SIDE_ROWS) -> DataFrame:
@@ -68,11 +72,11 @@ def cosine(a: Column, b: Column) -> Column:
 COS = "greatest(-1, least(1, list_dot_product(a.f, b.f) / nullif(sqrt(list_dot_product(a.f, a.f)) * sqrt(list_dot_product(b.f, b.f)), 0)))"
 
 
-@query(f"""WITH {POINTS}, p AS (SELECT id, batch, id // 25 AS step, fvec[1:8] AS f FROM points)
+@query(f"""WITH {POINTS}, p AS (SELECT id, batch, id // 25 AS step, fvec AS f FROM points)
 SELECT a.batch = b.batch AS same, count(*) AS pairs, round(avg({COS}), 6) AS mean, round(min({COS}), 6) AS least FROM p a JOIN p b ON a.step = b.step AND a.id < b.id GROUP BY 1""")
 def agg_relation_stats(spark, sf_dir):
     """Agreement of gradient sketches within a step, by whether they share a source."""
-    p = points(spark, sf_dir).select("id", "batch", F.floor(F.col("id") / 25).alias("step"), F.slice("fvec", 1, 8).alias("f"))
+    p = points(spark, sf_dir).select("id", "batch", F.floor(F.col("id") / 25).alias("step"), F.col("fvec").alias("f"))
     pairs = unordered_pairs(p, "step", "id").select((F.col("a.batch") == F.col("b.batch")).alias("same"), cosine(F.col("a.f"), F.col("b.f")).alias("c"))
     return pairs.groupBy("same").agg(F.count("*").alias("pairs"), r6(F.avg("c")).alias("mean"), r6(F.min("c")).alias("least"))
 
@@ -88,36 +92,66 @@ def join_range_chunk(spark, sf_dir):
 def nearest(refs: DataFrame, queries: DataFrame, k: int, keep_self: bool = True) -> DataFrame:
     """The ``k`` nearest references of each query within its batch, ties to the smaller id.
 
-    ``refs`` and ``queries`` have ``batch, id, x, y, z``. Rows meet on batch and salt: a batch's
-    references are dealt over salts, each query visits all, and the k best of a salt
-    are all that travels on.
+    ``refs`` and ``queries`` have ``batch, id, x, y, z``. Points lie in cells that hold about ``k`` references
+    on average. A query meets the cells within one of its own, and is settled if its k-th distance is no more than
+    the width that these cells cover around it for certain; the others go on with twice the width,
+    until the cells cover all references. A cell's references are dealt over salts, which a query all visits.
     """
-    salts = 8
-    r = refs.select("batch", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"), F.col("id").alias("ref"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"))
-    q = queries.select("batch", "id", "x", "y", "z").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    d = F.sqrt((F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2 + (F.col("z") - F.col("rz")) ** 2)
-    met = r.join(q, ["batch", "salt"]).withColumn("d", F.round(d, 9))
-    if not keep_self:
-        met = met.filter("id != ref")
-    w = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("d", "ref"))
-    few = met.withColumn("n", w("batch", "id", "salt")).filter(F.col("n") <= k)
-    return few.withColumn("place", w("batch", "id").cast("long")).filter(F.col("place") <= k).select("batch", "id", "place", "ref", "d")
+    ready(refs.sparkSession)
+    columns = ("x", "y", "z")
+    low, high = lambda c: F.min(c).alias(f"low_{c}"), lambda c: F.max(c).alias(f"high_{c}")
+    box = refs.agg(F.count("*").alias("n"), F.count_distinct("batch").alias("batches")).crossJoin(
+        refs.select(*columns).union(queries.select(*columns)).agg(*[f(c) for c in columns for f in (low, high)])
+    ).first()  # one row each
+    sides = [box[f"high_{c}"] - box[f"low_{c}"] for c in columns] if box["n"] else [0.0]
+    # As wide as a cell of k references would be if they were spread evenly.
+    wide = [s for s in sides if s > 0]
+    size = (math.prod(wide) * k * max(1, box["batches"]) / box["n"]) ** (1 / len(wide)) if wide else 1.0
+    most = max(1, math.ceil(max(sides) / size))
+    cell = lambda c, width: F.floor(F.col(c) / width).cast("long")
+    salt = F.pmod(F.xxhash64("id"), F.lit(CELL_SALTS))
+    refs = refs.select("batch", F.col("id").alias("ref"), *[F.col(c).alias(f"r{c}") for c in columns], salt.alias("salt")).checkpoint()
+    left, settled, width = queries.select("batch", "id", *columns).checkpoint(), None, size
+    around = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    while True:
+        last = width >= most * size
+        r = refs.select("*", *[cell(f"r{c}", width).alias(f"c{c}") for c in columns])
+        # A sparse table of the cells that hold references: a query goes to those alone.
+        held = r.select("batch", "cx", "cy", "cz", "salt").distinct()
+        q = left.select("*", *[cell(c, width).alias(f"o{c}") for c in columns]).withColumn("dx", around).withColumn("dy", around).withColumn("dz", around)
+        q = q.select("batch", "id", *columns, *[(F.col(f"o{c}") + F.col(f"d{c}")).alias(f"c{c}") for c in columns]).join(held, ["batch", "cx", "cy", "cz"])
+        met = q.join(r, ["batch", "cx", "cy", "cz", "salt"])
+        if not keep_self:
+            met = met.filter("id != ref")
+        d = F.round(F.sqrt(sum((F.col(c) - F.col(f"r{c}")) ** 2 for c in columns)), 9)
+        place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("d", "ref"))
+        few = met.withColumn("d", d).withColumn("n", place("batch", "id", "salt")).filter(F.col("n") <= k)
+        found = few.withColumn("place", place("batch", "id").cast("long")).filter(F.col("place") <= k).select("batch", "id", "place", "ref", "d").checkpoint()
+        if last:
+            return settled.unionByName(found) if settled is not None else found
+        kth = found.groupBy("batch", "id").agg(F.max("d").alias("d"), F.count("*").alias("n")).filter((F.col("n") == k) & (F.col("d") < width - 1e-8))
+        done = found.join(kth.select("batch", "id"), ["batch", "id"], "left_semi")
+        settled = done if settled is None else settled.unionByName(done)
+        left = left.join(kth, ["batch", "id"], "left_anti").checkpoint()
+        if left.isEmpty():
+            return settled
+        width *= 2
 
 
 KNN = "SELECT q.batch, q.id, row_number() OVER (PARTITION BY q.batch, q.id ORDER BY round(sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2 + (q.z - r.z) ** 2), 9), r.id) AS place, r.id AS ref, round(sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2 + (q.z - r.z) ** 2), 9) AS d FROM points q JOIN points r ON q.batch = r.batch"
 
 
-@query(f"WITH {POINTS}, k AS ({KNN} WHERE q.id % 5 = 0) SELECT batch, id, place, ref, round(d, 6) AS d FROM k WHERE place <= 16")
+@query(f"WITH {POINTS}, k AS ({KNN}) SELECT batch, id, place, ref, round(d, 6) AS d FROM k WHERE place <= 16")
 def knn_topk(spark, sf_dir):
     p = points(spark, sf_dir)
-    return nearest(p, p.filter("id % 5 = 0"), 16).select("batch", "id", "place", "ref", r6("d").alias("d"))
+    return nearest(p, p, 16).select("batch", "id", "place", "ref", r6("d").alias("d"))
 
 
-@query(f"WITH {POINTS}, k AS ({KNN} WHERE q.id % 7 = 0 AND r.id % 7 <> 0) SELECT k.id, ref, round(p.fvec[5], 6) AS feature FROM k JOIN points p ON p.id = ref WHERE place = 1")
+@query(f"WITH {POINTS}, k AS ({KNN} WHERE q.id <> r.id) SELECT k.id, ref, round(p.fvec[5], 6) AS feature FROM k JOIN points p ON p.id = ref WHERE place = 1")
 def knn_top1(spark, sf_dir):
-    """The feature of the nearest point."""
+    """The feature of the nearest other point."""
     p = points(spark, sf_dir)
-    one = nearest(p.filter("id % 7 != 0"), p.filter("id % 7 = 0"), 1)
+    one = nearest(p, p, 1, keep_self=False)
     return one.join(p.select(F.col("id").alias("ref"), "fvec"), "ref").select("id", "ref", r6(F.element_at("fvec", 5)).alias("feature"))
 
 
@@ -127,11 +161,11 @@ def knn_self_excl(spark, sf_dir):
     return nearest(p, p, 3, keep_self=False).select("batch", "id", "place", "ref")
 
 
-@query(f"WITH {POINTS}, k AS ({KNN} WHERE r.z > 0 AND q.id % 5 = 0) SELECT batch, id, place, ref FROM k WHERE place <= 4")
+@query(f"WITH {POINTS}, k AS ({KNN} WHERE r.z > 0) SELECT batch, id, place, ref FROM k WHERE place <= 4")
 def knn_filtered(spark, sf_dir):
     """Invalid references go before the search."""
     p = points(spark, sf_dir)
-    return nearest(p.filter("z > 0"), p.filter("id % 5 = 0"), 4).select("batch", "id", "place", "ref")
+    return nearest(p.filter("z > 0"), p, 4).select("batch", "id", "place", "ref")
 
 
 CAMERAS = "cameras AS (SELECT n_nationkey::BIGINT AS view, n_regionkey::BIGINT AS rig, 400 + n_nationkey * 10.0::DOUBLE AS f, n_nationkey * 0.1::DOUBLE AS angle, 4 + n_regionkey * 0.5::DOUBLE AS back FROM nation)"
@@ -213,13 +247,15 @@ def join_tag_pivot(spark, sf_dir):
     return wide.select("gpu", "step", r6("view").alias("view"), r6("click").alias("click"), (F.col("step") - F.min("step").over(Window.partitionBy("gpu"))).alias("elapsed"))
 
 
-@query(f"""WITH {POINTS}, f AS (SELECT id AS face, id AS v0, (id * 3 + 1) % 500 AS v1, (id * 5 + 2) % 500 AS v2 FROM points WHERE id < 500), c AS (SELECT face, unnest([v0, v1, v2]) AS id, unnest([0.5, 0.3, 0.2])::DOUBLE AS w FROM f)
+@query(f"""WITH {POINTS}, f AS (SELECT id AS face, id AS v0, (id * 3 + 1) % n AS v1, (id * 5 + 2) % n AS v2 FROM points, (SELECT count(*) AS n FROM points)), c AS (SELECT face, unnest([v0, v1, v2]) AS id, unnest([0.5, 0.3, 0.2])::DOUBLE AS w FROM f)
 SELECT face, round(sum(w * x), 6) AS x, round(sum(w * y), 6) AS y, round(sum(w * z), 6) AS z FROM c JOIN points USING (id) GROUP BY face""")
 def join_barycentric(spark, sf_dir):
-    """A face's point as the weighted sum of its three corners."""
+    """A face's point as the weighted sum of its three corners; a face for each point."""
     p = points(spark, sf_dir).select("id", "x", "y", "z")
-    corners = F.array(F.struct(F.col("id").alias("v"), F.lit(0.5).alias("w")), F.struct(((F.col("id") * 3 + 1) % 500).alias("v"), F.lit(0.3).alias("w")), F.struct(((F.col("id") * 5 + 2) % 500).alias("v"), F.lit(0.2).alias("w")))
-    f = p.filter("id < 500").select(F.col("id").alias("face"), F.explode(corners).alias("c")).select("face", F.col("c.v").alias("id"), F.col("c.w").alias("w"))
+    f = p.select("id").crossJoin(F.broadcast(p.agg(F.count("*").alias("n"))))  # one number
+    corner = lambda v, w: F.struct(v.alias("v"), F.lit(w).alias("w"))
+    corners = F.array(corner(F.col("id"), 0.5), corner((F.col("id") * 3 + 1) % F.col("n"), 0.3), corner((F.col("id") * 5 + 2) % F.col("n"), 0.2))
+    f = f.select(F.col("id").alias("face"), F.explode(corners).alias("c")).select("face", F.col("c.v").alias("id"), F.col("c.w").alias("w"))
     return f.join(p, "id").groupBy("face").agg(*[r6(F.sum(F.col("w") * F.col(c))).alias(c) for c in "xyz"])
 
 

@@ -106,11 +106,11 @@ def join_semi_anti_select(spark, sf_dir):
     return s.join(s.filter("split = 'train'").select("family"), "family", "left_semi").join(s.filter("family LIKE 'B%'").select("family"), "family", "left_anti").select("id", "family")
 
 
-@query(f"""WITH {METRICS}, p AS (SELECT sequence, metric, max(value) FILTER (WHERE method = 'original') AS original, max(value) FILTER (WHERE method = 'candidate') AS candidate FROM metrics WHERE dataset = '1-URGENT' GROUP BY ALL)
-SELECT sequence, metric, round(candidate - original, 6) AS delta FROM p WHERE original IS NOT NULL AND candidate IS NOT NULL""")
+@query(f"""WITH {METRICS}, p AS (SELECT dataset, sequence, metric, max(value) FILTER (WHERE method = 'original') AS original, max(value) FILTER (WHERE method = 'candidate') AS candidate FROM metrics GROUP BY ALL)
+SELECT dataset, sequence, metric, round(candidate - original, 6) AS delta FROM p WHERE original IS NOT NULL AND candidate IS NOT NULL""")
 def join_paired_delta(spark, sf_dir):
-    """Two methods' values of the same sequence, joined and subtracted."""
-    m = metrics(spark, sf_dir).filter("dataset = '1-URGENT'")
-    one = m.filter("method = 'original'").select("sequence", "metric", F.col("value").alias("original"))
-    two = m.filter("method = 'candidate'").select("sequence", "metric", F.col("value").alias("candidate"))
-    return one.join(two, ["sequence", "metric"]).select("sequence", "metric", r6(F.col("candidate") - F.col("original")).alias("delta"))
+    """Two methods' values of the same dataset and sequence, joined and subtracted."""
+    m, keys = metrics(spark, sf_dir), ["dataset", "sequence", "metric"]
+    one = m.filter("method = 'original'").select(*keys, F.col("value").alias("original"))
+    two = m.filter("method = 'candidate'").select(*keys, F.col("value").alias("candidate"))
+    return one.join(two, keys).select(*keys, r6(F.col("candidate") - F.col("original")).alias("delta"))

@@ -1,38 +1,93 @@
-"""Exact percentiles of groups of any size: by counts of distinct values and their ranks, without a buffer of values."""
+"""Exact percentiles, ranks and lookups for keys of any size: no task or buffer holds the rows of one key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.checkpoints import ready
 
+SALTS = 64
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: str, levels: list[float]) -> DataFrame:
-    """``keys, level, quantile``: interpolated percentiles of the values that are not null.
+
+def key_of(keys: list[str]) -> Column:
+    """The keys as one column, in which nulls are equal: rows of several grains meet by it."""
+    return F.struct(*(keys or [F.lit(0).alias("all")]))
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, levels: list[float], discrete: bool = False) -> DataFrame:
+    """``keys, level, quantile``: interpolated (or ``discrete``) percentiles of the values that are not null.
 
     Distinct values are counted (a hot value is one row), dealt into ranges of ``keys, value``
     and written once. Each range's total per key gives the rank at which it begins; of a
     range only the values at the wanted ranks travel on. A task holds one range.
     """
     ready(rows.sparkSession)
-    one = F.lit(0).alias("__all")
-    by = keys or ["__all"]
-    counted = rows.select(*(keys or [one]), F.col(value).alias("__v")).filter(F.col("__v").isNotNull()).groupBy(*by, "__v").agg(F.count("*").alias("__n"))
-    ranged = counted.repartitionByRange(*by, "__v").withColumn("__range", F.spark_partition_id()).checkpoint()
+    counted = rows.select(key_of(keys).alias("__key"), F.col(value).alias("__v")).filter(F.col("__v").isNotNull()).groupBy("__key", "__v").agg(F.count("*").alias("__n"))
+    ranged = counted.repartitionByRange("__key", "__v").withColumn("__range", F.spark_partition_id()).checkpoint()
 
-    totals = ranged.groupBy(*by, "__range").agg(F.sum("__n").alias("__total"))
-    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__first", F.coalesce(F.sum("__total").over(before), F.lit(0))).withColumn("__of", F.sum("__total").over(Window.partitionBy(*by)))
+    totals = ranged.groupBy("__key", "__range").agg(F.sum("__n").alias("__total"))
+    before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__first", F.coalesce(F.sum("__total").over(before), F.lit(0))).withColumn("__of", F.sum("__total").over(Window.partitionBy("__key")))
 
-    place = F.col("level") * (F.col("__of") - 1)
+    place = F.greatest(F.lit(0.0), F.ceil(F.col("level") * F.col("__of")) - 1.0) if discrete else F.col("level") * (F.col("__of") - 1)
     wanted = totals.withColumn("level", F.explode(F.array(*[F.lit(float(p)) for p in levels])))
     low, part = F.floor(place), place - F.floor(place)
     ends = F.array(F.struct(low.alias("rank"), (1 - part).alias("weight")), F.struct((low + 1).alias("rank"), part.alias("weight")))
     wanted = wanted.withColumn("__e", F.explode(ends)).filter((F.col("__e.weight") > 0) & (F.col("__e.rank") >= F.col("__first")) & (F.col("__e.rank") < F.col("__first") + F.col("__total")))
-    wanted = wanted.select(*by, "__range", "level", (F.col("__e.rank") - F.col("__first")).alias("__rank"), F.col("__e.weight").alias("__weight"))
+    wanted = wanted.select("__key", "__range", "level", (F.col("__e.rank") - F.col("__first")).alias("__rank"), F.col("__e.weight").alias("__weight"))
+
+    upto = F.sum("__n").over(Window.partitionBy("__key", "__range").orderBy("__v"))
+    placed = ranged.join(wanted.select("__key", "__range").distinct(), ["__key", "__range"], "left_semi").withColumn("__upto", upto)
+    hit = placed.join(wanted, ["__key", "__range"]).filter((F.col("__rank") >= F.col("__upto") - F.col("__n")) & (F.col("__rank") < F.col("__upto")))
+    found = hit.groupBy("__key", "level").agg(F.sum(F.col("__v") * F.col("__weight")).alias("quantile"))
+    return found.select(*[F.col("__key")[k].alias(k) for k in keys], "level", "quantile")
+
+
+def summarised(rows: DataFrame, keys: list[str], plain: list[Column], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """``keys``, the aggregates ``plain``, and for each name of ``wanted`` the exact percentile of a column at a level."""
+    values: dict[str, Column] = {str(c): c for c, _ in wanted.values()}
+    names = list(values)
+    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("what"), values[n].cast("double").alias("v")) for k, n in enumerate(names)])).alias("__s"))
+    long = long.select(*keys, F.col("__s.what").alias("__what"), F.col("__s.v").alias("__v"))
+    found = exact_quantiles(long, [*keys, "__what"], "__v", sorted({p for _, p in wanted.values()}))
+    picked = [
+        F.max(F.when((F.col("__what") == names.index(str(c))) & (F.col("level") == float(p)), F.col("quantile"))).alias(name) for name, (c, p) in wanted.items()
+    ]
+    base = rows.groupBy(key_of(keys).alias("__key")).agg(*plain)
+    joined = base.join(found.groupBy(key_of(keys).alias("__key")).agg(*picked), "__key", "left")
+    return joined.select(*[F.col("__key")[k].alias(k) for k in keys], *[c for c in joined.columns if c != "__key"])
+
 
-    upto = F.sum("__n").over(Window.partitionBy(*by, "__range").orderBy("__v"))
-    placed = ranged.join(wanted.select(*by, "__range").distinct(), [*by, "__range"], "left_semi").withColumn("__upto", upto)
-    hit = placed.join(wanted, [*by, "__range"]).filter((F.col("__rank") >= F.col("__upto") - F.col("__n")) & (F.col("__rank") < F.col("__upto")))
-    return hit.groupBy(*by, "level").agg(F.sum(F.col("__v") * F.col("__weight")).alias("quantile")).select(*keys, "level", "quantile")
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their place, from 0, in the order within their key; a task holds a range of ``keys, order``."""
+    ready(rows.sparkSession)
+    at = [f"__o{k}" for k in range(len(order))]
+    held = rows.withColumn("__key", key_of(keys)).select("*", *[c.alias(n) for n, c in zip(at, order, strict=True)])
+    ranged = held.repartitionByRange("__key", *at).withColumn("__range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("__key", "__range").agg(F.count("*").alias("__n"))
+    first = totals.select("__key", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    within = F.row_number().over(Window.partitionBy("__key", "__range").orderBy(*at)) - 1
+    return ranged.withColumn("__within", within).join(first, ["__key", "__range"]).withColumn(name, (F.col("__first") + F.col("__within")).cast("long")).select(*rows.columns, name)
+
+
+def running_counts(counts: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Of ``keys, value, n``, one row a value: the same with the sum of ``n`` up to and with the value."""
+    ready(counts.sparkSession)
+    ranged = counts.withColumn("__key", key_of(keys)).repartitionByRange("__key", value).withColumn("__range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("__key", "__range").agg(F.sum("n").alias("__n"))
+    first = totals.select("__key", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    within = F.sum("n").over(Window.partitionBy("__key", "__range").orderBy(value))
+    return ranged.withColumn("__within", within).join(first, ["__key", "__range"]).select(*counts.columns, (F.col("__first") + F.col("__within")).alias(name))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key, where a key may hold a third of the rows.
+
+    Rows meet their key in salted groups; a key goes to the groups that it has rows in.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS)).cast("int"))
+    places = salted.select(*keys, "__salt").distinct().join(table, keys)
+    return salted.join(places, [*keys, "__salt"]).drop("__salt")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..registry import query, r6
 from ..sources.views import FOLLOWED, SCALARS, TRACK_OBS, followed, hashed, hashed_sql, scalars, table, track_obs
+from .quantiles import ranked
+
 
 def by_track():
     return Window.partitionBy("track").orderBy("frame")
@@ -255,15 +257,13 @@ def win_contiguous_ids(spark, sf_dir):
 @query("SELECT c_nationkey::BIGINT AS source, c_custkey AS scene, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 8 AS shard FROM customer")
 def win_shard_assign(spark, sf_dir):
     """Eight scenes to a shard of their source."""
-    n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("source"), F.col("c_custkey").alias("scene"), F.floor(n / 8).cast("long").alias("shard"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("source"), F.col("c_custkey").alias("scene"))
+    return ranked(rows, ["source"], [F.col("scene")], "n").select("source", "scene", F.floor(F.col("n") / 8).cast("long").alias("shard"))
 
 
 def global_index(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """A running index over ``key, order``: ranks within a key plus the rows of the keys before it."""
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(key).count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).join(starts, key).withColumn(name, F.col("__before") + F.col("__n")).drop("__n", "__before")
+    """A running index over ``key, order``, from 0, by ranges."""
+    return ranked(rows, [], [F.col(key), F.col(order)], name)
 
 
 @query("SELECT c_nationkey::BIGINT AS shard, c_custkey AS scene, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS sample FROM customer")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import top_k
+from ..operators.quantiles import ranked
 from ..registry import query, r6
 from ..sources.views import FOLLOWED, TRACK_OBS, followed, hashed, hashed_sql, table, track_obs
 from .track_metrics import BUCKETS, DYNAMIC, PATH_VISIBLE, STATIC, VERY_DYNAMIC, motion_buckets, path_visible
@@ -33,12 +34,12 @@ def samp_balanced_cycles(spark, sf_dir):
     return balanced_cycles(scenes(spark, sf_dir), "source", "scene", 2, 72)
 
 
-@query("""WITH p AS (SELECT unnest(['a', 'b', 'a', 'c']) AS source, unnest(range(4))::BIGINT AS microbatch), r AS (SELECT unnest(range(3))::BIGINT AS rank), s AS (SELECT o_orderkey AS step FROM orders WHERE o_orderkey < 200)
+@query("""WITH p AS (SELECT unnest(['a', 'b', 'a', 'c']) AS source, unnest(range(4))::BIGINT AS microbatch), r AS (SELECT unnest(range(3))::BIGINT AS rank), s AS (SELECT o_orderkey AS step FROM orders)
 SELECT step, microbatch, rank, source, step * 12 + row_number() OVER (PARTITION BY step, source ORDER BY microbatch, rank) - 1 AS cursor FROM s, p, r""")
 def samp_step_expand(spark, sf_dir):
     """Every microbatch and rank of a step, each at its source's next cursor."""
     pattern = F.array(*map(F.lit, "abac"))
-    s = table(spark, sf_dir, "orders").filter("o_orderkey < 200").select(F.col("o_orderkey").alias("step"), F.posexplode(pattern).alias("microbatch", "source"))
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step"), F.posexplode(pattern).alias("microbatch", "source"))
     s = s.withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     n = F.row_number().over(Window.partitionBy("step", "source").orderBy("microbatch", "rank")) - 1
     return s.select("step", F.col("microbatch").cast("long").alias("microbatch"), "rank", "source", (F.col("step") * 12 + n).alias("cursor"))
@@ -47,8 +48,7 @@ def samp_step_expand(spark, sf_dir):
 @query(f"""WITH {SCENES}, n AS (SELECT *, (row_number() OVER (PARTITION BY views ORDER BY {hashed_sql("batch", "scene")}, scene) - 1) AS k FROM scenes) SELECT views, k // 8 AS batch, k % 4 AS rank, scene FROM n""")
 def samp_homogeneous_batches(spark, sf_dir):
     """Batches of eight scenes with one view count, two to each of four ranks."""
-    k = F.row_number().over(Window.partitionBy("views").orderBy(hashed("batch", "scene"), "scene")) - 1
-    return scenes(spark, sf_dir).withColumn("k", k).select("views", F.floor(F.col("k") / 8).cast("long").alias("batch"), (F.col("k") % 4).cast("long").alias("rank"), "scene")
+    return ranked(scenes(spark, sf_dir), ["views"], [hashed("batch", "scene"), F.col("scene")], "k").select("views", F.floor(F.col("k") / 8).cast("long").alias("batch"), (F.col("k") % 4).cast("long").alias("rank"), "scene")
 
 
 def stratified(rows: DataFrame, bucket: str, key: str, quotas: dict[str, float], target: int, salt: str) -> DataFrame:
@@ -165,7 +165,10 @@ def greedy(ranks: int):
     return run
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCENES}, s AS (SELECT source, scene // 100 AS shard, CAST(sum(tracks) AS BIGINT) AS bytes FROM scenes GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bytes DESC, shard) AS n FROM s),
+walk AS (SELECT source, 0::BIGINT AS n, NULL::BIGINT AS shard, NULL::BIGINT AS rank, [0, 0, 0, 0]::BIGINT[] AS load FROM o WHERE n = 1
+UNION ALL SELECT o.source, o.n, o.shard, list_position(load, list_min(load)) - 1, list_transform(range(1, 5), lambda i: load[i] + CASE WHEN i = list_position(load, list_min(load)) THEN o.bytes ELSE 0 END) FROM walk JOIN o ON o.source = walk.source AND o.n = walk.n + 1)
+SELECT source, shard, rank FROM walk WHERE n > 0""")
 def sched_greedy_ranks(spark, sf_dir):
     """Sequential by nature: each source's catalogue of shards is one small group."""
     s = scenes(spark, sf_dir).groupBy("source", F.floor(F.col("scene") / 100).cast("long").alias("shard")).agg(F.sum("tracks").alias("bytes"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import summarised
 from ..registry import number, query, r6
 from ..sources.views import FOLLOWED, followed, track_obs
 
@@ -218,10 +219,10 @@ def agg_motion_summary(spark, sf_dir):
     rows = followed(track_obs(spark, sf_dir))
     short = path_visible(rows.filter("frame < qt + 24")).select("track", F.col("path").alias("cut"))
     both = path_visible(rows).join(short, "track")
-    return both.groupBy("scene").agg(
-        r6(F.avg("path")).alias("full_mean"), r6(F.median("path")).alias("full_median"), r6(F.percentile("path", 0.9)).alias("full_p90"), r6(F.avg("cut")).alias("window_mean"), r6(F.median("cut")).alias("window_median"),
-        F.count_if((F.col("path") > DYNAMIC) & (F.col("cut") < STATIC)).alias("dynamic_but_static"),
-    )
+    path, cut = F.col("path"), F.col("cut")
+    plain = [r6(F.avg("path")).alias("full_mean"), r6(F.avg("cut")).alias("window_mean"), F.count_if((path > DYNAMIC) & (cut < STATIC)).alias("dynamic_but_static")]
+    found = summarised(both, ["scene"], plain, {"full_median": (path, 0.5), "full_p90": (path, 0.9), "window_median": (cut, 0.5)})
+    return found.withColumns({c: r6(c) for c in ("full_median", "full_p90", "window_median")})
 
 
 @query(f"""WITH {FOLLOWED}, steps AS (SELECT track, scene, frame, d, x, px, vis, frame - qt AS age, row_number() OVER (PARTITION BY track ORDER BY frame) - 1 AS n FROM followed WHERE frame >= qt)

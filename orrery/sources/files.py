@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,19 +83,52 @@ def read_arrays(spark: SparkSession, path: str, shape: tuple[int, ...]) -> DataF
     return files.select("path", "content").mapInPandas(rows, "path string, i long, j long, value double")
 
 
+def listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``path, length, modificationTime`` of the files below a folder; contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return found.select("path", "length", "modificationTime")
+
+
+def opened(uri: str) -> io.RawIOBase:
+    """A stream of a file that Spark has listed, on the worker."""
+    fs, where = pyarrow.fs.FileSystem.from_uri(uri)
+    return fs.open_input_stream(where)
+
+
+def write_files(rows: DataFrame, path: str) -> int:
+    """Writes rows ``name, content`` as files below ``path``, each whole or not at all; how many.
+
+    A worker writes beside the name and moves: a task that runs again writes the same.
+    """
+    base = path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                place = f"{root}/{name}"
+                fs.create_dir(place.rpartition("/")[0])
+                with fs.open_output_stream(draft := f"{place}.{uuid.uuid4().hex}.draft") as out:
+                    out.write(content)
+                fs.move(draft, place)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.select("name", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_tars(spark: SparkSession, path: str, batch_bytes: int = 32 << 20) -> DataFrame:
     """Members of TAR shards as rows ``shard, position, scene, kind, name, bytes, content``.
 
     A member's scene is its folder and its kind the last part of its name. A shard is one
-    task; its members leave in batches of about ``batch_bytes``.
+    task's stream, never a value: its members leave in batches of about ``batch_bytes``.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["shard", "position", "scene", "kind", "name", "bytes", "content"]
         for batch in batches:
-            for shard, content in zip(batch["path"], batch["content"], strict=True):
+            for shard in batch["path"]:
                 out, held = [], 0
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:") as tar:
+                with opened(shard) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
                     for k, member in enumerate(m for m in tar if m.isfile()):
                         scene, _, base = member.name.rpartition("/")
                         out.append((shard, k, scene, base.rpartition(".")[2], member.name, member.size, tar.extractfile(member).read()))
@@ -104,8 +138,8 @@ def read_tars(spark: SparkSession, path: str, batch_bytes: int = 32 << 20) -> Da
                             out, held = [], 0
                 yield pd.DataFrame(out, columns=names)
 
-    shards = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path).select("path", "content")
-    return shards.mapInPandas(rows, "shard string, position long, scene string, kind string, name string, bytes long, content binary")
+    shards = listed(spark, path, "*.tar").select("path")
+    return shards.repartition(shards.count() or 1, "path").mapInPandas(rows, "shard string, position long, scene string, kind string, name string, bytes long, content binary")
 
 
 def publish(df: DataFrame, path: str) -> bool:

@@ -1,22 +1,30 @@
 """Live series and logs as Structured Streaming jobs.
 
 Each job takes a streaming frame and a target; the queries run one over the events until no
-input is left and return what it wrote. State is bounded by watermarks.
+input is left and return what it wrote. Windows, sessions and joins append results once the
+watermark has passed them, which drops their state; rows that come later than that are dropped.
+Only summaries of a few tags and the status of a run, which a reader wants whole at each trigger, are complete.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.scalars import log_lines, parsed
 from ..registry import query, r6
 from ..sources.checkpoints import ready
 
-DELAY = "60 days"
+DELAY = "2 days"
+
+
+def folder(spark: SparkSession, what: str) -> str:
+    return f"{ready(spark).rstrip('/')}/orrery-{what}-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,17 +36,44 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.withColumn("t", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+#: Four arrivals of eight days each, and a fifth of rows that were held up: every tenth of the first twenty days.
+ARRIVAL = "CASE WHEN event_id % 10 = 0 AND day < 20 THEN 4 ELSE least(3, day // 8) END"
+ARRIVED = f"""days AS (SELECT *, date_diff('day', TIMESTAMP '2024-01-01', ts) AS day FROM events), arrived AS (SELECT *, {ARRIVAL} AS arrival FROM days),
+marks AS (SELECT a AS arrival, (SELECT max(ts) FROM arrived WHERE arrived.arrival < a) - INTERVAL '2 days' AS mark FROM (SELECT unnest(range(6)) AS a)),
+last_mark AS (SELECT mark FROM marks WHERE arrival = 5)"""
+
+
+def arriving(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
+    """The events as a stream of their arrivals, one a micro-batch; of some kinds only, if so."""
+    path = folder(spark, "arrivals")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    day = F.datediff("ts", F.lit("2024-01-01").cast("date"))
+    arrival = F.when((F.col("event_id") % 10 == 0) & (day < 20), 4).otherwise(F.least(F.lit(3), F.floor(day / 8).cast("int")))
+    held = events.withColumn("arrival", arrival)
+    for k in range(5):
+        some = held.filter(F.col("arrival") == k).drop("arrival")
+        (some if kinds is None else some.filter(F.col("event_type").isin(kinds))).coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return source.withColumn("t", F.col("ts").cast("timestamp"))
+
+
+def drained(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None] | None = None, available_now: bool = True) -> DataFrame:
     """What a stream has written to Parquet when its input ends."""
     spark = stream.sparkSession
-    base = f"{ready(spark).rstrip('/')}/orrery-stream-{uuid.uuid4().hex}"
-    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    base = folder(spark, "stream")
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state")
+    if available_now:
+        out = out.trigger(availableNow=True)
 
     def keep(batch: DataFrame, k: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={k}")
 
     job = out.foreachBatch(write or keep).start()
-    job.awaitTermination()
+    if available_now:
+        job.awaitTermination()
+    else:
+        job.processAllAvailable()
+        job.stop()
     return spark.read.schema(stream.schema).parquet(f"{base}/out/batch=*" if mode != "complete" else f"{base}/out")
 
 
@@ -51,35 +86,55 @@ def strm_snapshot_complete(spark, sf_dir):
 
 @query("SELECT event_id AS sample, user_id AS tracks, CAST(format('{:.3f}', value) AS DOUBLE) AS loss, event_type = 'error' AS failed FROM events")
 def strm_log_parse(spark, sf_dir):
-    return drained(parsed(log_lines(event_stream(spark, sf_dir))), "append")
+    """Lines of log files that appear in a folder, parsed as they come."""
+    path = folder(spark, "logs")
+    log_lines(spark.read.parquet(f"{sf_dir}/events.parquet")).write.text(path)
+    return drained(parsed(spark.readStream.text(path).withColumnRenamed("value", "line")), "append")
 
 
-@query("SELECT event_type AS tag, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '2024-01-01') AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query(f"""WITH {ARRIVED}, w AS (SELECT *, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '2024-01-01') AS day_at FROM arrived JOIN marks USING (arrival))
+SELECT event_type AS tag, day_at AS day, count(*) AS n, round(sum(value), 4) AS total FROM w, last_mark WHERE (w.mark IS NULL OR day_at + INTERVAL '1 day' > w.mark) AND day_at + INTERVAL '1 day' <= last_mark.mark GROUP BY ALL""")
 def strm_tumbling(spark, sf_dir):
-    s = event_stream(spark, sf_dir).withWatermark("t", DELAY).groupBy(F.window("t", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return drained(s.select(F.col("event_type").alias("tag"), F.col("window.start").cast("timestamp_ntz").alias("day"), "n", "total"), "complete")
+    """Days, each appended once no more of its rows can come."""
+    s = arriving(spark, sf_dir).withWatermark("t", DELAY).groupBy(F.window("t", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return drained(s.select(F.col("event_type").alias("tag"), F.col("window.start").cast("timestamp_ntz").alias("day"), "n", "total"), "append")
 
 
-@query("""WITH w AS (SELECT ts, value, unnest([time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01'), time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') - INTERVAL '6 hours']) AS start FROM events)
-SELECT start, count(*) AS n, round(avg(value), 6) AS mean FROM w GROUP BY start""")
+@query(f"""WITH {ARRIVED}, w AS (SELECT value, mark, unnest([time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01'), time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') - INTERVAL '6 hours']) AS start FROM arrived JOIN marks USING (arrival))
+SELECT start, count(*) AS n, round(sum(value), 4) AS total FROM w, last_mark WHERE (w.mark IS NULL OR start + INTERVAL '12 hours' > w.mark) AND start + INTERVAL '12 hours' <= last_mark.mark GROUP BY start""")
 def strm_sliding(spark, sf_dir):
     """Windows of twelve hours every six."""
-    s = event_stream(spark, sf_dir).withWatermark("t", DELAY).groupBy(F.window("t", "12 hours", "6 hours")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
-    return drained(s.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "mean"), "complete")
+    s = arriving(spark, sf_dir).withWatermark("t", DELAY).groupBy(F.window("t", "12 hours", "6 hours")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return drained(s.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "total"), "append")
 
 
-@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+@query(f"""WITH {ARRIVED}, ok AS (SELECT user_id, ts FROM arrived JOIN marks USING (arrival) WHERE mark IS NULL OR ts + INTERVAL '6 hours' > mark),
+g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM ok), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+n AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS done, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT user_id, start, n FROM n, last_mark WHERE done <= mark""")
 def strm_session(spark, sf_dir):
     """Sessions that end after six quiet hours."""
-    s = event_stream(spark, sf_dir).withWatermark("t", DELAY).groupBy(F.session_window("t", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return drained(s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
+    s = arriving(spark, sf_dir).withWatermark("t", DELAY).groupBy(F.session_window("t", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return drained(s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"), "append")
+
+
+JOINED = f"""{ARRIVED}, both_marks AS (SELECT a AS arrival, least((SELECT max(ts) FROM arrived WHERE arrived.arrival < a AND event_type = 'view'), (SELECT max(ts) FROM arrived WHERE arrived.arrival < a AND event_type = 'click')) - INTERVAL '2 days' AS mark FROM (SELECT unnest(range(6)) AS a)),
+ok AS (SELECT arrived.* FROM arrived JOIN both_marks USING (arrival) WHERE mark IS NULL OR ts > mark)"""
+
+
+@query(f"""WITH {JOINED} SELECT v.user_id, v.event_id AS seen, c.event_id AS clicked FROM ok v JOIN ok c ON v.user_id = c.user_id AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL '3 hours' WHERE v.event_type = 'view' AND c.event_type = 'click'""")
+def strm_join(spark, sf_dir):
+    """Clicks within three hours of a view of the same user: two streams, whose state the watermarks bound."""
+    views = arriving(spark, sf_dir, ["view"]).withWatermark("t", DELAY).select("user_id", F.col("event_id").alias("seen"), F.col("t").alias("at"))
+    clicks = arriving(spark, sf_dir, ["click"]).withWatermark("t", DELAY).select(F.col("user_id").alias("who"), F.col("event_id").alias("clicked"), F.col("t").alias("then"))
+    near = F.expr("user_id = who AND then >= at AND then <= at + INTERVAL 3 HOURS")
+    return drained(views.join(clicks, near).select("user_id", "seen", "clicked"), "append")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def strm_dedupe(spark, sf_dir):
-    """First of each key within the watermark's span."""
-    s = event_stream(spark, sf_dir).withWatermark("t", DELAY).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    """First of each key within the watermark's span, which is longer here than the keys live."""
+    s = event_stream(spark, sf_dir).withWatermark("t", "60 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
     return drained(s.select("user_id", "event_type"), "append")
 
 
@@ -95,3 +150,32 @@ def status(events: DataFrame, now: str, stale: str) -> DataFrame:
 WHEN max(ts) < TIMESTAMP '2024-01-30' - INTERVAL 60 MINUTES THEN 'stale' ELSE 'running' END AS status FROM events GROUP BY user_id""")
 def strm_status(spark, sf_dir):
     return drained(status(event_stream(spark, sf_dir), "2024-01-30", "60 MINUTES"), "complete")
+
+
+class ProgressLog(StreamingQueryListener):
+    """Snapshots of a stream's counted rows, ``every_s`` seconds apart at least; a count never goes back."""
+
+    def __init__(self, every_s: float, clock: Callable[[], float] = time.monotonic):
+        self.every_s, self.clock = every_s, clock
+        self.rows, self.said, self.snapshots = 0, None, []
+
+    def count(self, rows: int) -> None:
+        if rows < 0:
+            raise ValueError("counters do not go backwards")
+        self.rows += rows
+        if self.said is None or self.clock() - self.said >= self.every_s:
+            self.said = self.clock()
+            self.snapshots.append(self.rows)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.count(event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if not self.snapshots or self.snapshots[-1] != self.rows:
+            self.snapshots.append(self.rows)

@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 import pytest
 from orrery.functions import scalars, udfs
-from orrery.operators import aggregates, joins, ordering, quantiles, windows
+from orrery.operators import aggregates, components, joins, ordering, quantiles, windows
 from orrery.plans import schedules, track_metrics
-from orrery.sources import checkpoints, files
+from orrery.sources import checkpoints, files, formats, plugins
+from orrery.streaming import live
 from pyspark.sql import functions as F
 
 
@@ -198,3 +199,158 @@ def test_exact_quantiles_are_numpys(spark, keys):
     got = {(x[keys[0]] if keys else 0, x.level): x.quantile for x in quantiles.exact_quantiles(df, keys, "v", levels).collect()}
     groups = {int(g): p["v"] for g, p in pdf.groupby("g")} | {9: pd.Series([1.5])} if keys else {0: pd.concat([pdf["v"], pd.Series([1.5])])}
     assert got == {(g, p): pytest.approx(np.quantile(v, p)) for g, v in groups.items() for p in levels}
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_nearest_of_clustered_points_and_far_queries(spark, batches):
+    r = np.random.default_rng(5)
+    clustered = np.concatenate([r.normal(0, 0.01, (60, 3)), r.normal(50, 5, (40, 3))])
+    rows = [(k, k % batches, *map(float, p)) for k, p in enumerate(clustered)]
+    far = [(1000 + k, k % (batches + 1), *map(float, p)) for k, p in enumerate(r.normal(-300, 90, (12, 3)))]
+    schema = "id long, batch long, x double, y double, z double"
+    got = sorted((x.id, x.place, x.ref) for x in joins.nearest(spark.createDataFrame(rows, schema), spark.createDataFrame(rows + far, schema), 4).collect())
+    want = []
+    for q in rows + far:
+        best = sorted((round(float(np.sqrt(((np.array(q[2:]) - p[2:]) ** 2).sum())), 9), p[0]) for p in rows if p[1] == q[1])[:4]
+        want += [(q[0], n + 1, ref) for n, (_, ref) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_components_of_a_hub_and_of_struct_vertices(spark):
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 2000)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    want = {k: 0 for k in [*range(400), 2000]} | {k: 1000 for k in range(1000, 1041)}
+    assert {r.id: r.component for r in components.components(df).collect()} == want
+    both = df.select(*[F.struct(F.col(c).alias("id"), F.lit(1).alias("n")).alias(c) for c in "uv"])
+    assert {r.id[0]: r.component[0] for r in components.components(both).collect()} == want
+
+
+def test_ranks_and_lookups_of_a_hot_key(spark):
+    rows = [("hot", k // 3) for k in range(300)] + [(None, 5), (None, 1), ("b", 2)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(5)
+    got = quantiles.ranked(df.withColumn("id", F.monotonically_increasing_id()), ["k"], [F.col("v"), F.col("id")], "n").collect()
+    for key in ("hot", None, "b"):
+        mine = sorted((r.n, r.v) for r in got if r.k == key)
+        assert [n for n, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for k, v in rows if k == key)
+    counts = df.groupBy("k", "v").agg(F.count("*").alias("n"))
+    upto = {(r.k, r.v): r.upto for r in quantiles.running_counts(counts, ["k"], "v", "upto").collect()}
+    assert upto["hot", 99] == 300 and upto["hot", 0] == 3 and upto[None, 1] == 1 and upto[None, 5] == 2
+    table = spark.createDataFrame([("hot", 7), ("b", 8), ("c", 9)], "k string, w long")
+    assert sorted((r.k, r.w) for r in quantiles.looked_up(df, table, ["k"]).select("k", "w").distinct().collect()) == [("b", 8), ("hot", 7)]
+    assert quantiles.looked_up(df, table, ["k"]).count() == 301
+
+
+def test_summaries_meet_null_keys(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, None)], "k string, v double")
+    got = {r.k: (r.n, r.m) for r in quantiles.summarised(df, ["k"], [F.count("v").alias("n")], {"m": (F.col("v"), 0.5)}).collect()}
+    assert got == {"a": (2, 2.0), None: (1, 5.0)}
+
+
+def test_discrete_quantiles(spark):
+    df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4)], "v double")
+    got = {r.level: r.quantile for r in quantiles.exact_quantiles(df, [], "v", [0.0, 0.25, 0.5, 0.51, 1.0], discrete=True).collect()}
+    assert got == {0.0: 1.0, 0.25: 1.0, 0.5: 2.0, 0.51: 3.0, 1.0: 4.0}
+
+
+def test_kmeans_is_lloyds(spark):
+    r = np.random.default_rng(3)
+    p = r.normal(size=(200, 3)).round(4)
+    df = spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(p)], "id long, x double, y double, z double")
+    centres = p[:5]
+    for _ in range(3):
+        of = ((p[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        centres = np.array([p[of == k].mean(0) for k in range(5)])
+    got = sorted(udfs.kmeans(df, ("x", "y", "z"), 5, 3).collect(), key=lambda g: g.cluster)
+    assert [g.points for g in got] == np.bincount(of).tolist() and np.allclose([[g.x, g.y, g.z] for g in got], centres)
+
+
+def test_ransac_leaves_outliers_out(spark):
+    r = np.random.default_rng(6)
+    rows = []
+    for batch in (0, 1):
+        a = r.normal(size=(50, 3))
+        b = a[:, [1, 0, 2]] * [1, -1, 1] + batch
+        b[:15] += r.normal(5, 20, (15, 3))
+        rows += [(100 * batch + k, batch, *map(float, x), *map(float, y)) for k, (x, y) in enumerate(zip(a, b, strict=True))]
+    df = spark.createDataFrame(rows, "id long, batch long, ax double, ay double, az double, bx double, by double, bz double")
+    got = {g.batch: g for g in udfs.ransac(df, 30, 1e-6).collect()}
+    for batch, g in got.items():
+        assert g.inliers == 35 and g.scale == pytest.approx(1) and np.allclose(np.array(g.rotation).reshape(3, 3), [[0, 1, 0], [-1, 0, 0], [0, 0, 1]]) and np.allclose(g.shift, batch)
+    assert len(got) == 2
+
+
+def test_camera_tables_of_another_width_are_refused(spark, tmp_path):
+    (tmp_path / "nine.csv").write_text("name,x,y,z,yaw,pitch,roll,focal,width\nview_0/000000.png,1,2,3,4,5,6,7,8\n")
+    with pytest.raises(ValueError, match="9 columns"):
+        formats.read_camera_csv(spark, str(tmp_path / "nine.csv"))
+    (tmp_path / "ten.csv").write_text("name,x,y,z,yaw,pitch,roll,focal,width,height\nview_1/000004.png,1,2,3,4,5,6,7,8,9\nnotes.txt,1,2,3,4,5,6,7,8,9\n")
+    assert [(r.view, r.frame, r.height) for r in formats.read_camera_csv(spark, str(tmp_path / "ten.csv")).collect()] == [(1, 4, 9.0)]
+
+
+def test_inventories_must_hold_what_they_say(spark, tmp_path):
+    (tmp_path / "a.idx").write_text("v1.2 2\njson 512 3 s/meta.json\ntxt 1536 4 s/v.txt")
+    assert [(r.ext, r.offset, r.size, r.name) for r in formats.read_index(spark, str(tmp_path)).orderBy("offset").collect()] == [("json", 512, 3, "s/meta.json"), ("txt", 1536, 4, "s/v.txt")]
+    for text in ("v1.2 3\njson 512 3 s/meta.json", "v9 1\njson 512 3 s/meta.json", "v1.2 1\njson 512 3 s/meta.json extra"):
+        (tmp_path / "a.idx").write_text(text)
+        with pytest.raises(ValueError, match="inventories"):
+            formats.read_index(spark, str(tmp_path))
+
+
+def test_byte_stores_with_gaps_are_not_complete(spark, tmp_path):
+    rows = spark.createDataFrame([(s, k, bytearray([65 + k] * (k + 1))) for s in "pq" for k in range(4)], "store string, frame long, data binary")
+    offsets = formats.byte_store(rows, str(tmp_path))
+    assert {bytes(r.data) for r in formats.read_frames(spark, offsets, str(tmp_path)).collect()} == {b"A", b"BB", b"CCC", b"DDDD"}
+    (tmp_path / "q.bin").write_bytes(b"short")
+    assert [r.store for r in formats.complete_stores(spark, offsets, str(tmp_path)).collect()] == ["p"]
+    gap = offsets.filter("frame != 2")
+    assert formats.complete_stores(spark, gap, str(tmp_path)).count() == 0
+
+
+def test_one_column_must_end_so(spark):
+    df = spark.range(1).selectExpr("1 AS `a/model__F`", "2 AS `b/model__F`", "3 AS `model__O`")
+    assert df.select(formats.column_ending(df, "__O")).first()[0] == 3
+    for suffix in ("__F", "__P"):
+        with pytest.raises(ValueError, match="columns end"):
+            formats.column_ending(df, suffix)
+
+
+def test_changed_files_are_read_again(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"tag": "x"}\n')
+    seen = spark.createDataFrame(formats.changed(spark, str(tmp_path), None).collect(), "path string, length long, modificationTime timestamp")
+    assert seen.count() == 1 and formats.changed(spark, str(tmp_path), seen).count() == 0
+    (tmp_path / "a.json").write_text('{"tag": "longer"}\n')
+    assert formats.changed(spark, str(tmp_path), seen).count() == 1
+
+
+def test_an_unknown_dataset_is_an_error(spark):
+    spark.dataSource.register(plugins.SceneSource)
+    with pytest.raises(Exception, match="none of the datasets"):
+        spark.read.format("orrery_scenes").option("dataset", "nothing").load().count()
+
+
+def test_progress_is_rate_limited_and_never_goes_back():
+    now = iter((0.0, 0.5, 1.0, 2.5, 2.5, 2.6))
+    log = live.ProgressLog(2.0, lambda: next(now))
+    for rows in (5, 1, 1, 2, 0):
+        log.count(rows)
+    assert log.snapshots == [5, 9]
+    log.onQueryTerminated(None)
+    assert log.snapshots == [5, 9]
+    with pytest.raises(ValueError):
+        log.count(-1)
+
+
+def test_a_stream_reports_its_progress(spark, tmp_path):
+    spark.range(40).repartition(4).write.parquet(str(tmp_path / "in"))
+    log = live.ProgressLog(0.0)
+    spark.streams.addListener(log)
+    try:
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        assert live.drained(stream, "append").count() == 40
+        for _ in range(100):
+            if log.rows == 40:
+                break
+            live.time.sleep(0.1)
+        assert log.rows == 40 and log.snapshots == sorted(log.snapshots)
+    finally:
+        spark.streams.removeListener(log)
