@@ -23,7 +23,10 @@ def udf_copycat(spark, sf_dir):
 
 
 def predict(rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], key: str, schema: str) -> DataFrame:
-    """Any predictor, one key's rows at a time."""
+    """Any predictor, one key's rows at a time: for keys whose rows a task can hold, as a scene's or a track's.
+
+    This is where a user's own model comes in; what columns can say should not go through it.
+    """
     return rows.groupBy(key).applyInPandas(model, schema)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, r6
-from .quantiles import exact_quantiles, looked_up, running_counts, summarised
+from .quantiles import exact_quantiles, looked_up, ranked, running_counts, summarised
 from ..sources.views import (
     FOLLOWED, METRICS, POINTS, RESIDUAL, SCALARS, TRACK_OBS, followed, hashed, hashed_sql, metrics, points, residual, scalars, table, track_obs,
 )
@@ -57,10 +57,11 @@ def agg_upper_median(spark, sf_dir):
 
 
 def nearest_rank(rows: DataFrame, key: str, value: str, fraction: float) -> DataFrame:
-    """``sorted[min(n - 1, max(0, int(n * f) - 1))]`` of each key."""
-    w = Window.partitionBy(key)
-    n = rows.select(key, value, F.row_number().over(w.orderBy(value)).alias("__k"), F.count("*").over(w).alias("__n"))
-    return n.filter(F.col("__k") == F.least(F.col("__n"), F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(fraction))))).select(key, value)
+    """``sorted[min(n - 1, max(0, int(n * f) - 1))]`` of each key, by ranks in ranges."""
+    placed = ranked(rows.select(key, value), [key], [F.col(value)], "__k")
+    n = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    wanted = n.select(key, (F.least(F.col("__n"), F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(fraction)))) - 1).cast("long").alias("__k"))
+    return placed.join(wanted, [key, "__k"]).select(key, value)
 
 
 @query(f"WITH {RESIDUAL}, n AS (SELECT view, r, row_number() OVER (PARTITION BY view ORDER BY r) AS k, count(*) OVER (PARTITION BY view) AS n FROM residual) SELECT view, round(r, 6) AS p90 FROM n WHERE k = least(n, greatest(1, CAST(floor(n * CAST(0.9 AS DOUBLE)) AS BIGINT)))")

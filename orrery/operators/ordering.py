@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, r6
+from .quantiles import ranked
 from ..sources.views import FOLLOWED, METRICS, SCALARS, TRACK_OBS, followed, metrics, scalars, table, track_obs
 
 
@@ -24,8 +25,8 @@ SELECT scene, track, place, row_number() OVER (PARTITION BY scene ORDER BY track
 def sort_inverse_permutation(spark, sf_dir):
     """Tracks by query time, and the place that brings each back."""
     q = followed(track_obs(spark, sf_dir)).select("scene", "track", "qt").distinct()
-    place = lambda *o: (F.row_number().over(Window.partitionBy("scene").orderBy(*o)) - 1).cast("long")
-    return q.select("scene", "track", place("qt", "track").alias("place"), place("track").alias("original"))
+    placed = ranked(q, ["scene"], [F.col("qt"), F.col("track")], "place")
+    return ranked(placed, ["scene"], [F.col("track")], "original").select("scene", "track", "place", "original")
 
 
 @query("""WITH f AS (SELECT o_orderpriority AS run, 'step-' || o_orderkey || '_metrics_avg.csv' AS path FROM orders WHERE o_orderstatus = 'F')

@@ -26,7 +26,7 @@ def balanced_cycles(rows: DataFrame, source: str, scene: str, cycles: int, seed:
     """Each cycle is a permutation of a source's scenes: ``source, cycle, offset, scene``."""
     each = rows.withColumn("cycle", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cycles - 1).cast("long"))))
     order = hashed(f"cycle{seed}", F.concat_ws("-", F.col("cycle"), F.col(scene)))
-    return each.withColumn("offset", (F.row_number().over(Window.partitionBy(source, "cycle").orderBy(order, scene)) - 1).cast("long")).select(source, "cycle", "offset", scene)
+    return ranked(each.select(source, "cycle", scene), [source, "cycle"], [order, F.col(scene)], "offset").select(source, "cycle", "offset", scene)
 
 
 @query(f"""WITH {SCENES} SELECT source, cycle::BIGINT AS cycle, row_number() OVER (PARTITION BY source, cycle ORDER BY {hashed_sql("cycle72", "concat_ws('-', cycle, scene)")}, scene) - 1 AS "offset", scene FROM scenes, (SELECT unnest(range(2)) AS cycle)""")
