@@ -12,9 +12,10 @@ single line that many documents share stays: it is a phrase, not a passage.
 What is missed: the words of a pasted passage before its first border and after its last, where
 it does not start or end with a line; and so passages much shorter than twice ``least_span``.
 
-Texts are read and hashed in one pass, whose result is written once. Digests are counted by
-(digest, salt) first, and repeats meet them by the same key: no task holds the occurrences of one
-digest, however many.
+Texts are read and hashed in one pass, whose rows are written once. Digests are counted with partial
+aggregation, and occurrences meet those that repeat by key. The few digests that have more than
+one of ``SHARE`` of all occurrences, fewer than ``SHARE`` therefore, are known to all tasks, and their
+occurrences are dealt over salts: no task holds the occurrences of such a digest.
 
 Edge cases: null and empty texts have no units; a document of any length is one row; a null
 id ranks last; rows that repeat an id, or have none, rank by their place in the table, and each
@@ -27,8 +28,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import pairwise
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -36,16 +35,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Remembered, cut, fresh, parts
+from .shared import Remembered, cut, fresh, parts, written
 
 REACH, LEAST_SPAN = 4, 25
-SALTS = 1_024
+SALTS, SHARE = 1_024, 10_000
 WORD, LINE = re.compile(r"\S+"), re.compile("\n")
-UNITS = "doc_id long, row long, unit int, start int, end int, words int, digest binary"
+UNITS = "doc_id long, row long, unit int, start int, end int, words int, high long, low long"
+U = np.uint64
 
 
 def word_key(word: str) -> int:
-    return crc32(word.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 def borders(keys: np.ndarray, lines: np.ndarray, reach: int) -> np.ndarray:
@@ -65,30 +65,41 @@ def borders(keys: np.ndarray, lines: np.ndarray, reach: int) -> np.ndarray:
     return starts
 
 
-def units(text: str, reach: int, keys: dict[str, int]) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """``number, start, end, words, digest`` of each unit of a text."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def units(text: str, reach: int, keys: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """``start, end, words, high, low`` of each unit of a text; the last two are its 128-bit digest.
+
+    A half of the digest is the sum of the words' keys, each mixed with its place in the unit.
+    """
     spans = np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
     if not len(spans):
-        return
-    words = [w.lower() for w in WORD.findall(text)]
+        return (np.zeros(0, np.int64),) * 5
     ends = np.array([m.start() for m in LINE.finditer(text)], np.int64)
-    hashes = np.fromiter(map(keys.__getitem__, words), np.int64, len(words))
-    at = np.flatnonzero(borders(hashes, np.searchsorted(ends, spans[:, 0]), reach)).tolist()
-    for number, (a, b) in enumerate(pairwise([*at, len(words)])):
-        said = " ".join(words[a:b]).encode("utf-8", "surrogatepass")
-        yield number, int(spans[a, 0]), int(spans[b - 1, 1]), b - a, xxhash.xxh3_128_digest(said)
+    said = np.fromiter(map(keys.__getitem__, [w.lower() for w in WORD.findall(text)]), U, len(spans))
+    at = np.flatnonzero(borders(said, np.searchsorted(ends, spans[:, 0]), reach))
+    words = np.diff(np.append(at, len(said)))
+    place = (np.arange(len(said)) - np.repeat(at, words)).astype(U)
+    halves = (np.add.reduceat(mixed(said + place * U(odd)), at) for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+    return spans[at, 0], spans[at + words - 1, 1], words, *(mixed(h + words.astype(U)).astype(np.int64) for h in halves)
 
 
 def hashed(reach: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = Remembered(word_key, 200_000)
         for batch in parts(batches):
-            rows = [
-                (doc, row, *unit)
-                for doc, row, text in zip(batch["doc_id"].array, batch["row"], batch["text"], strict=True)
-                for unit in units(text, reach, keys)
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "row", "unit", "start", "end", "words", "digest"]).astype({"doc_id": "Int64"})
+            found = [units(t, reach, keys) for t in batch["text"]]
+            many = np.array([len(f[0]) for f in found], np.int64)
+            start, end, words, high, low = (np.concatenate(x) for x in zip(*found, strict=True))
+            unit = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"].repeat(many).array, "row": np.repeat(batch["row"].to_numpy(), many), "unit": unit,
+                "start": start, "end": end, "words": words, "high": high, "low": low,
+            })
 
     return run
 
@@ -105,14 +116,20 @@ def repeats(
 
     ``row`` tells the rows of ``docs`` apart.
     """
-    found = cut(occurrences(docs, reach, id_col, text_col, F.monotonically_increasing_id() if row is None else row))
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "start")
-    salted = found.withColumn("rank", rank).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    digest = ["high", "low"]
+    found = written(occurrences(docs, reach, id_col, text_col, F.monotonically_increasing_id() if row is None else row), "units")
+    repeated = found.groupBy(*digest).agg(F.count("*").alias("copies")).filter("copies > 1")
+    repeated = written(repeated.withColumn("hot", F.col("copies") > 1 + found.count() // SHARE), "digests")
+    hot = F.broadcast(repeated.filter("hot").select(*digest, F.lit(True).alias("hot")))  # SHARE rows at most
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    sent = found.join(hot, digest, "left").withColumn("salt", salt).drop("hot")
+    again = written(sent.join(repeated.withColumn("salt", F.explode(salts)).drop("hot"), [*digest, "salt"]), "repeats")
+    again = again.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "start"))
+    first = again.groupBy(*digest, "salt").agg(F.min("rank").alias("first"))
     # A digest has SALTS rows here at most, so its window is bounded.
-    one = salted.groupBy("digest", "salt").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
-    whole = Window.partitionBy("digest")
-    first = one.select("digest", "salt", F.min("first").over(whole).alias("first"), F.sum("n").over(whole).alias("copies")).filter("copies > 1")
-    return salted.join(first, ["digest", "salt"]).filter("rank != first").select(
+    first = first.select(*digest, "salt", F.min("first").over(Window.partitionBy(*digest)).alias("first"))
+    return again.join(first, [*digest, "salt"]).filter("rank != first").select(
         "doc_id", "row", "unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "copies"
     )
 

@@ -1,6 +1,5 @@
 import hashlib
 import re
-import zlib
 from collections import defaultdict
 
 import xxhash
@@ -138,7 +137,7 @@ def plain_units(text, reach=4):
     for line in text.split("\n"):
         places = [(m.start() + base, m.end() + base) for m in re.finditer(r"\S+", line)]
         words = [text[a:b].lower() for a, b in places]
-        keys = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
+        keys = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
         starts = [0] if words else []
         for at in range(reach, len(words) - reach):
             if all(keys[at] < k for k in keys[at - reach : at]) and all(keys[at] <= k for k in keys[at + 1 : at + reach + 1]):
@@ -171,9 +170,20 @@ def ids_of(rows, spans):
 def test_units_are_lines_and_parts_of_long_lines(rand):
     keys = substrings.Remembered(substrings.word_key, 100)
     for text in ("One two.\n\n  three  FOUR five \n", "", " \n ", prose(rand(1), 700), "word " * 300, "x" * 5000, "a\u2003b\x1cc\x85d"):
-        got = [(a, b, w, d) for _, a, b, w, d in substrings.units(text, 4, keys)]
-        assert got == [(a, b, w, xxhash.xxh3_128_digest(said.encode())) for a, b, w, said in plain_units(text)]
-        assert sum(w for *_, w, _ in got) == len(text.split())
+        start, end, words, *digests = (x.tolist() for x in substrings.units(text, 4, keys))
+        wanted = plain_units(text)
+        assert list(zip(start, end, words, strict=True)) == [u[:3] for u in wanted] and sum(words) == len(text.split())
+        # Equal digests, in both halves, for equal words and no others.
+        said = [u[3] for u in wanted]
+        for half in digests:
+            assert len(set(half)) == len(set(said)) == len(set(zip(half, said, strict=True)))
+
+
+def test_digests_tell_orders_and_lengths_apart():
+    keys = substrings.Remembered(substrings.word_key, 100)
+    lines = ["a b", "b a", "a", "a a", "a a a", "b", "a b a", "ab"]
+    *_, high, low = substrings.units("\n".join(lines), 4, keys)
+    assert len(set(high.tolist())) == len(set(low.tolist())) == len(lines)
 
 
 def test_spans_match_brute_force(corpus):
