@@ -39,7 +39,7 @@ def test_quality_stage_is_the_scorers_verdict(spark, documents):
     kept = STAGES["quality_classifier"](spark, documents, SF)
     model = quality.train(documents)
     codes, counts = np.unique([quality.votes(r.text or "", (r.text or "").split()) for r in documents.collect()], return_counts=True)
-    chance, tables = quality.posteriors(codes, counts.astype(float))
+    chance, tables, _ = quality.posteriors(codes, counts.astype(float))
     assert np.allclose(tables, model.tables) and {int(c): pytest.approx(p) for c, p in zip(codes, chance, strict=True)} == model.chance
     hashed = quality.Hashed()
     wanted = sorted(r.doc_id for r in documents.collect() if 1 / (1 + np.exp(-(hashed((r.text or "").split()) @ model.weights))) < quality.REJECT)

@@ -43,7 +43,7 @@ def test_names_and_sql():
 @pytest.mark.parametrize("name", sorted(queries.oracles()))
 def test_queries_match_their_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     wanted = c.execute(queries.oracles()[name])
     names = [d[0] for d in wanted.description]
@@ -52,6 +52,24 @@ def test_queries_match_their_sql(spark, name):
     assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(wanted.fetchall())
 
 
+def test_url_verdicts_of_linked_pages_match_the_sql(spark, rand, tmp_path):
+    """Hosts that link to each other, seeds at several distances: the limit of the ranks, in another engine."""
+    r = rand(3)
+    hosts = [f"{a}.{b}.{t}" for a in "abcdef" for b in ("x", "y", "example") for t in ("net", "com", "org", "io")]
+    host = lambda: r.choice(hosts).upper() if r.random() < 0.2 else r.choice(hosts)
+    links = lambda: "".join(f'<a class=1 href="http://{host()}/q">l</a>' for _ in range(r.randint(0, 3)))
+    rows = [(k, f"https://{r.choice(hosts)}/{r.choice(['de', 'fr', 'en'])}/{k}", links() if r.random() < 0.9 else None) for k in range(600)]
+    rows += [(600, None, links()), (601, "nothing", None), rows[0], (602, rows[1][1], "x" * 1_000_000 + links())]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    wanted = c.execute(queries.OP4_SQL)
+    names = [d[0] for d in wanted.description]
+    got = queries.op4_url_filters(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(wanted.fetchall(), key=repr)
+    assert {g.verdict for g in got if g.rule is None} == {"allow", "block"}
+
+
 def test_op2(run, texts):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(queries.BPE_RANKS), "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
