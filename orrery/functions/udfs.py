@@ -217,7 +217,30 @@ def udf_ransac(spark, sf_dir):
     return ransac(moved, 24, 1e-3).select("batch", r6("scale").alias("scale"), r6(F.element_at("rotation", 1)).alias("r11"), r6(F.element_at("shift", 1)).alias("shift_x"), "inliers")
 
 
-@query()
+def pca_sql(components: int, squarings: int = 12) -> str:
+    """Principal components by squaring the covariance until its largest eigenvector is all that is left, then taking that out."""
+    trace = lambda m: f"(SELECT sum(v) FROM {m} WHERE i = j)"
+    steps = [
+        POINTS,
+        "e AS MATERIALIZED (SELECT id, unnest(range(1, len(fvec) + 1)) AS i, unnest(fvec) AS v FROM points)",
+        "d AS MATERIALIZED (SELECT id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM e)",
+        "c0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM d a JOIN d b USING (id) GROUP BY a.i, b.i)",
+    ]
+    for k in range(components):
+        steps.append(f"p{k}_0 AS MATERIALIZED (SELECT i, j, v / {trace(f'c{k}')} AS v FROM c{k})")
+        for s in range(squarings):
+            now = f"p{k}_{s}"
+            steps.append(f"q{k}_{s} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {now} a JOIN {now} b ON a.j = b.i GROUP BY a.i, b.j)")
+            steps.append(f"p{k}_{s + 1} AS MATERIALIZED (SELECT i, j, v / {trace(f'q{k}_{s}')} AS v FROM q{k}_{s})")
+        last = f"p{k}_{squarings}"
+        steps.append(f"v{k} AS MATERIALIZED (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j))")
+        steps.append(f"l{k} AS (SELECT sum(a.v * c.v * b.v) AS l FROM c{k} c JOIN v{k} a ON a.i = c.i JOIN v{k} b ON b.i = c.j)")
+        steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.i, c.j, c.v - l * a.v * b.v AS v FROM c{k} c JOIN v{k} a ON a.i = c.i JOIN v{k} b ON b.i = c.j, l{k})")
+    shown = ", ".join(f"round(abs(sum(e.v * v{k}.v)), 6) AS {n}" for k, n in zip(range(components), "rgb", strict=True))
+    return f"WITH {', '.join(steps)} SELECT id, {shown} FROM e {' '.join(f'JOIN v{k} ON v{k}.i = e.i' for k in range(components))} GROUP BY id"
+
+
+@query(pca_sql(3))
 def ml_pca(spark, sf_dir):
     """Feature vectors on their three principal components."""
     from pyspark.ml.feature import PCA
