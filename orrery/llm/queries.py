@@ -88,6 +88,36 @@ WITH norm AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
 """
 
+OP3_SQL = rf"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS l FROM documents WHERE text IS NOT NULL
+), based AS (
+    SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM lines
+), split AS (
+    SELECT doc_id, l, base, regexp_extract_all(line, '(\s*)(\S+)', 1) AS gaps, regexp_extract_all(line, '(\s*)(\S+)', 2) AS said FROM based
+), words AS (
+    SELECT doc_id, l, base, len(said) AS n, unnest(gaps) AS gap, unnest(said) AS word, unnest(range(len(said))) AS k FROM split
+), placed AS (
+    SELECT doc_id, l, k, n, lower(word) AS word, length(word) AS size, substr(md5(lower(word)), 1, 16) AS key,
+           base + sum(length(gap) + length(word)) OVER (PARTITION BY doc_id, l ORDER BY k) AS "end" FROM words
+), cut AS (
+    SELECT *, k = 0 OR (k >= {substrings.REACH} AND k < n - {substrings.REACH}
+        AND key < min(key) OVER (PARTITION BY doc_id, l ORDER BY k ROWS BETWEEN {substrings.REACH} PRECEDING AND 1 PRECEDING)
+        AND key <= min(key) OVER (PARTITION BY doc_id, l ORDER BY k ROWS BETWEEN 1 FOLLOWING AND {substrings.REACH} FOLLOWING)) AS starts FROM placed
+), numbered AS (
+    SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY l, k) AS unit FROM cut
+), units AS (
+    SELECT doc_id, unit, min("end" - size) AS start, max("end") AS "end", count(*) AS words, string_agg(word, ' ' ORDER BY k) AS said FROM numbered GROUP BY doc_id, unit
+), ranked AS (
+    SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start FROM units WINDOW w AS (PARTITION BY said ORDER BY doc_id, start)
+), islands AS (
+    SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS island FROM ranked WHERE doc_id <> first_doc_id OR start <> first_start
+)
+SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max("end") AS BIGINT) AS "end", count(*) AS units, CAST(sum(words) AS BIGINT) AS words,
+       arg_min(first_doc_id, unit) AS first_doc_id, CAST(arg_min(first_start, unit) AS BIGINT) AS first_start
+FROM islands GROUP BY doc_id, island HAVING sum(words) >= {substrings.LEAST_SPAN}
+"""
+
 UPPER, LOWER = url_filters.UPPER, url_filters.LOWER
 
 
@@ -183,4 +213,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_url_filters": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op6_sharding": OP6_SQL, "op7_exact_top_k": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_url_filters": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op6_sharding": OP6_SQL, "op7_exact_top_k": OP7_SQL}

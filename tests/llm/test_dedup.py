@@ -2,7 +2,6 @@ import hashlib
 import re
 from collections import defaultdict
 
-import xxhash
 from orrery.llm import exact_dedup, jaccard, substrings
 from pyspark.sql import functions as F
 
@@ -137,7 +136,7 @@ def plain_units(text, reach=4):
     for line in text.split("\n"):
         places = [(m.start() + base, m.end() + base) for m in re.finditer(r"\S+", line)]
         words = [text[a:b].lower() for a, b in places]
-        keys = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
+        keys = [hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:16] for w in words]
         starts = [0] if words else []
         for at in range(reach, len(words) - reach):
             if all(keys[at] < k for k in keys[at - reach : at]) and all(keys[at] <= k for k in keys[at + 1 : at + reach + 1]):
