@@ -15,6 +15,8 @@ from .windows import around, cells
 
 SMALL_SIDE_ROWS = 10_000
 CELL_SALTS = 8
+#: Pairs that are compared at once rather than cell by cell.
+FEW_PAIRS = 5_000_000
 
 
 def bounded_broadcast(side: DataFrame, rows: int = SMALL_SIDE_ROWS) -> DataFrame:
@@ -95,7 +97,7 @@ def nearest(refs: DataFrame, queries: DataFrame, k: int, keep_self: bool = True)
     ``refs`` and ``queries`` have ``batch, id, x, y, z``. Points lie in cells that hold about ``k`` references
     on average. A query meets the cells within one of its own, and is settled if its k-th distance is no more than
     the width that these cells cover around it for certain; the others go on with twice the width,
-    until the cells cover all references. A cell's references are dealt over salts, which a query all visits.
+    until the cells cover all references or the pairs left are few. A cell's references are dealt over salts, which a query all visits.
     """
     ready(refs.sparkSession)
     columns = ("x", "y", "z")
@@ -114,6 +116,8 @@ def nearest(refs: DataFrame, queries: DataFrame, k: int, keep_self: bool = True)
     left, settled, width = queries.select("batch", "id", *columns).checkpoint(), None, size
     around = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
     while True:
+        if left.count() * box["n"] <= FEW_PAIRS:
+            width = max(width, most * size)
         last = width >= most * size
         r = refs.select("*", *[cell(f"r{c}", width).alias(f"c{c}") for c in columns])
         # A sparse table of the cells that hold references: a query goes to those alone.
@@ -141,10 +145,10 @@ def nearest(refs: DataFrame, queries: DataFrame, k: int, keep_self: bool = True)
 KNN = "SELECT q.batch, q.id, row_number() OVER (PARTITION BY q.batch, q.id ORDER BY round(sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2 + (q.z - r.z) ** 2), 9), r.id) AS place, r.id AS ref, round(sqrt((q.x - r.x) ** 2 + (q.y - r.y) ** 2 + (q.z - r.z) ** 2), 9) AS d FROM points q JOIN points r ON q.batch = r.batch"
 
 
-@query(f"WITH {POINTS}, k AS ({KNN}) SELECT batch, id, place, ref, round(d, 6) AS d FROM k WHERE place <= 16")
+@query(f"WITH {POINTS}, k AS ({KNN}) SELECT batch, id, place, ref, d FROM k WHERE place <= 16")
 def knn_topk(spark, sf_dir):
     p = points(spark, sf_dir)
-    return nearest(p, p, 16).select("batch", "id", "place", "ref", r6("d").alias("d"))
+    return nearest(p, p, 16)
 
 
 @query(f"WITH {POINTS}, k AS ({KNN} WHERE q.id <> r.id) SELECT k.id, ref, round(p.fvec[5], 6) AS feature FROM k JOIN points p ON p.id = ref WHERE place = 1")
