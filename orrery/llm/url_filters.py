@@ -4,12 +4,13 @@ Hosts are the nodes. Edges are the links that pages carry to other hosts, and bo
 directions between a host and its parent host (``a.b.c`` and ``b.c``), and so on upwards.
 Parents are nodes without pages too, so that sibling hosts meet in them; a parent of one
 label (``net``) only where it has pages, and numeric hosts have none. Seeds come from
-the rules: a host is trusted by its share of allowed pages and distrusted by its share of blocked ones. Personalised PageRank carries trust forward
-from the trusted seeds, and distrust against the edges from the blocked ones, until no
-further host is reached and all ranks together are within ``settled`` times the seeds'
-sum of their limit: a host with no trust is blocked however far its distrust came. A page
-that no rule fits is blocked when its host's distrust exceeds ``threshold`` times its
-trust, and allowed otherwise; without evidence it is allowed.
+the rules: a host is trusted by its share of allowed pages and distrusted by its share of
+blocked ones. Personalised PageRank carries trust forward from the trusted seeds, and
+distrust against the edges from the blocked ones, until no further host is reached and all
+ranks together are within ``settled`` times the seeds' sum of their limit: a host with no
+trust is blocked however far its distrust came. A page that no rule fits is blocked when
+its host's distrust exceeds ``threshold`` times its trust, and allowed otherwise; without
+evidence it is allowed.
 
 Only edges between distinct hosts, counted once, take part. The edges of a hub, and the pages of a
 large host, lie in salted groups; a host's rank goes to those groups only that the host has, one row
