@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, packing, pii, quality, shards, substrings, topk, url_filters
+from . import bpe, exact_dedup, jaccard, middle, mixing, packing, periods, pii, quality, shards, substrings, topk, url_filters
 from .shared import scratch
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -62,12 +63,42 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = middle.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def echo(doc_id: int | None, words: int) -> tuple[int, int] | None:
+    """The contract's repeats: from a word on, with a period, in every tenth document by CRC-32 of its id; no id counts as no digits."""
+    g, tenth = divmod(zlib.crc32(b"" if doc_id is None else b"%d" % doc_id), 10)
+    a = g % words
+    return (a, 1 + (words - a) // (3 + g % 8)) if tenth == 0 else None
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), echo=echo)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length DIV -best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_exact_dedup, op2_byte_bpe, op3_substring_dedup, op4_url_filters, op5_best_fit_packing,
             op6_sharding, op7_exact_top_k, op8_jaccard_join, op9_pii, op10_quality_classifier,
+            op11_fill_in_middle, op12_periodic_runs, op13_source_mix,
         )
     }
 
@@ -212,5 +243,73 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+OP11_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents
+), hashed AS (
+    SELECT doc_id, text, w, len(w) AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS one, ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS two,
+           ('0x' || h[17:24])::BIGINT % 100 AS cuts, ('0x' || h[25:32])::BIGINT % 100 AS turns FROM cut
+), parts AS (
+    SELECT doc_id, n, text, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR cuts >= 50 THEN 'plain' WHEN turns < 80 THEN 'spm' ELSE 'psm' END AS form,
+           array_to_string(w[1:least(one, two)], '') AS prefix, array_to_string(w[least(one, two) + 1:greatest(one, two)], '') AS middle, array_to_string(w[greatest(one, two) + 1:n], '') AS suffix FROM hashed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+#: CRC-32 goes over the bits of the id's digits; words that are equal and a period apart make islands.
+OP12_SQL = r"""
+WITH said AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [256 + ord(c), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))),
+               lambda crc, x: CASE WHEN x >= 256 THEN xor(crc, x - 256) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END)) AS h FROM documents
+), echoed AS (
+    SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a, 3 + (h // 10) % 8 AS parts FROM said
+), words AS (
+    SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM echoed)
+), equal AS (
+    SELECT x.doc_id, x.i, y.i - x.i AS p FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND (y.i - x.i) * 4 <= x.n
+), stretches AS (
+    SELECT doc_id, min(i) AS start, count(*) + p AS length, p FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM equal) GROUP BY doc_id, p, island
+), runs AS (
+    SELECT doc_id, start, length, min(p) AS p FROM stretches WHERE length >= greatest(6, 4 * p) GROUP BY doc_id, start, length
+), listed AS (
+    SELECT doc_id, count(*) AS n_runs, max_by(struct_pack(start := start, length := length, p := p), struct_pack(length := length, s := -start, p := -p)) AS best,
+           string_agg(start || ',' || length || ',' || p || chr(10), '' ORDER BY start, p) AS lines FROM runs GROUP BY doc_id
+), dropped AS (
+    SELECT DISTINCT doc_id, unnest(range(start + p, start + length)) AS i FROM runs
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.p AS BIGINT) AS period, CAST(1000 * best.length // best.p AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: Each round stops the sources that the level before would take more than twice.
+OP13_SQL = r"""
+WITH RECURSIVE sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           CAST(('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, ''))[1:13])::BIGINT AS DOUBLE) / 4503599627370496 AS drawn FROM documents
+), sources AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM sized GROUP BY source
+), rounds AS (
+    SELECT 0 AS round, 1.5::DOUBLE * sum(source_size) / sum(weight) AS level FROM sources
+    UNION ALL
+    SELECT round + 1, (1.5::DOUBLE * sum(source_size) - sum(CASE WHEN weight * level > 2 * source_size THEN 2.0::DOUBLE * source_size ELSE 0 END)) / sum(CASE WHEN weight * level > 2 * source_size THEN 0 ELSE weight END)
+    FROM rounds, sources WHERE round < (SELECT count(*) FROM sources) GROUP BY round, level
+), targets AS (
+    SELECT source, source_size, least(weight * level, 2 * source_size) AS target FROM sources, (SELECT arg_max(level, round) AS level FROM rounds)
+), rates AS (
+    SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets
+)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_url_filters": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op6_sharding": OP6_SQL, "op7_exact_top_k": OP7_SQL}
+    return {"op11_fill_in_middle": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_source_mix": OP13_SQL, "op1_exact_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_url_filters": OP4_SQL, "op8_jaccard_join": OP8_SQL, "op6_sharding": OP6_SQL, "op7_exact_top_k": OP7_SQL}

@@ -32,6 +32,18 @@ def parts(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataF
             yield batch.iloc[at : at + rows]
 
 
+def portions(batches: Iterator[pd.DataFrame], letters: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """Arrow batches in portions whose texts have ``letters`` code points together, or of one longer text. Ids stay whole numbers."""
+    for batch in batches:
+        batch = batch.astype({"doc_id": "Int64"})
+        upto = batch["text"].str.len().fillna(0).astype("int64").cumsum().to_numpy()
+        at = 0
+        while at < len(batch):
+            until = max(at + 1, int(upto.searchsorted((upto[at - 1] if at else 0) + letters, "right")))
+            yield batch.iloc[at:until]
+            at = until
+
+
 class Remembered(dict):
     """A worker's results by word, for words of up to ``longest`` letters; ``room`` bounds their number, so bytes are bounded.
 
