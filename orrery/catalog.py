@@ -17,6 +17,7 @@ MODULES = (
     "functions.geometry",
     "functions.udfs",
     "plans.schedules",
+    "plans.pairing",
     "streaming.live",
     "sources.files",
     "sources.formats",
