@@ -19,6 +19,7 @@ MODULES = (
     "plans.schedules",
     "plans.pairing",
     "streaming.live",
+    "streaming.state",
     "sources.files",
     "sources.formats",
     "sources.plugins",
