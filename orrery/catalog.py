@@ -23,6 +23,9 @@ MODULES = (
     "sources.files",
     "sources.formats",
     "sources.plugins",
+    "sources.tail",
+    "sources.ranges",
+    "sources.records",
 )
 
 

@@ -11,16 +11,16 @@ from ..sources.views import POINTS, SCALARS, TRACK_OBS, points, scalars, table,
 LINE = "format('datapoint {} tracks={} loss={:.3f} {}', event_id, user_id, value, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'ok' END)"
 
 
-def log_lines(events: DataFrame) -> DataFrame:
+def log_lines(events: DataFrame, *keep: str) -> DataFrame:
     state = F.when(F.col("event_type") == "error", "FAILED").otherwise("ok")
-    return events.select(F.format_string("datapoint %d tracks=%d loss=%.3f %s", "event_id", "user_id", "value", state).alias("line"))
+    return events.select(*keep, F.format_string("datapoint %d tracks=%d loss=%.3f %s", "event_id", "user_id", "value", state).alias("line"))
 
 
-def parsed(lines: DataFrame) -> DataFrame:
+def parsed(lines: DataFrame, *keep: str) -> DataFrame:
     """``sample, tracks, loss, failed`` of log lines; lines of another form are left out."""
     at = lambda k: F.regexp_extract("line", r"^datapoint (\d+) tracks=(\d+) loss=([0-9.]+) (\w+)$", k)
     ok = lines.filter(F.col("line").rlike(r"^datapoint \d+ tracks="))
-    return ok.select(at(1).cast("long").alias("sample"), at(2).cast("long").alias("tracks"), at(3).cast("double").alias("loss"), (at(4) == "FAILED").alias("failed"))
+    return ok.select(*keep, at(1).cast("long").alias("sample"), at(2).cast("long").alias("tracks"), at(3).cast("double").alias("loss"), (at(4) == "FAILED").alias("failed"))
 
 
 @query("SELECT event_id AS sample, user_id AS tracks, CAST(format('{:.3f}', value) AS DOUBLE) AS loss, event_type = 'error' AS failed FROM events")
