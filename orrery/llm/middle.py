@@ -3,16 +3,17 @@
 A text is cut at two of its token boundaries, and its parts are put in another order with
 sentinels before them. Identical texts have the same boundaries, so they are found once:
 
-1. *Index.* Rows meet by the SHA-256 of their text; first within each partition, so that
-   a text travels once from each however many copies it has. The least and the greatest text of a
-   digest must be the same, which verifies its content. Its boundaries become an Elias-Fano list.
+1. *Index.* Rows meet by the SHA-256 of their text and, which verifies it, another hash and the length; first within
+   each partition, so that a text travels once from each however many copies it has. Its
+   boundaries become an Elias-Fano list.
 2. *Joining back.* Rows travel as id and digest alone. They have a place among the copies of their
    text, dealt by ranges, and meet the index in groups of ``PER_GROUP``: the first
    of each text where the index lies, the others of texts with more copies in groups of their own.
 3. *Cuts.* Id and seed settle form and two boundaries; the list gives their places without
    being unpacked, and the parts are put together by Spark.
 
-Each distinct text is shuffled once, and once more for each group after its first.
+Each distinct text is shuffled once, and once more for each group after its first; its list is made once, and once
+more if it has more groups than one.
 
 Edge cases: null and empty texts have no tokens and stay plain, as do texts that hold a sentinel; a
 null id is hashed as no digits; rows that repeat an id, a text or both give one row each; an empty
@@ -85,11 +86,17 @@ def cut_places(bounds: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFra
     return pd.DataFrame({"prefix_chars": each(low), "until": each(high)})
 
 
+KEYS = ["digest", "check"]
+
+
+def keyed(text: Column) -> list[Column]:
+    """What texts are told apart by: their digest, and what verifies it."""
+    return [F.unhex(F.sha2(text, 256)).alias("digest"), F.xxhash64(text, F.length(text)).alias("check")]
+
+
 def text_index(docs: DataFrame) -> DataFrame:
-    """``digest, text, copies`` of rows ``digest, text``; another text of the same digest is an error."""
-    found = docs.groupBy("digest").agg(F.min("text").alias("text"), F.max("text").alias("other"), F.count("*").alias("copies"))
-    same = F.when(F.col("text") == F.col("other"), F.col("text")).otherwise(F.raise_error(F.lit("two texts have one digest")))
-    return found.select("digest", same.alias("text"), "copies")
+    """``digest, check, text, copies`` of rows ``digest, check, text``."""
+    return docs.groupBy(*KEYS).agg(F.min("text").alias("text"), F.count("*").alias("copies"))
 
 
 def assembled(form: Column, prefix: Column, middle: Column, suffix: Column, text: Column) -> Column:
@@ -113,19 +120,24 @@ def restored(form: Column, output: Column) -> Column:
 def fill_in_middle(
     docs: DataFrame, seed: int = SEED, cut_percent: int = CUT_PERCENT, spm_percent: int = SPM_PERCENT, id_col: str = "doc_id", text_col: str = "text", per_group: int = PER_GROUP
 ) -> DataFrame:
-    """``doc_id, n, form, prefix_chars, middle_chars, output``, one row for each input row; ``n`` counts the text's tokens."""
+    """``doc_id, n, form, prefix_chars, middle_chars, output, copies``, one row for each input row.
+
+    ``n`` counts the text's tokens, ``copies`` the rows that have it.
+    """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    held = docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    rows = ranked(cut(rows), ["digest"], [F.col("doc_id")], "place").withColumn("group", F.floor(F.col("place") / per_group)).drop("place")
+    held = docs.select(*keyed(text), text.alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *keyed(text))
+    rows = cut(ranked(cut(rows), KEYS, [F.col("doc_id")], "place").withColumn("group", F.floor(F.col("place") / per_group)).drop("place"))
 
     index = text_index(held)
     with_bounds = lambda some: some.withColumn("bounds", boundary_lists("text"))
-    first = with_bounds(index).drop("copies").join(rows.filter("group = 0").drop("group"), "digest")
+    # A text meets the list of its first rows where the index lies. Both parts read the index's one shuffle.
+    ids = F.collect_list(F.struct("doc_id")).alias("ids")
+    first = with_bounds(index.join(rows.filter("group = 0").groupBy(*KEYS).agg(ids), KEYS))
     more = with_bounds(index.filter(F.col("copies") > per_group)).withColumn("group", F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("copies") - 1) / per_group))))
-    more = more.drop("copies").join(rows.filter("group > 0"), ["digest", "group"]).drop("group")
+    more = more.join(rows.filter("group > 0").groupBy(*KEYS, "group").agg(ids), [*KEYS, "group"]).drop("group")
 
-    met = first.unionByName(more)
+    met = first.unionByName(more).withColumn("id", F.explode("ids")).select("id.doc_id", "text", "bounds", "copies")
     # The list begins with the number of its entries.
     count = F.conv(F.hex(F.substring("bounds", 1, 8)), 16, 10).cast("long")
     said = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
@@ -142,4 +154,4 @@ def fill_in_middle(
     part = lambda at, size: F.substring(F.col("text"), at.cast("int") + 1, size.cast("int"))
     output = assembled(F.col("form"), part(F.lit(0), a), part(a, b - a), part(b, F.length("text") - b), F.col("text"))
     cut_only = lambda c: F.when(F.col("form") != "plain", c)
-    return met.select("doc_id", "n", "form", cut_only(a).alias("prefix_chars"), cut_only(b - a).alias("middle_chars"), output.alias("output"))
+    return met.select("doc_id", "n", "form", cut_only(a).alias("prefix_chars"), cut_only(b - a).alias("middle_chars"), output.alias("output"), "copies")

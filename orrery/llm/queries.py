@@ -66,7 +66,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
     back = middle.restored(F.col("form"), F.col("output"))
-    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"), "copies")
 
 
 def echo(doc_id: int | None, words: int) -> tuple[int, int] | None:
@@ -256,7 +256,7 @@ WITH cut AS (
 )
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
-       sha256(text) AS restored_sha256
+       sha256(text) AS restored_sha256, count(*) OVER (PARTITION BY text) AS copies
 FROM parts
 """
 
