@@ -16,8 +16,10 @@ MODULES = (
     "functions.scalars",
     "functions.geometry",
     "functions.udfs",
+    "functions.chunks",
     "plans.schedules",
     "plans.pairing",
+    "plans.cursors",
     "streaming.live",
     "streaming.state",
     "sources.files",
@@ -26,6 +28,7 @@ MODULES = (
     "sources.tail",
     "sources.ranges",
     "sources.records",
+    "sources.shard_stream",
 )
 
 

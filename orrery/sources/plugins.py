@@ -10,6 +10,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import pyarrow.dataset
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..registry import query, r6
 from .files import scratch
-from .views import SCALARS, scalars
+from .views import SCALARS, points, scalars
 
 #: Datasets by name: the names of the scenes, and the rows ``frame, view, x, y`` of one.
 DATASETS: dict[str, tuple[Callable[[dict], list[str]], Callable[[str, dict], Iterator[tuple]]]] = {}
@@ -63,26 +64,29 @@ class SceneSource(DataSource):
         return SceneReader(self.options)
 
 
-def grid_scenes(options: dict) -> list[str]:
-    return [f"grid-{k}" for k in range(int(options.get("scenes", 3)))]
+def folder_scenes(options: dict) -> list[str]:
+    """The folders of a dataset whose scenes are folders of Parquet files."""
+    fs, root = pyarrow.fs.FileSystem.from_uri(options["path"] if ":" in options["path"] else f"file://{options['path']}")
+    return sorted(f.base_name for f in fs.get_file_info(pyarrow.fs.FileSelector(root)) if f.type == pyarrow.fs.FileType.Directory)
 
 
-def grid_rows(scene: str, options: dict) -> Iterator[tuple]:
-    """A point that walks along a line, seen from two views."""
-    k = int(scene.rpartition("-")[2])
-    for frame in range(int(options.get("frames", 12))):
-        for view in range(2):
-            yield frame, view, float(k + frame), float(view * 10 + frame * k)
+def folder_rows(scene: str, options: dict) -> Iterator[tuple]:
+    fs, root = pyarrow.fs.FileSystem.from_uri(options["path"] if ":" in options["path"] else f"file://{options['path']}")
+    for batch in pyarrow.dataset.dataset(f"{root}/{scene}", filesystem=fs, format="parquet").to_batches(columns=["frame", "view", "x", "y"]):
+        yield from zip(*(batch.column(c).to_pylist() for c in ("frame", "view", "x", "y")), strict=True)
 
 
-dataset("grid", grid_scenes, grid_rows)
+dataset("folders", folder_scenes, folder_rows)
 
 
-@query("SELECT 'grid-' || k AS scene, CAST(f AS BIGINT) AS frame, CAST(v AS BIGINT) AS view, CAST(k + f AS DOUBLE) AS x, CAST(v * 10 + f * k AS DOUBLE) AS y FROM (SELECT unnest(range(25)) AS k), (SELECT unnest(range(12)) AS f), (SELECT unnest(range(2)) AS v)")
+@query("SELECT 'rig=' || label AS scene, vec_id AS frame, label::BIGINT AS view, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings")
 def src_scene_plugin(spark, sf_dir):
-    """A dataset of one's own as a table."""
+    """A dataset of one's own as a table: the driver names its scenes, workers read them."""
+    path = scratch(spark, "scenes")
+    p = points(spark, sf_dir).select(F.col("batch").alias("rig"), F.col("id").alias("frame"), F.col("batch").alias("view"), "x", "y")
+    p.write.partitionBy("rig").parquet(path)
     spark.dataSource.register(SceneSource)
-    return spark.read.format("orrery_scenes").option("dataset", "grid").option("scenes", 25).load()
+    return spark.read.format("orrery_scenes").option("dataset", "folders").option("path", path).load()
 
 
 PAGE = re.compile(r"steps=(\d+)-(\d+)$")
