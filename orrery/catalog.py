@@ -12,11 +12,13 @@ MODULES = (
     "operators.ordering",
     "operators.aggregates",
     "operators.joins",
+    "operators.near_tracks",
     "operators.selection",
     "functions.scalars",
     "functions.geometry",
     "functions.udfs",
     "functions.chunks",
+    "functions.student",
     "plans.schedules",
     "plans.pairing",
     "plans.cursors",
