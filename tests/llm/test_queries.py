@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from ..conftest import DATA
 from .test_dedup import brute_components, brute_spans, ids_of
 from .test_search_and_filters import plain_spans, rule_of
+from .test_transforms import brute_middle, brute_periods, collapsed
 
 SF = f"{DATA}/sf0.001"
 
@@ -36,7 +37,7 @@ def run(spark):
 
 
 def test_names_and_sql():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.oracles()) <= set(queries.queries())
 
 
@@ -139,3 +140,49 @@ def test_op9(run, texts):
 def test_op10(run, texts):
     got = run("op10_quality_classifier")
     assert {r.doc_id for r in got} == set(texts) and all(0 <= r.p_bad <= 1 for r in got)
+
+
+def test_op11(run, texts):
+    got = {r.doc_id: r for r in run("op11_fill_in_middle")}
+    assert set(got) == set(texts)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for d, t in texts.items():
+        n, form, prefix, middle, output = brute_middle(d, t)
+        assert (got[d].n, got[d].form, got[d].prefix_chars, got[d].middle_chars, got[d].output_sha256, got[d].restored_sha256) == (n, form, prefix, middle, sha(output), sha(t))
+    assert {r.form for r in got.values()} == {"plain", "psm", "spm"}
+
+
+def test_op12(run, texts):
+    got = {r.doc_id: r for r in run("op12_periodic_runs")}
+    some = sorted(texts, key=lambda d: len(texts[d]))[:150]  # the plain version compares all pairs of words
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for d in some:
+        words = [w for w in texts[d].encode().split()]
+        g, tenth = divmod(zlib.crc32(str(d).encode()), 10)
+        if tenth == 0 and words:
+            a = g % len(words)
+            p = 1 + (len(words) - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(len(words))]
+        runs = brute_periods(words)
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2])) if runs else (None, None, None)
+        r = got[d]
+        assert (r.n_runs, r.start, r.length, r.period) == (len(runs), *best)
+        assert r.exponent_milli == (1000 * best[1] // best[2] if runs else None)
+        assert r.runs_sha256 == sha("".join(f"{s},{n},{p}\n" for s, n, p in runs)) and r.collapsed_sha256 == sha(collapsed(words, runs))
+    assert set(got) == set(texts) and any(r.n_runs for r in got.values())
+
+
+def test_op13(run, texts, docs):
+    got = {r.doc_id: r for r in run("op13_source_mix")}
+    assert {d: r.size for d, r in got.items()} == {d: len(t.encode().split()) for d, t in texts.items()}
+    sources = {}
+    for r in docs:
+        sources.setdefault(r.source, []).append(got[r.doc_id])
+    total = sum(r.size for r in got.values())
+    assert sum(rows[0].target for rows in sources.values()) == pytest.approx(1.5 * total)
+    for rows in sources.values():
+        size = sum(r.size for r in rows)
+        assert {r.source_size for r in rows} == {size} and len({r.target for r in rows}) == 1 and rows[0].target <= 2 * size
+        rate = rows[0].target / size
+        assert all(r.taken in (r.size * int(rate), r.size * -int(-rate // 1)) for r in rows)
+    assert sum(r.taken for r in got.values()) == pytest.approx(1.5 * total, rel=0.2)
