@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, r6
@@ -15,8 +15,6 @@ from .windows import around, cells
 
 SMALL_SIDE_ROWS = 10_000
 CELL_SALTS = 8
-#: Pairs that are compared at once rather than cell by cell.
-FEW_PAIRS = 5_000_000
 
 
 def bounded_broadcast(side: DataFrame, rows: int = SMALL_SIDE_ROWS) -> DataFrame:
@@ -91,13 +89,14 @@ def join_range_chunk(spark, sf_dir):
     return q.withColumn("k", F.floor(F.col("qt") / 16).cast("int")).join(chunks, ["track", "k"]).select("track", "qt", "lo", "hi")
 
 
-def nearest(refs: DataFrame, queries: DataFrame, k: int, keep_self: bool = True) -> DataFrame:
+def nearest(refs: DataFrame, queries: DataFrame, k: int, keep_self: bool = True, compared: list[int] | None = None) -> DataFrame:
     """The ``k`` nearest references of each query within its batch, ties to the smaller id.
 
     ``refs`` and ``queries`` have ``batch, id, x, y, z``. Points lie in cells that hold about ``k`` references
     on average. A query meets the cells within one of its own, and is settled if its k-th distance is no more than
     the width that these cells cover around it for certain; the others go on with twice the width,
-    until the cells cover all references or the pairs left are few. A cell's references are dealt over salts, which a query all visits.
+    until the cells cover all references. A cell's references are dealt over salts, which a query all visits. ``compared``
+    gets the number of pairs of each round.
     """
     ready(refs.sparkSession)
     columns = ("x", "y", "z")
@@ -116,8 +115,6 @@ def nearest(refs: DataFrame, queries: DataFrame, k: int, keep_self: bool = True)
     left, settled, width = queries.select("batch", "id", *columns).checkpoint(), None, size
     around = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
     while True:
-        if left.count() * box["n"] <= FEW_PAIRS:
-            width = max(width, most * size)
         last = width >= most * size
         r = refs.select("*", *[cell(f"r{c}", width).alias(f"c{c}") for c in columns])
         # A sparse table of the cells that hold references: a query goes to those alone.
@@ -127,10 +124,14 @@ def nearest(refs: DataFrame, queries: DataFrame, k: int, keep_self: bool = True)
         met = q.join(r, ["batch", "cx", "cy", "cz", "salt"])
         if not keep_self:
             met = met.filter("id != ref")
+        seen = Observation()
+        met = met.observe(seen, F.count("*").alias("pairs"))
         d = F.round(F.sqrt(sum((F.col(c) - F.col(f"r{c}")) ** 2 for c in columns)), 9)
         place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("d", "ref"))
         few = met.withColumn("d", d).withColumn("n", place("batch", "id", "salt")).filter(F.col("n") <= k)
         found = few.withColumn("place", place("batch", "id").cast("long")).filter(F.col("place") <= k).select("batch", "id", "place", "ref", "d").checkpoint()
+        if compared is not None:
+            compared.append(seen.get["pairs"])
         if last:
             return settled.unionByName(found) if settled is not None else found
         kth = found.groupBy("batch", "id").agg(F.max("d").alias("d"), F.count("*").alias("n")).filter((F.col("n") == k) & (F.col("d") < width - 1e-8))

@@ -201,9 +201,16 @@ def test_exact_quantiles_are_numpys(spark, keys):
     assert got == {(g, p): pytest.approx(np.quantile(v, p)) for g, v in groups.items() for p in levels}
 
 
-@pytest.mark.parametrize(("batches", "few"), [(1, 0), (3, 0), (3, 5_000_000)])
-def test_nearest_of_clustered_points_and_far_queries(spark, batches, few, monkeypatch):
-    monkeypatch.setattr(joins, "FEW_PAIRS", few)
+def test_nearest_compares_few_of_all_pairs(spark):
+    r = np.random.default_rng(11)
+    p = spark.createDataFrame([(k, 0, *map(float, x)) for k, x in enumerate(r.random((3000, 3)))], "id long, batch long, x double, y double, z double")
+    compared = []
+    assert joins.nearest(p, p, 4, compared=compared).count() == 12_000
+    assert 12_000 < sum(compared) < 0.1 * 3000 * 3000
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_nearest_of_clustered_points_and_far_queries(spark, batches):
     r = np.random.default_rng(5)
     clustered = np.concatenate([r.normal(0, 0.01, (60, 3)), r.normal(50, 5, (40, 3))])
     rows = [(k, k % batches, *map(float, p)) for k, p in enumerate(clustered)]
