@@ -239,10 +239,10 @@ def bootstrap_means(rows: DataFrame, keys: list[str], resamples: int) -> DataFra
 
     A row is drawn as often as its place is hit, so each row meets its draws by an equality join.
     """
-    w = Window.partitionBy(*keys)
-    placed = rows.withColumn("place", F.row_number().over(w.orderBy("sequence")) - 1).withColumn("n", F.count("*").over(w))
+    placed = ranked(rows, keys, [F.col("sequence")], "place")
+    placed = looked_up(placed, rows.groupBy(*keys).agg(F.count("*").alias("n")), keys)
     draws = placed.select(*keys, "n", F.col("place").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    drawn = draws.withColumn("place", F.floor(hashed("boot", F.concat_ws("-", "b", "j")) * F.col("n")).cast("int"))
+    drawn = draws.withColumn("place", F.floor(hashed("boot", F.concat_ws("-", "b", "j")) * F.col("n")).cast("long"))
     return drawn.drop("n").join(placed.drop("n"), [*keys, "place"]).groupBy(*keys, "b").agg(F.avg("delta").alias("mean"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import top_k
-from ..operators.quantiles import ranked
+from ..operators.quantiles import looked_up, ranked, running_counts
 from ..registry import query, r6
 from ..sources.views import FOLLOWED, TRACK_OBS, followed, hashed, hashed_sql, table, track_obs
 from .track_metrics import BUCKETS, DYNAMIC, PATH_VISIBLE, STATIC, VERY_DYNAMIC, motion_buckets, path_visible
@@ -103,17 +103,30 @@ def samp_quarter(spark, sf_dir):
     return v.filter("place <= least(n div 4, 12)").select("track", "frame")
 
 
+def weighted_draws(rows: DataFrame, key: str, item: str, draws: int, salt: str) -> DataFrame:
+    """``key, draw, item``: items of each key drawn with replacement, in proportion to their weight ``n``; items are unique in a key.
+
+    Running sums go by ranges, so no task holds a key. A key's span is cut into as many slices as it has items, and a
+    draw meets only the items that reach into its slice.
+    """
+    upto = running_counts(rows, [key], item, "hi")
+    totals = rows.groupBy(key).agg(F.sum("n").alias("total"), F.count("*").alias("items"))
+    slice_of = lambda spot: F.floor(spot * F.col("items") / F.col("total")).cast("long")
+    placed = looked_up(upto, totals, [key]).filter("n > 0").withColumn("lo", F.col("hi") - F.col("n"))
+    placed = placed.withColumn("slice", F.explode(F.sequence(slice_of(F.col("lo")), slice_of(F.col("hi"))))).select(key, item, "lo", "hi", "slice")
+    d = totals.filter("total > 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    d = d.withColumn("spot", hashed(salt, F.concat_ws("-", key, "draw")) * F.col("total")).withColumn("slice", slice_of(F.col("spot"))).select(key, "draw", "spot", "slice")
+    return placed.join(d, [key, "slice"]).filter("spot >= lo AND spot < hi").select(key, "draw", item)
+
+
 @query(f"""WITH c AS (SELECT p_brand AS mesh, p_partkey AS face, CAST(sum(p_size * p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS hi, CAST(p_size * p_size AS BIGINT) AS area, CAST(sum(p_size * p_size) OVER (PARTITION BY p_brand) AS BIGINT) AS total FROM part),
 d AS (SELECT mesh, j, {hashed_sql("face", "concat_ws('-', mesh, j)")} * total AS spot FROM (SELECT mesh, any_value(total) AS total FROM c GROUP BY mesh), (SELECT unnest(range(20)) AS j))
 SELECT d.mesh, d.j::BIGINT AS draw, face FROM d JOIN c ON c.mesh = d.mesh AND spot >= hi - area AND spot < hi""")
 def samp_weighted_cdf(spark, sf_dir):
-    """Faces drawn in proportion to their area, by cumulative sums."""
-    w = Window.partitionBy("mesh")
+    """Faces drawn in proportion to their area."""
     area = (F.col("p_size") * F.col("p_size")).cast("long")
-    c = table(spark, sf_dir, "part").select(F.col("p_brand").alias("mesh"), F.col("p_partkey").alias("face"), area.alias("area")).withColumn("hi", F.sum("area").over(w.orderBy("face"))).withColumn("total", F.sum("area").over(w))
-    d = c.groupBy("mesh").agg(F.first("total").alias("total")).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
-    d = d.select("mesh", "draw", (hashed("face", F.concat_ws("-", "mesh", "draw")) * F.col("total")).alias("at"))
-    return d.join(c, "mesh").filter((F.col("at") >= F.col("hi") - F.col("area")) & (F.col("at") < F.col("hi"))).select("mesh", "draw", "face")
+    faces = table(spark, sf_dir, "part").select(F.col("p_brand").alias("mesh"), F.col("p_partkey").alias("face"), area.alias("n"))
+    return weighted_draws(faces, "mesh", "face", 20, "face").select("mesh", "draw", "face")
 
 
 @query(f"""WITH {SCENES}, v AS (SELECT scene, views, unnest(range(6))::BIGINT AS view FROM scenes), r AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY {hashed_sql("view", "concat_ws('-', scene, view)")}, view) AS place FROM v) SELECT scene, view, place FROM r WHERE place <= views""")

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.scalars import log_lines, parsed
 from ..registry import query, r6
@@ -43,18 +44,53 @@ marks AS (SELECT a AS arrival, (SELECT max(ts) FROM arrived WHERE arrived.arriva
 last_mark AS (SELECT mark FROM marks WHERE arrival = 5)"""
 
 
-def arriving(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
-    """The events as a stream of their arrivals, one a micro-batch; of some kinds only, if so."""
-    path = folder(spark, "arrivals")
+def move(spark: SparkSession, source: str, target: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop(target).getParent())
+    if not fs.rename(hadoop(source), hadoop(target)):
+        raise RuntimeError(f"{source} could not be moved to {target}")
+
+
+def fed(arrivals: list[DataFrame], job: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Runs a job over arrivals, each a micro-batch: an arrival appears whole, when what came before it is done."""
+    spark, base = arrivals[0].sparkSession, folder(arrivals[0].sparkSession, "fed")
+    empty = arrivals[0].limit(0)
+    empty.write.parquet(f"{base}/seen/arrival_0")
+    running = job(spark.readStream.schema(empty.schema).parquet(f"{base}/seen/*"))
+    try:
+        for k, rows in enumerate(arrivals, 1):
+            rows.write.parquet(f"{base}/coming/arrival_{k}")
+            move(spark, f"{base}/coming/arrival_{k}", f"{base}/seen/arrival_{k}")
+            running.processAllAvailable()
+    finally:
+        running.stop()
+
+
+def appended(stream: DataFrame, base: str) -> StreamingQuery:
+    """A job that appends a stream's rows to Parquet below ``base``, each batch in a folder of its own."""
+    out = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state")
+    return out.foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(f"{base}/out/batch={k}")).start()
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The events by their arrival."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     day = F.datediff("ts", F.lit("2024-01-01").cast("date"))
     arrival = F.when((F.col("event_id") % 10 == 0) & (day < 20), 4).otherwise(F.least(F.lit(3), F.floor(day / 8).cast("int")))
-    held = events.withColumn("arrival", arrival)
-    for k in range(5):
-        some = held.filter(F.col("arrival") == k).drop("arrival")
-        (some if kinds is None else some.filter(F.col("event_type").isin(kinds))).coalesce(1).write.mode("append").parquet(path)
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return source.withColumn("t", F.col("ts").cast("timestamp"))
+    return [events.filter(arrival == k).withColumn("t", F.col("ts").cast("timestamp")) for k in range(5)]
+
+
+def of_arrivals(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a job appends when the events come in their arrivals, one a micro-batch."""
+    base, made = folder(spark, "stream"), []
+
+    def job(stream: DataFrame) -> StreamingQuery:
+        made.append(transform(stream))
+        return appended(made[0], base)
+
+    fed(arrivals(spark, sf_dir), job)
+    return spark.read.schema(made[0].schema).parquet(f"{base}/out/batch=*")
 
 
 def drained(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None] | None = None, available_now: bool = True) -> DataFrame:
@@ -96,16 +132,22 @@ def strm_log_parse(spark, sf_dir):
 SELECT event_type AS tag, day_at AS day, count(*) AS n, round(sum(value), 4) AS total FROM w, last_mark WHERE (w.mark IS NULL OR day_at + INTERVAL '1 day' > w.mark) AND day_at + INTERVAL '1 day' <= last_mark.mark GROUP BY ALL""")
 def strm_tumbling(spark, sf_dir):
     """Days, each appended once no more of its rows can come."""
-    s = arriving(spark, sf_dir).withWatermark("t", DELAY).groupBy(F.window("t", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return drained(s.select(F.col("event_type").alias("tag"), F.col("window.start").cast("timestamp_ntz").alias("day"), "n", "total"), "append")
+    def days(s: DataFrame) -> DataFrame:
+        found = s.withWatermark("t", DELAY).groupBy(F.window("t", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+        return found.select(F.col("event_type").alias("tag"), F.col("window.start").cast("timestamp_ntz").alias("day"), "n", "total")
+
+    return of_arrivals(spark, sf_dir, days)
 
 
 @query(f"""WITH {ARRIVED}, w AS (SELECT value, mark, unnest([time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01'), time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') - INTERVAL '6 hours']) AS start FROM arrived JOIN marks USING (arrival))
 SELECT start, count(*) AS n, round(sum(value), 4) AS total FROM w, last_mark WHERE (w.mark IS NULL OR start + INTERVAL '12 hours' > w.mark) AND start + INTERVAL '12 hours' <= last_mark.mark GROUP BY start""")
 def strm_sliding(spark, sf_dir):
     """Windows of twelve hours every six."""
-    s = arriving(spark, sf_dir).withWatermark("t", DELAY).groupBy(F.window("t", "12 hours", "6 hours")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return drained(s.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "total"), "append")
+    def windows(s: DataFrame) -> DataFrame:
+        found = s.withWatermark("t", DELAY).groupBy(F.window("t", "12 hours", "6 hours")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+        return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "total")
+
+    return of_arrivals(spark, sf_dir, windows)
 
 
 @query(f"""WITH {ARRIVED}, ok AS (SELECT user_id, ts FROM arrived JOIN marks USING (arrival) WHERE mark IS NULL OR ts + INTERVAL '6 hours' > mark),
@@ -114,8 +156,11 @@ n AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS done, co
 SELECT user_id, start, n FROM n, last_mark WHERE done <= mark""")
 def strm_session(spark, sf_dir):
     """Sessions that end after six quiet hours."""
-    s = arriving(spark, sf_dir).withWatermark("t", DELAY).groupBy(F.session_window("t", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return drained(s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"), "append")
+    def sessions(s: DataFrame) -> DataFrame:
+        found = s.withWatermark("t", DELAY).groupBy(F.session_window("t", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
+        return found.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+    return of_arrivals(spark, sf_dir, sessions)
 
 
 JOINED = f"""{ARRIVED}, both_marks AS (SELECT a AS arrival, least((SELECT max(ts) FROM arrived WHERE arrived.arrival < a AND event_type = 'view'), (SELECT max(ts) FROM arrived WHERE arrived.arrival < a AND event_type = 'click')) - INTERVAL '2 days' AS mark FROM (SELECT unnest(range(6)) AS a)),
@@ -125,10 +170,14 @@ ok AS (SELECT arrived.* FROM arrived JOIN both_marks USING (arrival) WHERE mark
 @query(f"""WITH {JOINED} SELECT v.user_id, v.event_id AS seen, c.event_id AS clicked FROM ok v JOIN ok c ON v.user_id = c.user_id AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL '3 hours' WHERE v.event_type = 'view' AND c.event_type = 'click'""")
 def strm_join(spark, sf_dir):
     """Clicks within three hours of a view of the same user: two streams, whose state the watermarks bound."""
-    views = arriving(spark, sf_dir, ["view"]).withWatermark("t", DELAY).select("user_id", F.col("event_id").alias("seen"), F.col("t").alias("at"))
-    clicks = arriving(spark, sf_dir, ["click"]).withWatermark("t", DELAY).select(F.col("user_id").alias("who"), F.col("event_id").alias("clicked"), F.col("t").alias("then"))
-    near = F.expr("user_id = who AND then >= at AND then <= at + INTERVAL 3 HOURS")
-    return drained(views.join(clicks, near).select("user_id", "seen", "clicked"), "append")
+
+    def clicked(s: DataFrame) -> DataFrame:
+        views = s.filter("event_type = 'view'").withWatermark("t", DELAY).select("user_id", F.col("event_id").alias("seen"), F.col("t").alias("at"))
+        clicks = s.filter("event_type = 'click'").withWatermark("t", DELAY).select(F.col("user_id").alias("who"), F.col("event_id").alias("clicked"), F.col("t").alias("then"))
+        near = F.expr("user_id = who AND then >= at AND then <= at + INTERVAL 3 HOURS")
+        return views.join(clicks, near).select("user_id", "seen", "clicked")
+
+    return of_arrivals(spark, sf_dir, clicked)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

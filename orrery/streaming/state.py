@@ -19,7 +19,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..registry import query, r6
 from ..sources.files import publish
 from ..sources.views import SCALARS, scalars, table
-from .live import folder
+from .live import appended, fed, folder
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,35 +36,6 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before)
 
 
-def move(spark: SparkSession, source: str, target: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop(target).getParent())
-    if not fs.rename(hadoop(source), hadoop(target)):
-        raise RuntimeError(f"{source} could not be moved to {target}")
-
-
-def fed(arrivals: list[DataFrame], job: Callable[[DataFrame], StreamingQuery]) -> None:
-    """Runs a job over arrivals, each a micro-batch: an arrival appears whole, when what came before it is done."""
-    spark, base = arrivals[0].sparkSession, folder(arrivals[0].sparkSession, "fed")
-    empty = arrivals[0].limit(0)
-    empty.write.parquet(f"{base}/seen/arrival_0")
-    running = job(spark.readStream.schema(empty.schema).parquet(f"{base}/seen/*"))
-    try:
-        for k, rows in enumerate(arrivals, 1):
-            rows.write.parquet(f"{base}/coming/arrival_{k}")
-            move(spark, f"{base}/coming/arrival_{k}", f"{base}/seen/arrival_{k}")
-            running.processAllAvailable()
-    finally:
-        running.stop()
-
-
-def appended(stream: DataFrame, base: str) -> StreamingQuery:
-    """A job that appends a stream's rows to Parquet below ``base``, each batch in a folder of its own."""
-    out = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state")
-    return out.foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(f"{base}/out/batch={k}")).start()
-
-
 def in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     """A key's rows of a batch, in order."""
     return pd.concat(rows, ignore_index=True).sort_values(by, kind="stable")
