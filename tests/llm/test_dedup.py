@@ -257,3 +257,45 @@ def test_classes_of_one_id_keep_their_links(spark, rand):
     rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, b + " more")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert components_of(jaccard.jaccard_components(df)) == brute_components(df.collect())
+
+
+def near_texts(r, n, step):
+    """Texts of ``n`` words, each of which differs from its neighbours in ``step`` words at its ends."""
+    words = prose(r, n + 3 * step).replace("\n", " ").split()
+    return [" ".join(words[k * step : k * step + n]) for k in range(3)]
+
+
+def test_rows_without_an_id_link_and_one_of_each_component_stays(spark, rand):
+    r = rand(12)
+    a, b, c = near_texts(r, 100, 5)  # a and c meet through b alone
+    d, e, f = near_texts(r, 100, 5)
+    g, h = prose(r, 50), prose(r, 50)
+    rows = [(1, a), (None, b), (3, c), (None, d), (None, e), (None, f), (None, g), (None, g), (7, g), (None, h), (None, h), (None, h), (None, ""), (None, None), (9, "")]
+    df = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(rows)], "doc_id long, text string, place long")
+    got = jaccard.jaccard_components(df).collect()
+    assert len(got) == len(rows)
+    assert sorted((x.doc_id, x.component_id) for x in got if x.doc_id is not None) == [(1, 1), (3, 1), (7, 7), (9, 9)]
+    assert sorted(str(x.component_id) for x in got if x.doc_id is None) == ["1", "7", "7"] + ["None"] * 8
+    kept = [x.place for x in jaccard.drop_near_copies(df).collect()]
+    assert len(set(kept)) == len(kept) and {0, 8, 12, 13, 14} <= set(kept)
+    assert len({3, 4, 5} & set(kept)) == 1 and len({9, 10, 11} & set(kept)) == 1 and len(kept) == 7
+
+
+def test_an_id_that_repeats_multiplies_nothing(spark, rand, monkeypatch):
+    r = rand(13)
+    head = prose(r, 8)
+    texts = [f"{head} {prose(r, 30)}" for _ in range(200)] + [f"{head} again and again"] * 40
+    df = spark.createDataFrame([(0, t) for t in texts], "doc_id long, text string").repartition(3)
+    joined = []
+    real = type(df).join
+
+    def join(self, other, *more):
+        out = real(self, other, *more)
+        if "first_key" in out.columns:
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(df), "join", join)
+    assert {x.component_id for x in jaccard.jaccard_components(df).collect()} == {0}
+    assert joined and joined[0] <= len(texts)
+    assert jaccard.drop_near_copies(df).count() == 201
