@@ -4,7 +4,9 @@ A configuration is a multiset of piece lengths that fits one sequence. The progr
 the length histogram (at most one entry for each length up to the capacity, whatever
 the number of documents) is solved by multiplicative weights: lengths carry prices, a
 knapsack dynamic program finds the configurations worth most, and prices move with the
-coverage so reached, until the solution is within a hundredth of its lower bound. Weights are rounded
+coverage so reached, until the solution is within a hundredth of its lower bound, or no better
+for ``PATIENCE`` rounds; the gap that is reached is reported. Prices start from the best of the
+functions that are known to give no configuration more than 1. Weights are rounded
 down, the program is solved again for what remains, and the last pieces, whose
 counts are too small for it, go best fit.
 The plan is a bounded list of slot ranges by length; pieces find their slots by their
@@ -34,6 +36,12 @@ from tokenizers import Tokenizer
 from .shared import Remembered, cut, parts
 
 CAPACITY, END_ID = 4096, 1
+#: The solution's gap to its bound that is asked for; rounds without a better one, and so many steps of prices, that end a program.
+GAP, PATIENCE, STEPS = 0.01, 8, 8
+#: The same for the programs of what rounding leaves, which are small.
+LATER = 2
+#: The share of the sizes in the first prices, so that no piece is worth nothing.
+BY_SIZE = 0.1
 REMEMBERED = 300_000
 pack_ids = struct.Struct("<I").pack
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -171,6 +179,31 @@ def priced_columns(lengths: np.ndarray, left: np.ndarray, prices: np.ndarray, be
     return out
 
 
+def feasible_prices(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """Prices at which no configuration is worth more than 1, and the lower bound that they give: the best of three families.
+
+    The share of a sequence; steps, at which pieces of more than a k-th of a sequence count for whole ones; and
+    for each small size, that pieces below it count nothing and those that leave no room for it count a sequence.
+    """
+    share = lengths / capacity
+    found = [share]
+    for k in range(1, STEPS + 1):
+        exact = lengths * (k + 1) % capacity == 0
+        found.append(np.where(exact, share, lengths * (k + 1) // capacity / k))
+    prices = max(found, key=lambda p: float(counts @ p))
+    bound, worth = float(counts @ prices), counts * share
+    # Sums from the ends give each small size its bound.
+    few, much = np.r_[0, np.cumsum(worth)], np.r_[0, np.cumsum(counts)]
+    small = np.flatnonzero(2 * lengths <= capacity)
+    large = np.searchsorted(lengths, capacity - lengths[small], "right")
+    bounds = few[large] - few[small] + much[-1] - much[large]
+    if len(small) and bounds.max() > bound:
+        at = small[int(bounds.argmax())]
+        bound = float(bounds.max())
+        prices = np.where(lengths > capacity - lengths[at], 1.0, np.where(lengths < lengths[at], 0.0, share))
+    return prices, bound
+
+
 def uncovered(columns: dict[Config, float], counts: np.ndarray) -> np.ndarray:
     bare = counts.astype(np.float64).copy()
     for config, weight in columns.items():
@@ -178,24 +211,24 @@ def uncovered(columns: dict[Config, float], counts: np.ndarray) -> np.ndarray:
     return np.maximum(bare, 0.0)
 
 
-def fractional(
-    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 24, gap: float = 0.01, rate: float = 0.2
-) -> tuple[dict[Config, float], float, float]:
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP, patience: int = PATIENCE, rate: float = 0.2) -> tuple[dict[Config, float], float, float]:
     """The configuration program by multiplicative weights: columns and weights, a lower bound, and the gap to it.
 
     Minimise the number of sequences such that the configurations cover each length's count.
-    Prices on the lengths start at their share of a sequence. In each round the knapsack program
-    prices the rooms, which gives the bound ``counts @ prices / best``, and near-optimal columns; what they
+    In each round the knapsack program prices the rooms, which gives the
+    bound ``counts @ prices / best``, and near-optimal columns; what they
     leave uncovered gets dearer by a factor. A round's columns cover no length more than once, and so
     does their mean over the rounds. The cheaper of the two counts, with what it leaves uncovered
     in sequences of one length; the cheapest of all rounds is the solution.
     """
-    prices, bound, alone = lengths / capacity, 0.0, capacity // lengths
+    prices, bound = feasible_prices(lengths, counts, capacity)
+    prices, alone = (1 - BY_SIZE) * prices + BY_SIZE * lengths / capacity, capacity // lengths
     total: dict[Config, float] = {}
-    found, least = {}, np.inf
-    for k in range(1, rounds + 1):
+    found, least, k, better = {}, np.inf, 0, 0
+    while k - better < patience:
+        k += 1
         best = knapsack(lengths, prices, capacity)
-        bound = max(bound, float(counts @ prices) / best[capacity])
+        raised = float(counts @ prices) / best[capacity]
         now = {}
         for config, times in priced_columns(lengths, counts, prices, best, capacity, gap / 2):
             now[config] = now.get(config, 0.0) + times
@@ -204,11 +237,13 @@ def fractional(
         for columns in (now, {c: w / k for c, w in total.items()} if k > 1 else now):
             cost = sum(columns.values()) + float((uncovered(columns, counts) / alone).sum())
             if cost < least:
-                found, least = columns, cost
+                found, least, better = columns, cost, k
+        if raised > bound:
+            bound, better = raised, k
         if least <= (1 + gap) * bound:
             break
         prices = prices * np.exp(rate * bare / counts)
-        prices /= (prices * capacity / lengths).max()
+        prices /= best[capacity]
     return found, bound, least / bound - 1
 
 
@@ -249,11 +284,13 @@ def best_fit(plan: list[tuple[Config, int]], lengths: np.ndarray, left: np.ndarr
     return [x for room in rooms.values() for x in room]
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 24, passes: int = 8) -> tuple[list[tuple[tuple[int, ...], int]], dict[str, float]]:
+def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], dict[str, float]]:
     """A plan for all pieces of the histogram, (lengths, how often); and what made it.
 
     The program is solved and rounded down, and solved again for what that leaves, until a pass places less
-    than a tenth of it. ``by_columns`` is the number of pieces that the program placed,
+    than a tenth of it: passes grow with the logarithm of the pieces. What the last passes have placed is left to
+    best fit if that makes fewer sequences, as it may where lengths are rare or leave room that nothing fills: so there are
+    never more than by best fit alone. ``by_columns`` is the number of pieces that the program placed,
     ``bound`` the lower bound of the first solution, ``gap`` how far that is from it.
     """
     full = histogram.get(capacity, 0)
@@ -263,24 +300,24 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     if not len(lengths):
         return plan, said
     left = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    made: list[tuple[Config, int]] = []
-    for k in range(passes):
+    #: What each pass begins with: the plan so far, and the pieces that are left.
+    made: list[tuple[list[tuple[Config, int]], np.ndarray]] = [([], left)]
+    while left.any():
         open_ = np.flatnonzero(left)
-        before = int(left.sum())
-        if not len(open_):
-            break
-        columns, bound, gap = fractional(lengths[open_], left[open_], capacity, rounds)
-        if k == 0:
+        columns, bound, gap = fractional(lengths[open_], left[open_], capacity, patience=LATER if len(made) > 1 else PATIENCE)
+        if len(made) == 1:
             said |= {"bound": bound + full, "gap": gap}
         now = left[open_]
-        taken = rounded(columns, now)
+        taken = [(tuple(int(open_[j]) for j in config), times) for config, times in rounded(columns, now)]
+        before, left = int(left.sum()), left.copy()
         left[open_] = now
-        made += [(tuple(int(open_[j]) for j in config), times) for config, times in taken]
+        made.append((made[-1][0] + taken, left))
         if before - int(left.sum()) < before / 10:
             break
-    said["by_columns"] = said["pieces"] - int(left.sum())
-    plan += [(tuple(int(lengths[j]) for j in config), times) for config, times in best_fit(made, lengths, left, capacity)]
-    return plan, said
+    ends = [(best_fit(some, lengths, rest, capacity), rest) for some, rest in reversed(made)]
+    done, rest = min(ends, key=lambda x: sum(times for _, times in x[0]))
+    said["by_columns"] = said["pieces"] - int(rest.sum())
+    return plan + [(tuple(int(lengths[j]) for j in config), times) for config, times in done], said
 
 
 def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -335,13 +372,12 @@ def pack(
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rounds: int = 24,
     rows_per_salt: int = 20_000,
 ) -> DataFrame:
     """One row a piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     cuts = cut(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
     histogram = {r["length"]: r["count"] for r in cuts.groupBy("length").count().collect()}  # at most `capacity` rows
-    plan, _ = pack_histogram(histogram, capacity, rounds)
+    plan, _ = pack_histogram(histogram, capacity)
     salts = max(16, sum(histogram.values()) // rows_per_salt)
     schema = PIECES + ", sequence_id long, offset long"
     if not plan:

@@ -121,6 +121,30 @@ def test_the_program_places_the_pieces(spark, times):
     assert sum(t for _, t in plan) >= said["bound"] - 1e-6
 
 
+@pytest.mark.parametrize(("low", "high", "most"), [(1200, 3000, 0.0025), (1366, 2048, 0.0), (900, 1500, 0.03), (600, 1100, 0.01), (1300, 1500, None), (2000, 2100, 0.001), (1, 4096, 0.005)])
+def test_never_more_than_best_fit_alone(low, high, most):
+    """Lengths that fill sequences badly: against best fit, and against the bound where the program comes near it."""
+    drawn = np.random.default_rng(low).integers(low, high + 1, 20_000)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(drawn, return_counts=True)), strict=True))
+    plan, said = packing.pack_histogram(histogram)
+    lengths = np.array(sorted(histogram))
+    alone = sum(t for _, t in packing.best_fit([], lengths, np.array([histogram[n] for n in lengths.tolist()]), 4096))
+    used = sum(t for _, t in plan)
+    assert used_by(plan) == histogram and said["bound"] - 1e-6 <= used <= alone
+    assert most is None or used <= (1 + most) * said["bound"] + 1
+
+
+def test_feasible_prices_give_no_configuration_more_than_one(rand):
+    r = rand(21)
+    for _ in range(200):
+        capacity = r.choice([16, 31, 64])
+        lengths = np.array(sorted(r.sample(range(1, capacity), r.randint(1, 12))))
+        counts = np.array([r.randint(1, 50) for _ in lengths])
+        prices, bound = packing.feasible_prices(lengths, counts, capacity)
+        assert packing.knapsack(lengths, prices, capacity)[capacity] <= 1 + 1e-9 and bound == pytest.approx(counts @ prices)
+        assert bound >= counts @ lengths / capacity - 1e-9
+
+
 def test_prices_find_what_lengths_do_not_show():
     """Two lengths of a third: only the mixed configuration is full, and best fit alone misses it."""
     plan, said = packing.pack_histogram({1366: 1000, 1365: 1000})
