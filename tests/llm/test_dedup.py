@@ -299,3 +299,15 @@ def test_an_id_that_repeats_multiplies_nothing(spark, rand, monkeypatch):
     assert {x.component_id for x in jaccard.jaccard_components(df).collect()} == {0}
     assert joined and joined[0] <= len(texts)
     assert jaccard.drop_near_copies(df).count() == 201
+
+
+def test_without_a_least_span_no_later_copy_of_a_line_stays(spark):
+    """Lines of any length: with spans of one word on, every line that is left is the first of its kind."""
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    said = lambda rows: [" ".join(line.lower().split()) for r in sorted(rows, key=lambda r: r.doc_id) for line in (r.text or "").split("\n")]
+    before = [x for x in said(docs.collect()) if x]
+    after = [x for x in said(substrings.remove_repeats(docs, least_span=1).collect()) if x]
+    assert len(before) - len(set(before)) > 100
+    whole = set(before)
+    left = [x for x in after if x in whole]
+    assert len(left) == len(set(left))
