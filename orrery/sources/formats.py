@@ -146,41 +146,6 @@ def src_npy_arrays(spark, sf_dir):
     return a.groupBy("batch").agg(F.count_if(F.col("j") == 0).alias("rows"), at(0).alias("x"), at(2).alias("z"))
 
 
-def byte_store(rows: DataFrame, path: str) -> DataFrame:
-    """Writes rows ``store, frame, data`` as one file of bytes a store; ``store, frame, start, end`` of the frames in it."""
-
-    def join(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"name": [f"{key[0]}.bin"], "content": [b"".join(group.sort_values("frame")["data"])]})
-
-    write_files(rows.groupBy("store").applyInPandas(join, "name string, content binary"), path)
-    end = F.sum(F.length("data")).over(Window.partitionBy("store").orderBy("frame"))
-    return rows.select("store", "frame", (end - F.length("data")).alias("start"), end.alias("end"))
-
-
-def complete_stores(spark: SparkSession, offsets: DataFrame, path: str) -> DataFrame:
-    """Stores whose offsets rise strictly and end at their file's size."""
-    before = F.lag("end").over(Window.partitionBy("store").orderBy("frame"))
-    rising = offsets.withColumn("rises", (F.col("start") < F.col("end")) & (F.coalesce(before, F.lit(0)) == F.col("start"))).groupBy("store").agg(F.bool_and("rises").alias("rises"), F.max("end").alias("last"))
-    files = listed(spark, path, "*.bin").select(F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("store"), "length")
-    return rising.join(files, "store").filter(F.col("rises") & (F.col("last") == F.col("length"))).select("store")
-
-
-def read_frames(spark: SparkSession, wanted: DataFrame, path: str) -> DataFrame:
-    """``store, frame, data``: the bytes between a frame's offsets."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("store"), "content")
-    return files.join(wanted, "store").select("store", "frame", F.expr("substring(content, CAST(start + 1 AS INT), CAST(end - start AS INT))").alias("data"))
-
-
-@query("SELECT 'store_' || (c_custkey // 500) AS store, c_custkey AS frame, c_name AS said FROM customer")
-def src_byte_store(spark, sf_dir):
-    """Records in byte stores of five hundred, checked, and read by their ranges."""
-    path = scratch(spark, "bytes")
-    rows = table(spark, sf_dir, "customer").select(F.format_string("store_%d", F.floor(F.col("c_custkey") / 500)).alias("store"), F.col("c_custkey").alias("frame"), F.col("c_name").cast("binary").alias("data"))
-    offsets = byte_store(rows, path)
-    wanted = offsets.join(complete_stores(spark, offsets, path), "store", "left_semi")
-    return read_frames(spark, wanted, path).select("store", "frame", F.col("data").cast("string").alias("said"))
-
-
 SHARD_ROWS = 8
 
 

@@ -10,7 +10,7 @@ import pytest
 from orrery.functions import scalars, udfs
 from orrery.operators import aggregates, components, joins, ordering, quantiles, windows
 from orrery.plans import schedules, track_metrics
-from orrery.sources import checkpoints, files, formats, plugins
+from orrery.sources import checkpoints, files, formats, plugins, ranges
 from orrery.streaming import live
 from pyspark.sql import functions as F
 
@@ -306,12 +306,15 @@ def test_inventories_must_hold_what_they_say(spark, tmp_path):
 
 def test_byte_stores_with_gaps_are_not_complete(spark, tmp_path):
     rows = spark.createDataFrame([(s, k, bytearray([65 + k] * (k + 1))) for s in "pq" for k in range(4)], "store string, frame long, data binary")
-    offsets = formats.byte_store(rows, str(tmp_path))
-    assert {bytes(r.data) for r in formats.read_frames(spark, offsets, str(tmp_path)).collect()} == {b"A", b"BB", b"CCC", b"DDDD"}
-    (tmp_path / "q.bin").write_bytes(b"short")
-    assert [r.store for r in formats.complete_stores(spark, offsets, str(tmp_path)).collect()] == ["p"]
-    gap = offsets.filter("frame != 2")
-    assert formats.complete_stores(spark, gap, str(tmp_path)).count() == 0
+    offsets = ranges.byte_store(rows, str(tmp_path), frames=3)
+    assert sorted(f"{f.parent.name}/{f.name}" for f in tmp_path.rglob("*.bin")) == [f"{s}/00000{k}.bin" for s in "pq" for k in (0, 1)]
+    found = ranges.store_ranges(spark, offsets, str(tmp_path))
+    assert sorted((r.store, bytes(r.data)) for r in ranges.read_ranges(found).collect()) == [(s, bytes([65 + k] * (k + 1))) for s in "pq" for k in range(4)]
+    (tmp_path / "q/000001.bin").write_bytes(b"short")
+    assert {r.store for r in ranges.store_ranges(spark, offsets, str(tmp_path)).collect()} == {"p"}
+    assert ranges.store_ranges(spark, offsets.filter("frame != 1"), str(tmp_path)).count() == 0
+    (tmp_path / "p/000000.bin").unlink()
+    assert ranges.store_ranges(spark, offsets, str(tmp_path)).count() == 0
 
 
 def test_one_column_must_end_so(spark):
