@@ -35,7 +35,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 SALTS = 16
 NUMERIC = r"^[0-9.:]*$"
 #: Rounds between two looks at whether the ranks have settled.
-STEP = 4
+STEP = 8
 #: Edges a task of a round; few rows in many tasks would write mostly empty shuffle files, round after round.
 EDGES = 100_000
 
@@ -81,28 +81,27 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def propagated(seeds: DataFrame, edges: DataFrame, column: str, rounds: int | None, damping: float, settled: float = 1e-6) -> DataFrame:
-    """Personalised PageRank of ``host, seed`` over ``src, dst, salt``: ``host, <column>``.
+    """Personalised PageRank of ``host, seed`` over ``src, dst, salt``: ``host, <column>`` of the hosts that it reaches.
 
     After ``rounds`` rounds, or else at its limit: until as many hosts have rank as ``STEP`` rounds
     before, and the sum of all distances to the limit is ``settled`` times the seeds' sum at most.
     """
     counts = edges.groupBy("src", "salt").count()
-    # The salted groups that each host has, SALTS rows at most, with the host's degree.
-    groups = cut(counts.select("src", "salt", F.sum("count").over(Window.partitionBy("src")).alias("degree")))
-    out = cut(edges)
-    rank = seeds.select("host", F.col("seed").alias(column))
+    # The salted groups that each host has, SALTS rows at most, with what each edge carries of the host's rank.
+    groups = cut(counts.select(F.col("src").alias("host"), "salt", (damping / F.sum("count").over(Window.partitionBy("src"))).alias("carried")))
+    out = cut(edges.select(F.col("src").alias("host"), "salt", "dst"))
+    rank = seeds.filter("seed > 0").select("host", F.col("seed").alias(column))
+    own = ((1 - damping) * F.col(column)).alias(column)
     if not (size := out.count()):
-        return rank.withColumn(column, (1 - damping) * F.col(column))
+        return rank.select("host", own)
     tasks = 1 + size // EDGES
-    out, seeds, rank, groups = cut(out.coalesce(tasks)), cut(seeds.coalesce(tasks)), rank.coalesce(tasks), groups.coalesce(tasks)
+    out, rank, groups = cut(out.coalesce(tasks)), cut(rank.coalesce(tasks)), groups.coalesce(tasks)
+    given, share, to, come = rank.select("host", own), (F.col(column) * F.col("carried")).alias(column), F.col("dst").alias("host"), F.sum(column).alias(column)
 
     def after(rank: DataFrame) -> DataFrame:
-        share = (F.col(column) / F.col("degree")).alias("share")
-        sent = rank.filter(F.col(column) > 0).withColumnRenamed("host", "src").join(groups, "src").select("src", "salt", share)
-        come = out.join(sent, ["src", "salt"]).coalesce(tasks).groupBy(F.col("dst").alias("host")).agg(F.sum("share").alias("come"))
-        return seeds.join(come, "host", "full_outer").select(
-            "host", ((1 - damping) * F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("come", F.lit(0.0))).alias(column)
-        ).coalesce(tasks)
+        sent = rank.join(groups, "host").select("host", "salt", share).join(out, ["host", "salt"]).select(to, column)
+        # The seeds' own share is one more message, so that a round is one aggregation by host.
+        return given.union(sent).coalesce(tasks).groupBy("host").agg(come)
 
     if rounds is not None:
         for k in range(rounds):
@@ -110,20 +109,19 @@ def propagated(seeds: DataFrame, edges: DataFrame, column: str, rounds: int | No
             if k % 3 == 2:
                 rank = cut(rank)
         return rank
-    # A round brings any two rankings closer by the damping: what is left follows from the last change.
+    # From the seeds' own share on, ranks only grow: sums and counts tell what a look must know. A round brings
+    # any two rankings closer by the damping: what is left follows from the last change.
     left = damping**STEP / (1 - damping**STEP)
-    total = seeds.agg(F.sum("seed")).first()[0] or 0.0
+    total = rank.agg(F.coalesce(F.sum(column), F.lit(0.0))).first()[0]
+    rank, last, had = given, (1 - damping) * total, -1
     while True:
-        last = rank
         for _ in range(STEP):
             rank = after(rank)
         rank = cut(rank)
-        new, old = F.coalesce(column, F.lit(0.0)), F.coalesce("old", F.lit(0.0))
-        seen = rank.join(last.withColumnRenamed(column, "old"), "host", "full_outer").agg(
-            F.coalesce(F.sum(F.abs(new - old)), F.lit(0.0)).alias("change"), F.count_if((new > 0) & (old <= 0)).alias("reached")
-        ).first()
-        if not seen["reached"] and seen["change"] * left <= settled * total:
+        now, has = rank.agg(F.coalesce(F.sum(column), F.lit(0.0)), F.count("*")).first()
+        if has == had and (now - last) * left <= settled * total:
             return rank
+        last, had = now, has
 
 
 def url_verdicts(
