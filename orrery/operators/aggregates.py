@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, r6
-from .quantiles import exact_quantiles, looked_up, ranked, running_counts, summarised
+from .quantiles import exact_quantiles, grain_summary, looked_up, ranked, running_counts, summarised
 from ..sources.views import (
     FOLLOWED, METRICS, POINTS, RESIDUAL, SCALARS, TRACK_OBS, followed, hashed, hashed_sql, metrics, points, residual, scalars, table, track_obs,
 )
@@ -72,22 +72,15 @@ def agg_nearest_rank(spark, sf_dir):
 LEVELS = (0.5, 0.9, 0.95, 0.99, 0.999)
 
 
-def residual_summary(rows: DataFrame, *keys: str) -> DataFrame:
-    """Count, mean, RMSE, percentiles, largest, share within 0.05 of |r|, and signed percentiles, by ``keys``."""
+def residual_summary(rows: DataFrame, keys: list[str], *grains: tuple[str, ...]) -> DataFrame:
+    """Count, mean, RMSE, percentiles, largest, share within 0.05 of |r|, and signed percentiles, at ``grains`` of ``keys``."""
     a, r = F.abs("r"), F.col("r")
     plain = [
         F.count("r").alias("n"), r6(F.avg(a)).alias("mean"), r6(F.sqrt(F.avg(r * r))).alias("rmse"), r6(F.max(a)).alias("largest"), r6(F.avg((a <= 0.05).cast("double"))).alias("within"),
     ]
     names = {f"p{str(p)[2:].ljust(2, '0')}": (a, p) for p in LEVELS} | {"signed_p01": (r, 0.01), "signed_p50": (r, 0.5)}
-    found = summarised(rows, list(keys), plain, names)
-    return found.select(*keys, *[c for c in ("n", "mean", "rmse", "largest", "within")], *[r6(c).alias(c) for c in names])
-
-
-def at_grains(rows: DataFrame, grains: list[tuple[str, ...]], keys: list[str]) -> DataFrame:
-    """Each row once for each grain, with the keys that the grain lacks null, and the grain's bits in ``grain``."""
-    bits = lambda g: sum((k not in g) << (len(keys) - 1 - j) for j, k in enumerate(keys))
-    one = lambda g: F.struct(F.lit(bits(g)).cast("long").alias("grain"), *[(F.col(k) if k in g else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in keys])
-    return rows.withColumn("__g", F.explode(F.array(*map(one, grains)))).drop(*keys).select("__g.*", "*").drop("__g")
+    found = grain_summary(rows, list(grains), keys, plain, names)
+    return found.select(*keys, "grain", *[c for c in ("n", "mean", "rmse", "largest", "within")], *[r6(c).alias(c) for c in names])
 
 
 SUMMARY = ", ".join(
@@ -99,14 +92,13 @@ SUMMARY = ", ".join(
 
 @query(f"WITH {RESIDUAL} SELECT layout, mode, {SUMMARY} FROM residual GROUP BY layout, mode")
 def agg_residual_summary(spark, sf_dir):
-    return residual_summary(residual(spark, sf_dir), "layout", "mode")
+    return residual_summary(residual(spark, sf_dir), ["layout", "mode"], ("layout", "mode")).drop("grain")
 
 
 @query(f"WITH {RESIDUAL} SELECT layout, mode, view, CAST(grouping(layout, mode, view) AS BIGINT) AS grain, {SUMMARY} FROM residual GROUP BY GROUPING SETS ((layout, mode), (view, mode), ())")
 def agg_grouping_sets_summary(spark, sf_dir):
-    """The same summary at several grains in one pass."""
-    rows = at_grains(residual(spark, sf_dir), [("layout", "mode"), ("view", "mode"), ()], ["layout", "mode", "view"])
-    return residual_summary(rows, "layout", "mode", "view", "grain")
+    """The same summary at several grains, from counts at the finest one."""
+    return residual_summary(residual(spark, sf_dir), ["layout", "mode", "view"], ("layout", "mode"), ("view", "mode"), ())
 
 
 @query(f"WITH {RESIDUAL}, o AS (SELECT layout, view - 4 AS off, avg(abs(r)) AS v FROM residual GROUP BY layout, view) SELECT layout, arg_min(off, struct_pack(a := round(v, 6), b := abs(off), c := off)) AS best FROM o GROUP BY layout")
@@ -126,9 +118,9 @@ def agg_distribution(spark, sf_dir):
 @query(f"""WITH {RESIDUAL} SELECT view, mode, count(r) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS least, round(quantile_cont(r, 0.25), 6) AS q25,
 round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.75), 6) AS q75, round(max(r), 6) AS largest FROM residual GROUP BY GROUPING SETS ((view), (view, mode))""")
 def agg_describe(spark, sf_dir):
-    rows, r = at_grains(residual(spark, sf_dir), [("view",), ("view", "mode")], ["view", "mode"]), F.col("r")
+    r = F.col("r")
     plain = [F.count("r").alias("n"), r6(F.avg("r")).alias("mean"), r6(F.stddev_samp("r")).alias("std"), r6(F.min("r")).alias("least"), r6(F.max("r")).alias("largest")]
-    found = summarised(rows, ["view", "mode", "grain"], plain, {"q25": (r, 0.25), "q50": (r, 0.5), "q75": (r, 0.75)})
+    found = grain_summary(residual(spark, sf_dir), [("view",), ("view", "mode")], ["view", "mode"], plain, {"q25": (r, 0.25), "q50": (r, 0.5), "q75": (r, 0.75)})
     return found.select("view", "mode", "n", "mean", "std", "least", *[r6(c).alias(c) for c in ("q25", "q50", "q75")], "largest")
 
 

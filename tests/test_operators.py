@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import tarfile
 
 import numpy as np
@@ -254,6 +255,33 @@ def test_summaries_meet_null_keys(spark):
     assert got == {"a": (2, 2.0), None: (1, 5.0)}
 
 
+def test_summaries_at_grains_are_numpys(spark):
+    r = np.random.default_rng(8)
+    pdf = pd.DataFrame({"a": r.integers(0, 3, 900), "b": r.choice(["x", "y", None], 900), "v": np.where(r.random(900) < 0.3, -7.0, r.normal(size=900) * 10.0 ** r.integers(-3, 4, 900))})
+    pdf.loc[::50, "v"] = 0.0
+    df = spark.createDataFrame(list(pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None)), "a long, b string, v double")
+    df = df.union(spark.createDataFrame([(0, "x", None), (9, None, None), (8, "z", 1e300), (8, "z", float("inf")), (8, "z", float("inf"))], df.schema))
+    levels = {"least": 0.0, "low": 0.12, "middle": 0.5, "high": 0.93, "most": 1.0}
+    wanted = {n: (F.col("v"), p) for n, p in levels.items()} | {"size": (F.abs("v"), 0.5)}
+    rows = [(x.a, x.b, x.v) for x in df.collect()]
+    for shared in (quantiles.FEW, 0):  # with the buckets told to all tasks, and met by key
+        old, quantiles.FEW = quantiles.FEW, shared
+        try:
+            got = quantiles.grain_summary(df, [("a", "b"), ("b",), ()], ["a", "b"], [F.count("v").alias("n")], wanted).collect()
+        finally:
+            quantiles.FEW = old
+        seen = {(g.grain, g.a, g.b) for g in got}
+        assert len(got) == len(seen) and seen == {k for a, b, _ in rows for k in ((0, a, b), (2, None, b), (3, None, None))}
+        for g in got:
+            v = [v for a, b, v in rows if v is not None and (g.grain == 3 or b == g.b) and (g.grain > 0 or a == g.a)]
+            assert g.n == len(v) and (v or g.middle is None)
+            for n, p in levels.items() if v else ():
+                assert g[n] == pytest.approx(np.quantile(v, p)) or np.isinf(v).any()
+            assert not v or np.isinf(v).any() or g["size"] == pytest.approx(np.median(np.abs(v)))
+            if g.a == 8:
+                assert (g.least, g.middle, g.most) == (1e300, math.inf, math.inf)
+
+
 def test_discrete_quantiles(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4)], "v double")
     got = {r.level: r.quantile for r in quantiles.exact_quantiles(df, [], "v", [0.0, 0.25, 0.5, 0.51, 1.0], discrete=True).collect()}
