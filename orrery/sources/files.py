@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
+import math
 import tarfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,12 @@ from ..registry import query, r6
 from .checkpoints import ready
 from .views import TRACK_OBS, hashed, table, track_obs
 
+#: Files to a batch of a listing; what a task reads, and what opening a file counts for.
+LISTED, TASK_BYTES, OPEN_BYTES = 10_000, 16 << 20, 64 << 10
+
+#: Takes rows as they come to a task and gives the names and contents of files.
+Make = Callable[[Iterator[pd.DataFrame]], Iterator[tuple[str, bytes]]]
+
 
 def scratch(spark: SparkSession, what: str) -> str:
     return f"{ready(spark).rstrip('/')}/orrery-{what}-{uuid.uuid4().hex}"
@@ -84,9 +92,32 @@ def read_arrays(spark: SparkSession, path: str, shape: tuple[int, ...]) -> DataF
 
 
 def listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path, length, modificationTime`` of the files below a folder; contents are not read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return found.select("path", "length", "modificationTime")
+    """``path, length, modificationTime`` of the files below a folder; contents are not read.
+
+    The driver lists the folder itself, tasks what lies in its folders. Names that begin with a dot or an underscore are left out, as Spark's readers do.
+    """
+    base = located(path).rstrip("/")
+    fs, root = pyarrow.fs.FileSystem.from_uri(base)
+    before, shown = base[: len(base) - len(root)], lambda name: name[0] not in "._"
+    folders = [i.path for i in fs.get_file_info(pyarrow.fs.FileSelector(root)) if not i.is_file and shown(i.base_name)]
+
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = pyarrow.fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for folder, deep in zip(batch["folder"], batch["deep"], strict=True):
+                found = [i for i in fs.get_file_info(pyarrow.fs.FileSelector(folder, recursive=bool(deep))) if i.is_file and fnmatch.fnmatchcase(i.base_name, pattern) and all(map(shown, i.path[len(root) :].strip("/").split("/")))]
+                for at in range(0, len(found), LISTED):
+                    some = found[at : at + LISTED]
+                    yield pd.DataFrame({"path": [before + i.path for i in some], "length": [i.size for i in some], "modificationTime": pd.to_datetime([i.mtime_ns // 1000 for i in some], unit="us", utc=True)})
+
+    places = spark.createDataFrame([(root, False), *((f, True) for f in folders)], "folder string, deep boolean")
+    return places.repartition(min(len(folders) + 1, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(files, "path string, length long, modificationTime timestamp")
+
+
+def dealt(files: DataFrame, each: int = TASK_BYTES) -> DataFrame:
+    """Rows ``path, length`` of files, dealt over tasks of about ``each`` bytes; a file counts ``OPEN_BYTES`` more than it holds."""
+    size = files.agg(F.sum(F.col("length") + OPEN_BYTES)).first()[0] or 0
+    return files.repartition(max(1, math.ceil(size / each)), "path")
 
 
 def opened(uri: str) -> io.RawIOBase:
@@ -95,51 +126,84 @@ def opened(uri: str) -> io.RawIOBase:
     return fs.open_input_stream(where)
 
 
-def write_files(rows: DataFrame, path: str) -> int:
+def located(path: str) -> str:
+    """A path as a URI."""
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
+def named_contents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bytes]]:
+    for batch in batches:
+        yield from zip(batch["name"], batch["content"], strict=True)
+
+
+def as_rows(make: Make, most: int = 4 << 20) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What ``make`` gives as rows ``name, content``, in batches of about ``most`` bytes."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
+        for one in make(batches):
+            out.append(one)
+            held += len(one[1])
+            if held >= most:
+                yield pd.DataFrame(out, columns=["name", "content"])
+                out, held = [], 0
+        yield pd.DataFrame(out, columns=["name", "content"])
+
+    return rows
+
+
+def write_files(rows: DataFrame, path: str, make: Make | None = None) -> int:
     """Writes rows ``name, content`` as files below ``path``, each whole or not at all; how many.
 
+    With ``make`` the rows are any, and each task makes its files' contents of them, which no one else sees.
     A worker writes beside the name and moves: a task that runs again writes the same.
     """
-    base = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    base = located(path)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pyarrow.fs.FileSystem.from_uri(base)
-        for batch in batches:
-            for name, content in zip(batch["name"], batch["content"], strict=True):
-                place = f"{root}/{name}"
-                fs.create_dir(place.rpartition("/")[0])
-                with fs.open_output_stream(draft := f"{place}.{uuid.uuid4().hex}.draft") as out:
-                    out.write(content)
-                fs.move(draft, place)
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    return rows.select("name", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+        n, made = 0, set()
+        for name, content in (make or named_contents)(batches):
+            place = f"{root}/{name}"
+            folder = place.rpartition("/")[0]
+            if folder not in made:
+                if len(made) >= LISTED:
+                    made.clear()
+                fs.create_dir(folder)
+                made.add(folder)
+            with fs.open_output_stream(draft := f"{place}.{uuid.uuid4().hex}.draft") as out:
+                out.write(content)
+            fs.move(draft, place)
+            n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    return (rows if make else rows.select("name", "content")).mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def read_tars(spark: SparkSession, path: str, batch_bytes: int = 32 << 20) -> DataFrame:
     """Members of TAR shards as rows ``shard, position, scene, kind, name, bytes, content``.
 
-    A member's scene is its folder and its kind the last part of its name. A shard is one
-    task's stream, never a value: its members leave in batches of about ``batch_bytes``.
+    A member's scene is its folder and its kind the last part of its name. A shard is a
+    stream, never a value: a task reads many small shards one after the other, or a large one, and members leave in batches of about ``batch_bytes``.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["shard", "position", "scene", "kind", "name", "bytes", "content"]
+        out, held = [], 0
         for batch in batches:
             for shard in batch["path"]:
-                out, held = [], 0
                 with opened(shard) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
                     for k, member in enumerate(m for m in tar if m.isfile()):
                         scene, _, base = member.name.rpartition("/")
                         out.append((shard, k, scene, base.rpartition(".")[2], member.name, member.size, tar.extractfile(member).read()))
                         held += member.size
-                        if held >= batch_bytes:
+                        if held >= batch_bytes or len(out) >= LISTED:
                             yield pd.DataFrame(out, columns=names)
                             out, held = [], 0
-                yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(out, columns=names)
 
-    shards = listed(spark, path, "*.tar").select("path")
-    return shards.repartition(shards.count() or 1, "path").mapInPandas(rows, "shard string, position long, scene string, kind string, name string, bytes long, content binary")
+    shards = dealt(listed(spark, path, "*.tar").select("path", "length"))
+    return shards.mapInPandas(rows, "shard string, position long, scene string, kind string, name string, bytes long, content binary")
 
 
 def publish(df: DataFrame, path: str) -> bool:

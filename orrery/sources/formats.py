@@ -8,6 +8,8 @@ from __future__ import annotations
 import io
 import json
 import tarfile
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.ordering import top_k
 from ..operators.quantiles import ranked
 from ..registry import query, r6
-from .files import listed, publish, read_arrays, read_tars, scratch, write_files
+from .files import as_rows, listed, publish, read_arrays, read_tars, scratch, write_files
 from .views import METRICS, SCALARS, TRACK_OBS, metrics, points, scalars, table, track_obs
 
 
@@ -149,15 +151,20 @@ def src_npy_arrays(spark, sf_dir):
 SHARD_ROWS = 8
 
 
-def shard_files(spark, sf_dir) -> DataFrame:
-    """``source, shard, name, content``: TAR shards of eight scenes, each with its inventory, a text of ``v1.2 N`` and N lines."""
+def shard_scenes(spark, sf_dir) -> DataFrame:
+    """Scenes with their source and shard, a shard's in order in one task: ``packed`` takes them."""
     scenes = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("source"), F.col("c_custkey").alias("scene"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("segment"))
     placed = ranked(scenes, ["source"], [F.col("scene")], "n").withColumn("shard", F.floor(F.col("n") / SHARD_ROWS))
+    return placed.repartition("source", "shard").sortWithinPartitions("source", "shard", "n")
+
 
-    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+def packed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bytes]]:
+    """Names and contents of the TAR shards of sorted scenes, each with its inventory, a text of ``v1.2 N`` and N lines. A task holds one shard."""
+    each = (r for batch in batches for r in batch.itertuples(index=False))
+    for key, rows in groupby(each, lambda r: (r.source, r.shard)):
         out, lines = io.BytesIO(), []
         with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
-            for r in group.sort_values("n").itertuples():
+            for r in rows:
                 for name, data in ((f"scene_{r.scene}/meta.json", json.dumps({"title": r.title}).encode()), (f"scene_{r.scene}/view_0.txt", r.segment.encode())):
                     info = tarfile.TarInfo(name)
                     info.size = len(data)
@@ -165,10 +172,13 @@ def shard_files(spark, sf_dir) -> DataFrame:
                     tar.addfile(info, io.BytesIO(data))
                     lines.append(f"{name.rpartition('.')[2]} {at} {len(data)} {name}")
         base = f"source_{key[0]}/shard_{key[1]:05d}"
-        index = "\n".join([f"v1.2 {len(lines)}", *lines]).encode()
-        return pd.DataFrame({"name": [f"{base}.tar", f"{base}.idx"], "content": [out.getvalue(), index]})
+        yield f"{base}.tar", out.getvalue()
+        yield f"{base}.idx", "\n".join([f"v1.2 {len(lines)}", *lines]).encode()
 
-    return placed.groupBy("source", "shard").applyInPandas(pack, "name string, content binary")
+
+def shard_files(spark, sf_dir) -> DataFrame:
+    """``name, content`` of the shards and inventories, for those who want them as rows."""
+    return shard_scenes(spark, sf_dir).mapInPandas(as_rows(packed), "name string, content binary")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -188,7 +198,7 @@ m AS (SELECT *, 'json' AS ext, 'meta.json' AS base, length(c_name) + 13 AS size
 SELECT format('source_{}/shard_{:05d}', source, shard) AS shard, ext, 'scene_' || scene || '/' || base AS name, size::BIGINT AS size FROM m""")
 def src_shard_index(spark, sf_dir):
     path = scratch(spark, "shards")
-    write_files(shard_files(spark, sf_dir), path)
+    write_files(shard_scenes(spark, sf_dir), path, packed)
     return read_index(spark, path).select(F.regexp_extract("shard", r"([^/]+/[^/]+)\.idx$", 1).alias("shard"), "ext", "name", "size")
 
 
@@ -197,7 +207,7 @@ SELECT format('source_{}/shard_{:05d}', source, k // 8) AS shard, scene, c_name
 def sink_tar_shards(spark, sf_dir):
     """Scenes written as TAR shards and streamed back from the shards that have an inventory."""
     path = scratch(spark, "shards")
-    write_files(shard_files(spark, sf_dir), path)
+    write_files(shard_scenes(spark, sf_dir), path, packed)
     name = lambda c, kind: F.regexp_extract(c, rf"([^/]+/[^/]+)\.{kind}$", 1)
     whole = listed(spark, path, "*.idx").select(name("path", "idx").alias("shard"))
     members = read_tars(spark, path).withColumn("shard", name("shard", "tar")).join(whole, "shard", "left_semi")

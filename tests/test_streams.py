@@ -5,8 +5,8 @@ from datetime import datetime
 
 import pytest
 from orrery.sources import ranges, records, shard_stream, tail
-from orrery.sources.files import write_files
-from orrery.sources.formats import shard_files
+from orrery.sources.files import listed, read_tars, write_files
+from orrery.sources.formats import packed, shard_files, shard_scenes
 from orrery.streaming import state
 from pyspark.sql import functions as F
 
@@ -185,3 +185,15 @@ def test_ranks_share_no_shard_and_epochs_differ(spark, tmp_path):
     assert len({r.scene for r in whole}) == len(whole) and all(set(r.members) == {"meta.json", "view_0.txt"} for r in whole)
     (next(tmp_path.rglob("*.idx"))).unlink()
     assert len(of(read(world=3, epoch=0).collect())) == len(order) - 1
+
+
+def test_many_small_shards_are_few_tasks(spark, tmp_path):
+    write_files(shard_scenes(spark, f"{DATA}/sf0.001"), str(tmp_path), packed)
+    shards = len(list(tmp_path.rglob("*.tar")))
+    members = read_tars(spark, str(tmp_path))
+    assert shards > 20 and members.rdd.getNumPartitions() < 5
+    assert members.select("shard").distinct().count() == shards and members.count() == 300
+    (tmp_path / "source_1/_hidden.tar").write_bytes(b"")
+    (tmp_path / ".away").mkdir()
+    (tmp_path / ".away/a.tar").write_bytes(b"")
+    assert listed(spark, str(tmp_path), "*.tar").count() == shards and listed(spark, str(tmp_path / "source_1"), "*.idx").filter("length > 0").count() > 0
