@@ -1,5 +1,6 @@
 """Streams with state, the log tail, byte ranges, event records, shards by rank."""
 
+import os
 import struct
 from datetime import datetime
 
@@ -197,3 +198,16 @@ def test_many_small_shards_are_few_tasks(spark, tmp_path):
     (tmp_path / ".away").mkdir()
     (tmp_path / ".away/a.tar").write_bytes(b"")
     assert listed(spark, str(tmp_path), "*.tar").count() == shards and listed(spark, str(tmp_path / "source_1"), "*.idx").filter("length > 0").count() > 0
+
+
+def test_a_partition_is_a_run_of_one_ranks_shards(tmp_path, monkeypatch):
+    monkeypatch.setattr(shard_stream, "EACH", 3)
+    for k in range(20):
+        (tmp_path / f"s_{k}.tar").write_bytes(b"x" * 10)
+        (tmp_path / f"s_{k}.idx").write_bytes(b"")
+    reader = lambda **o: shard_stream.ShardReader({"path": str(tmp_path), "world": "2", **o})
+    plan = reader().partitions()
+    assert [(p.rank, p.place, len(p.names)) for p in plan] == [(r, k, n) for r in (0, 1) for k, n in ((0, 3), (3, 3), (6, 3), (9, 1))]
+    assert len({n for p in plan for n in p.names}) == 20
+    monkeypatch.setattr(shard_stream, "TASK_BYTES", 20)
+    assert [(p.rank, p.place, len(p.names)) for p in reader(rank="1").partitions()] == [(1, k, 2) for k in range(0, 10, 2)]
