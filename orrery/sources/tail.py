@@ -2,15 +2,18 @@
 
 The cursor is part of the stream's checkpoint: for each file a mark of its first line and the place after its last whole line. So a partial
 last line waits for the write that ends it, a file whose mark has changed or that is shorter than its cursor is read
-from its beginning, and no state is needed besides. The driver reads a file's first line and its end; workers read
-the lines, in stretches of ``block`` bytes. A file that is replaced by a longer one with the same first line looks like one that has grown.
+from its beginning, and no state is needed besides. The driver reads a file's first line and its end, again only where size or time have
+changed since the last look, or were fresh then; workers read the lines, in stretches of ``block`` bytes, of which small ones share a
+partition. A file that is replaced by a longer one with the same first line looks like one that has grown.
 """
 
 from __future__ import annotations
 
 import io
+import time
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow.fs
 from pyspark.sql import functions as F
@@ -22,6 +25,8 @@ from .files import write_files
 from .views import table
 
 HEAD, STEP = 4096, 1 << 16
+#: A partition's stretches hold so many bytes together, of which each counts ``OPENING`` more than it has; nanoseconds in which a file's time is fresh.
+TOGETHER, OPENING, FRESH = 16 << 20, 1 << 15, 2_000_000_000
 
 
 def located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -45,56 +50,80 @@ def last_line_end(file: pyarrow.NativeFile) -> int:
     return 0
 
 
-class Stretch(InputPartition):
+class Stretch(NamedTuple):
     """The lines of a file that begin from ``begin`` on and before ``end``."""
 
-    def __init__(self, file: str, begin: int, end: int, inside: bool):
-        super().__init__((file, begin))
-        self.file, self.begin, self.end, self.inside = file, begin, end, inside
+    file: str
+    begin: int
+    end: int
+    inside: bool
+
+
+class Stretches(InputPartition):
+    def __init__(self, number: int, stretches: list[Stretch]):
+        super().__init__(number)
+        self.stretches = stretches
 
 
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.suffix = options["path"], options.get("suffix", ".log")
         self.block = int(options.get("block", 64 << 20))
+        #: What the last look found, by file: size, time, whether it was fresh, and mark and end.
+        self.seen: dict[str, tuple[int, int, bool, list[int] | None]] = {}
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
         fs, root = located(self.path)
-        found = {}
+        now, seen = time.time_ns(), {}
         for info in fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True)):
             if info.is_file and info.path.endswith(self.suffix):
-                with fs.open_input_file(info.path) as file:
-                    if end := last_line_end(file):
-                        found[info.path] = [mark(file), end]
-        return found
-
-    def partitions(self, start: dict, end: dict) -> list[Stretch]:
-        out = []
+                size, at, known = info.size, info.mtime_ns, self.seen.get(info.path)
+                if known is None or known[2] or known[:2] != (size, at):
+                    with fs.open_input_file(info.path) as file:
+                        end = last_line_end(file)
+                        known = size, at, at is None or at > now - FRESH, [mark(file), end] if end else None
+                seen[info.path] = known
+        self.seen = seen
+        return {path: known[3] for path, known in seen.items() if known[3]}
+
+    def partitions(self, start: dict, end: dict) -> list[Stretches]:
+        out, held = [], TOGETHER
         for file, (now, upto) in sorted(end.items()):
             before, at = start.get(file, (None, 0))
             at = at if before == now and at <= upto else 0
-            out += [Stretch(file, b, min(b + self.block, upto), b > at) for b in range(at, upto, self.block)]
+            for b in range(at, upto, self.block):
+                if held >= TOGETHER:
+                    out.append(Stretches(len(out), []))
+                    held = 0
+                one = Stretch(file, b, min(b + self.block, upto), b > at)
+                out[-1].stretches.append(one)
+                held += one.end - one.begin + OPENING
         return out
 
-    def read(self, partition: Stretch) -> Iterator[tuple]:
+    def read(self, partition: Stretches) -> Iterator[tuple]:
         fs, _ = located(self.path)
-        with fs.open_input_file(partition.file) as raw:
-            at = partition.begin
-            if partition.inside:  # the line that holds the byte before belongs to the stretch before
-                at -= 1
-            raw.seek(at)
-            file = io.BufferedReader(raw, STEP)
-            if partition.inside:
-                at += len(file.readline())
-            while at < partition.end:
-                line = file.readline()
-                if not line.endswith(b"\n"):
-                    raise RuntimeError(f"{partition.file} was cut while it was read")
-                yield partition.file, at, line.decode("utf-8", "replace").rstrip("\r\n")
-                at += len(line)
+        for one in partition.stretches:
+            yield from lines(fs, one)
+
+
+def lines(fs: pyarrow.fs.FileSystem, one: Stretch) -> Iterator[tuple[str, int, str]]:
+    with fs.open_input_file(one.file) as raw:
+        at = one.begin
+        if one.inside:  # the line that holds the byte before belongs to the stretch before
+            at -= 1
+        raw.seek(at)
+        file = io.BufferedReader(raw, min(STEP, max(HEAD, one.end - one.begin)))
+        if one.inside:
+            at += len(file.readline())
+        while at < one.end:
+            line = file.readline()
+            if not line.endswith(b"\n"):
+                raise RuntimeError(f"{one.file} was cut while it was read")
+            yield one.file, at, line.decode("utf-8", "replace").rstrip("\r\n")
+            at += len(line)
 
 
 class TailSource(DataSource):
@@ -122,15 +151,15 @@ def strm_log_tail(spark, sf_dir):
 
     base = folder(spark, "tail")
     e = table(spark, sf_dir, "events").withColumn("log", F.floor(F.col("event_id") / LOG))
-    lines = log_lines(e, "log", "event_id")
+    said = log_lines(e, "log", "event_id")
 
     def text(rows):
         each = F.array_sort(F.collect_list(F.struct("event_id", "line")))
         joined = F.concat(F.array_join(F.transform(each, lambda x: x.line), "\n"), F.lit("\n"))
         return rows.groupBy("log").agg(joined.alias("content")).withColumn("name", F.format_string("run_%d.log", "log"))
 
-    whole = text(lines)
-    shorter = text(lines.filter((F.col("log") % 3 == 0) & (F.col("event_id") % LOG >= LOG - 40)))
+    whole = text(said)
+    shorter = text(said.filter((F.col("log") % 3 == 0) & (F.col("event_id") % LOG >= LOG - 40)))
     spark.dataSource.register(TailSource)
     tail = None
     for files in (whole.withColumn("content", F.expr("substring(content, 1, CAST(0.6 * length(content) AS INT))")), whole, shorter):

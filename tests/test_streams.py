@@ -211,3 +211,21 @@ def test_a_partition_is_a_run_of_one_ranks_shards(tmp_path, monkeypatch):
     assert len({n for p in plan for n in p.names}) == 20
     monkeypatch.setattr(shard_stream, "TASK_BYTES", 20)
     assert [(p.rank, p.place, len(p.names)) for p in reader(rank="1").partitions()] == [(1, k, 2) for k in range(0, 10, 2)]
+
+
+def test_small_stretches_share_a_task_and_known_files_are_not_opened(tmp_path, monkeypatch):
+    for k in range(50):
+        (tmp_path / f"{k}.log").write_bytes(b"one\ntwo\nthree\n")
+        os.utime(tmp_path / f"{k}.log", (1_000_000, 1_000_000))
+    follow = Follower(tmp_path, block=4)
+    looks = []
+    monkeypatch.setattr(tail, "mark", lambda file, of=tail.mark: looks.append(1) or of(file))
+    end = follow.reader.latestOffset()
+    plan = follow.reader.partitions({}, end)
+    assert len(plan) == 1 and len(plan[0].stretches) == 200
+    monkeypatch.setattr(tail, "TOGETHER", 10 * tail.OPENING)
+    assert len(follow.reader.partitions({}, end)) > 15
+    assert len(follow()) == 150 and len(looks) == 50
+    (tmp_path / "7.log").write_bytes(b"one\ntwo\nseven\n")  # as long as before, but later
+    assert follow() == [] and len(looks) == 51
+    assert follow() == [] and len(looks) == 52  # its time is fresh
