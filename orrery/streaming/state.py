@@ -1,8 +1,8 @@
 """Streams that carry state of their own: samples that stay open between batches, runs with timers, series by key.
 
 ``transformWithState`` keeps a key's state in the state store, so a restarted job goes on where it was;
-rows of a key are taken in order within a batch, and batches come in order. ``SeriesStore`` is
-where a stream in update mode puts its rows: each batch once, whatever is replayed.
+rows of a key are taken in order within a batch, and batches come in order. Keys share a call and a state in groups, by a hash,
+as a call for each key costs milliseconds. ``SeriesStore`` is where a stream in update mode puts its rows: each batch once, whatever is replayed.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -37,45 +38,90 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
 
 
 def in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """A key's rows of a batch, in order."""
+    """A group's rows of a batch, in order."""
     return pd.concat(rows, ignore_index=True).sort_values(by, kind="stable")
 
 
+#: Groups of keys with one state each: a call of Python for each group and batch costs the same for one key as for thousands.
+GROUPS = 1024
+#: What stands for a missing key or time in a group's table.
+NEVER = -(1 << 63)
+
+
+def grouped(lines: DataFrame, key: str, groups: int = GROUPS) -> GroupedData:
+    """A stream's rows by groups of keys; a job's number of groups stays as it began, as its state lies by group. A null key is ``NEVER``."""
+    whole = lines.withColumn(key, F.coalesce(key, F.lit(NEVER)))
+    return whole.withColumn("group", F.pmod(F.xxhash64(key), F.lit(groups))).groupBy("group")
+
+
+def ungrouped(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn(key, F.when(F.col(key) != NEVER, F.col(key)))
+
+
+class Held:
+    """A group's table in a value state: rows of fixed width, by key, as bytes."""
+
+    def __init__(self, handle: StatefulProcessorHandle, fields: list[tuple[str, str]]):
+        self.fields, self.state = fields, handle.getValueState("held", "data binary")
+
+    def get(self) -> pd.DataFrame:
+        data = self.state.get()[0] if self.state.exists() else b""
+        return pd.DataFrame.from_records(np.frombuffer(bytes(data), np.dtype(self.fields)))
+
+    def put(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            held = np.empty(len(rows), np.dtype(self.fields))
+            for name, _ in self.fields:
+                held[name] = rows[name].to_numpy()
+            self.state.update((held.tobytes(),))
+        else:
+            self.state.clear()
+
+
 class OpenSamples(StatefulProcessor):
     """Lines of a run attach to the last sample that is open: failures are counted on it, and its count of tracks closes it.
 
-    A line of a later batch finds the sample of an earlier one in the state.
+    A line of a later batch finds the sample of an earlier one in the state, which holds the open samples of a group of runs.
     """
 
     schema = "run long, sample long, tracks double, failed long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "sample long, failed long")
+        self.open = Held(handle, [("run", "<i8"), ("sample", "<i8"), ("failed", "<i8")])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        sample, failed = self.open.get() if self.open.exists() else (None, 0)
-        out = []
-        for line in in_order(rows, ["at", "line"]).itertuples(index=False):
-            if line.kind == "open":
-                sample, failed = line.line, 0
-            elif sample is not None and line.kind == "failed":
-                failed += 1
-            elif sample is not None and line.kind == "tracks":
-                out.append((key[0], sample, line.value, failed))
-                sample = None
-        if sample is None:
-            self.open.clear()
-        else:
-            self.open.update((int(sample), int(failed)))
-        yield pd.DataFrame(out, columns=["run", "sample", "tracks", "failed"])
+        lines, held = in_order(rows, ["run", "at", "line"]), self.open.get()
+        kind = lines["kind"].to_numpy()
+        # What is open from before comes first in its run, as a line that opens it and has its failures.
+        run = np.concatenate([held["run"], lines["run"]]).astype(np.int64)
+        order = np.argsort(run, kind="stable")
+        run = run[order]
+        line = np.concatenate([held["sample"], lines["line"]]).astype(np.int64)[order]
+        opens = np.concatenate([np.ones(len(held), bool), kind == "open"])[order]
+        counts = np.concatenate([np.zeros(len(held), bool), kind == "tracks"])[order]
+        value = np.concatenate([np.zeros(len(held)), lines["value"].to_numpy(np.float64)])[order]
+        fails = np.concatenate([held["failed"], kind == "failed"]).astype(np.int64)[order]
+        failed = np.cumsum(fails)
+        begins = opens | np.append(True, run[1:] != run[:-1])
+        part = np.cumsum(begins) - 1
+        first = np.flatnonzero(begins)
+        before = failed[first] - fails[first]
+        at = np.flatnonzero(counts & opens[first][part])
+        at = at[np.unique(part[at], return_index=True)[1]]  # the first count of tracks closes
+        out = pd.DataFrame({"run": run[at], "sample": line[first[part[at]]], "tracks": value[at], "failed": failed[at] - before[part[at]]})
+        ends = np.append(first[1:], len(run)) - 1
+        left = opens[first] & np.append(run[first][1:] != run[first][:-1], True)
+        left[part[at]] = False
+        self.open.put(pd.DataFrame({"run": run[first], "sample": line[first], "failed": failed[ends] - before})[left])
+        yield out
 
     def close(self) -> None:
         pass
 
 
-def filled_samples(lines: DataFrame) -> DataFrame:
+def filled_samples(lines: DataFrame, groups: int = GROUPS) -> DataFrame:
     """``run, sample, tracks, failed`` of a stream of ``run, at, line, kind, value``, as samples get their tracks."""
-    return lines.groupBy("run").transformWithStateInPandas(OpenSamples(), OpenSamples.schema, "Append", "none")
+    return ungrouped(grouped(lines, "run", groups).transformWithStateInPandas(OpenSamples(), OpenSamples.schema, "Append", "none"), "run")
 
 
 def by_weeks(rows: DataFrame, time: str, most: int = 5) -> list[DataFrame]:
@@ -105,10 +151,16 @@ def strm_open_samples(spark, sf_dir):
     return spark.read.schema(OpenSamples.schema).parquet(f"{base}/out/batch=*")
 
 
+#: By their number in the state; none is said before a run's first change.
+STATUS = np.array(["completed", "failed", "waiting", "stale", "running"], object)
+COMPLETED, FAILED, WAITING, STALE, RUNNING = range(5)
+
+
 class RunStatus(StatefulProcessor):
     """A run's status whenever it changes: completed, failed, waiting, stale or running, in this order of precedence.
 
-    A line sets a timer; a run without another line until then turns stale by the timer alone.
+    The state holds a group of runs, and a timer stands at the time at which the first of them turns stale: a run
+    without another line until then turns stale by the timer alone.
     """
 
     schema = "run long, change long, status string, last timestamp"
@@ -118,48 +170,60 @@ class RunStatus(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "last long, done boolean, failed boolean, status string, change long")
-
-    def said(self, key, state, status: str, last, done: bool, failed: bool) -> pd.DataFrame:
-        change = state[4] + (status != state[3])
-        self.run.update((last, done, failed, status, change))
-        rows = [] if status == state[3] else [(key[0], change, status, None if last is None else pd.Timestamp(last, unit="ms"))]
-        out = pd.DataFrame(rows, columns=["run", "change", "status", "last"])
-        return out.astype({"last": "datetime64[us]"})
+        self.runs = Held(handle, [("run", "<i8"), ("last", "<i8"), ("done", "?"), ("failed", "?"), ("status", "<i1"), ("change", "<i8")])
+
+    def said(self, held: pd.DataFrame, status: np.ndarray, known: np.ndarray) -> pd.DataFrame:
+        """The changes of runs from a status (-1 at first) to another, which the state takes over."""
+        new = status != known
+        held["status"], held["change"] = status, held["change"] + new
+        rows = held[new]
+        last = rows["last"].to_numpy(np.int64).view("datetime64[ms]").astype("datetime64[us]")  # of which NEVER is the missing one
+        self.runs.put(held)
+        return pd.DataFrame({"run": rows["run"], "change": rows["change"], "status": STATUS[rows["status"].to_numpy(np.int64)], "last": last})
+
+    def timed(self, held: pd.DataFrame, have: set[int]) -> None:
+        """One timer, at which the next of the runs that go on turns stale; ``have`` are those that stand."""
+        due = held.loc[held["status"] == RUNNING, "last"] + self.stale_ms
+        wanted = {int(due.min())} if len(due) else set()
+        for t in have - wanted:
+            self.handle.deleteTimer(t)
+        for t in wanted - have:
+            self.handle.registerTimer(t)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self.run.get() if self.run.exists() else (None, False, False, None, 0)
-        last, done, failed = state[:3]
+        held = self.runs.get()
+        parts = [held.assign(line=False)]
         for batch in rows:
-            lines = batch[batch["kind"] != "registered"]
-            done |= bool((lines["kind"] == "finished").any())
-            failed |= bool((lines["kind"] == "fatal").any())
-            if len(lines):
-                newest = int(lines["ms"].max())
-                last = newest if last is None else max(last, newest)
-        if last is not None and last != state[0]:
-            if state[0] is not None:
-                self.handle.deleteTimer(state[0] + self.stale_ms)
-            self.handle.registerTimer(last + self.stale_ms)
-        status = "completed" if done else "failed" if failed else "waiting" if last is None else "running"
-        yield self.said(key, state, status, last, done, failed)
+            line = batch["kind"] != "registered"
+            at = batch["ms"].where(line).astype("Int64").fillna(NEVER).astype("int64")
+            one = pd.DataFrame({"run": batch["run"], "last": at, "done": batch["kind"] == "finished", "failed": batch["kind"] == "fatal", "status": -1, "change": 0, "line": True})
+            parts.append(one.groupby("run", as_index=False).max())
+        found = pd.concat(parts, ignore_index=True).groupby("run", as_index=False).max()
+        known, line = found["status"].to_numpy(), found["line"].to_numpy(bool)
+        done, failed, last = found["done"].to_numpy(bool), found["failed"].to_numpy(bool), found["last"].to_numpy()
+        status = np.where(line, np.select([done, failed, last == NEVER], [COMPLETED, FAILED, WAITING], RUNNING), known)
+        found = found.drop(columns="line")
+        yield self.said(found, status, known)
+        self.timed(found, set(self.handle.listTimers()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.run.get()
-        last, done, failed = state[:3]
-        yield self.said(key, state, state[3] if done or failed else "stale", last, done, failed)
+        held, mark = self.runs.get(), timerValues.getCurrentWatermarkInMs()
+        known = held["status"].to_numpy()
+        late = (known == RUNNING) & (held["last"].to_numpy() + self.stale_ms <= mark)
+        yield self.said(held, np.where(late, STALE, known), known)
+        self.timed(held, set())  # the one that has fired goes by itself
 
     def close(self) -> None:
         pass
 
 
-def run_status(lines: DataFrame, stale_ms: int, delay: str = "1 hour") -> DataFrame:
+def run_status(lines: DataFrame, stale_ms: int, delay: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """``run, change, status, last``: the changes of each run's status, of a stream of ``run, at, kind``.
 
     Time is that of the watermark, so a run turns stale when the others have gone on for long enough.
     """
     timed = lines.withWatermark("at", delay).withColumn("ms", F.unix_millis("at"))
-    return timed.groupBy("run").transformWithStateInPandas(RunStatus(stale_ms), RunStatus.schema, "Update", "EventTime")
+    return ungrouped(grouped(timed, "run", groups).transformWithStateInPandas(RunStatus(stale_ms), RunStatus.schema, "Update", "EventTime"), "run")
 
 
 #: A run is a user's day. A third of the signups finishes a run, the others register one; some errors are fatal.

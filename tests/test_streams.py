@@ -229,3 +229,20 @@ def test_small_stretches_share_a_task_and_known_files_are_not_opened(tmp_path, m
     (tmp_path / "7.log").write_bytes(b"one\ntwo\nseven\n")  # as long as before, but later
     assert follow() == [] and len(looks) == 51
     assert follow() == [] and len(looks) == 52  # its time is fresh
+
+
+def test_one_timer_serves_the_runs_of_a_group(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "run long, at timestamp, kind string")
+    base = str(tmp_path)
+
+    def job(s):
+        out = state.run_status(s, 12 * 3_600_000, groups=1).writeStream.outputMode("update").option("checkpointLocation", f"{base}/state")
+        return out.foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{base}/out/batch={k}")).start()
+
+    with state.keyed_state(spark):
+        state.fed([rows((1, day(0), "line"), (2, day(0, 20), "line"), (3, day(0), "fatal"), *((k, day(0), "registered") for k in range(100, 140))), rows((4, day(1), "line")), rows((5, day(3), "line")), rows((1, day(3), "registered"))], job)
+    said = {}
+    for r in sorted(spark.read.schema(state.RunStatus.schema).parquet(f"{base}/out/batch=*").collect(), key=lambda r: r.change):
+        said.setdefault(r.run, []).append(r.status)
+    assert all(said.pop(k) == ["waiting"] for k in range(100, 140))
+    assert said == {1: ["running", "stale", "running", "stale"], 2: ["running", "stale"], 3: ["failed"], 4: ["running", "stale"], 5: ["running"]}
