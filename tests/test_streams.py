@@ -246,3 +246,13 @@ def test_one_timer_serves_the_runs_of_a_group(spark, tmp_path):
         said.setdefault(r.run, []).append(r.status)
     assert all(said.pop(k) == ["waiting"] for k in range(100, 140))
     assert said == {1: ["running", "stale", "running", "stale"], 2: ["running", "stale"], 3: ["failed"], 4: ["running", "stale"], 5: ["running"]}
+
+
+def test_keys_share_a_group_and_its_state(spark, tmp_path):
+    first = lines(spark, [(k, day(0, k % 5), 10 * k, "open", 0.0) for k in range(300)] + [(None, day(0), 5, "open", 0.0)])
+    second = lines(spark, [(k, day(1), 10 * k + 1, "failed", 0.0) for k in range(0, 300, 2)] + [(k, day(1, 1), 10 * k + 2, "tracks", float(k)) for k in range(300)] + [(None, day(1), 6, "tracks", 7.0)])
+    base = str(tmp_path)
+    with state.keyed_state(spark):
+        state.fed([first, second], lambda s: state.appended(state.filled_samples(s, groups=3), base))
+    got = {r.run: (r.sample, r.tracks, r.failed) for r in spark.read.parquet(f"{base}/out/batch=*").collect()}
+    assert got == {k: (10 * k, float(k), int(k % 2 == 0)) for k in range(300)} | {None: (5, 7.0, 0)}
