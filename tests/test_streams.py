@@ -256,3 +256,22 @@ def test_keys_share_a_group_and_its_state(spark, tmp_path):
         state.fed([first, second], lambda s: state.appended(state.filled_samples(s, groups=3), base))
     got = {r.run: (r.sample, r.tracks, r.failed) for r in spark.read.parquet(f"{base}/out/batch=*").collect()}
     assert got == {k: (10 * k, float(k), int(k % 2 == 0)) for k in range(300)} | {None: (5, 7.0, 0)}
+
+
+def test_event_files_are_made_as_their_rows_pass():
+    """A file leaves when its last row has come, while the next batches have not been taken."""
+    import pandas as pd
+
+    taken = []
+
+    def batches():
+        for k in range(4):
+            taken.append(k)
+            yield pd.DataFrame({"file": [k, k + 1], "ordinal": [2 * k, 2 * k + 1], "tag": "t", "step": 1, "value": [0.5, None]})
+
+    made = records.encoded("run_%d/e")(batches())
+    name, content = next(made)
+    assert name == "run_0/e" and content == records.framed(records.version_event(0.0)) + records.framed(records.scalar_event(0.0, 1, "t", 0.5)) and taken == [0]
+    sizes = {name: len(content) for name, content in made}
+    assert list(sizes) == [f"run_{k}/e" for k in range(1, 5)]
+    assert {name: len(content) for name, content in records.encoded("run_%d/e", 0.5)(batches())}["run_4/e"] == sizes["run_4/e"] // 2
