@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from .components import components
 from .windows import around, cells
 
 SMALL_SIDE_ROWS = 10_000
-CELL_SALTS = 8
+#: A block's cells along each side; its queries and references to a group; pairs that a task holds at once.
+BLOCK_CELLS, BLOCK_QUERIES, BLOCK_REFS, BLOCK_PAIRS = 4, 4096, 100_000, 1_000_000
+NEAR = "batch long, id long, x double, y double, z double, ref long, rx double, ry double, rz double, pairs long"
 
 
 def bounded_broadcast(side: DataFrame, rows: int = SMALL_SIDE_ROWS) -> DataFrame:
@@ -89,14 +93,61 @@ def join_range_chunk(spark, sf_dir):
     return q.withColumn("k", F.floor(F.col("qt") / 16).cast("int")).join(chunks, ["track", "k"]).select("track", "qt", "lo", "hi")
 
 
+def _near(width: float, k: int, keep_self: bool):
+    """Of a block's queries and references, for each query those that may be among its ``k`` nearest within one cell, and a row with the number of pairs."""
+
+    def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame(columns=[c.split()[0] for c in NEAR.split(", ")])
+        if q.empty or r.empty:
+            return none
+        cells_of = lambda rows, names: np.floor(rows[names].to_numpy() / width).astype(np.int64)
+        at, to = cells_of(q, ["x", "y", "z"]), cells_of(r, ["rx", "ry", "rz"])
+        low = np.minimum(at.min(0), to.min(0)) - 1
+        wide = np.maximum(at.max(0), to.max(0)) - low + 2
+        code = lambda c: ((c[:, 0] - low[0]) * wide[1] + c[:, 1] - low[1]) * wide[2] + c[:, 2] - low[2]
+        codes = code(to)
+        order = np.argsort(codes, kind="stable")
+        codes, ref, r_xyz = codes[order], r["ref"].to_numpy()[order], r[["rx", "ry", "rz"]].to_numpy()[order]
+        # The three cells along z follow each other.
+        mid = code(at)[:, None] + np.array([i * wide[1] * wide[2] + j * wide[2] for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        begin, end = np.searchsorted(codes, mid - 1, "left"), np.searchsorted(codes, mid + 1, "right")
+        ids, q_xyz, upto = q["id"].to_numpy(), q[["x", "y", "z"]].to_numpy(), np.cumsum((end - begin).sum(1))
+        out, pairs, one = [], 0, 0
+        while one < len(q):
+            until = max(one + 1, int(np.searchsorted(upto, (upto[one - 1] if one else 0) + BLOCK_PAIRS, "right")))
+            b, n = begin[one:until].ravel(), (end - begin)[one:until].ravel()
+            who = np.repeat(np.arange(one, until), (end - begin)[one:until].sum(1))
+            which = np.arange(n.sum()) + np.repeat(b - (np.cumsum(n) - n), n)
+            if not keep_self:
+                other = ids[who] != ref[which]
+                who, which = who[other], which[other]
+            d = np.sqrt(((q_xyz[who] - r_xyz[which]) ** 2).sum(1))
+            by = np.lexsort((d, who))
+            who, which, d = who[by], which[by], d[by]
+            first = np.searchsorted(who, np.arange(one, until))
+            count = np.bincount(who - one, minlength=until - one)
+            kth = np.full(until - one, np.inf)
+            full = count >= k
+            kth[full] = d[first[full] + k - 1]
+            keep = d <= kth[who - one] + 2e-9  # distances are rounded to nine decimals
+            out.append((who[keep], which[keep]))
+            pairs, one = pairs + len(who), until
+        who, which = (np.concatenate(x) for x in zip(*out, strict=True))
+        found = pd.DataFrame({"batch": q["batch"].iloc[0], "id": ids[who], **{c: q_xyz[who, j] for j, c in enumerate("xyz")}, "ref": ref[which], **{f"r{c}": r_xyz[which, j] for j, c in enumerate("xyz")}, "pairs": pd.array([None] * len(who), "Int64")})
+        return pd.concat([found, pd.DataFrame({"pairs": pd.array([pairs], "Int64")})], ignore_index=True).astype({"batch": "Int64", "id": "Int64", "ref": "Int64"})
+
+    return search
+
+
 def nearest(refs: DataFrame, queries: DataFrame, k: int, keep_self: bool = True, compared: list[int] | None = None) -> DataFrame:
     """The ``k`` nearest references of each query within its batch, ties to the smaller id.
 
     ``refs`` and ``queries`` have ``batch, id, x, y, z``. Points lie in cells that hold about ``k`` references
     on average. A query meets the cells within one of its own, and is settled if its k-th distance is no more than
     the width that these cells cover around it for certain; the others go on with twice the width,
-    until the cells cover all references. A cell's references are dealt over salts, which a query all visits. ``compared``
-    gets the number of pairs of each round.
+    until the cells cover all references. Blocks of cells are searched in arrays: a query lies in one block, and a reference goes to
+    the blocks that it is near to; full blocks are dealt over salts of queries and slices of references. Pairs stay where they are made:
+    only those that may be among a query's ``k`` leave. ``compared`` gets the number of pairs of each round.
     """
     ready(refs.sparkSession)
     columns = ("x", "y", "z")
@@ -110,26 +161,33 @@ def nearest(refs: DataFrame, queries: DataFrame, k: int, keep_self: bool = True,
     size = (math.prod(wide) * k * max(1, box["batches"]) / box["n"]) ** (1 / len(wide)) if wide else 1.0
     most = max(1, math.ceil(max(sides) / size))
     cell = lambda c, width: F.floor(F.col(c) / width).cast("long")
-    salt = F.pmod(F.xxhash64("id"), F.lit(CELL_SALTS))
-    refs = refs.select("batch", F.col("id").alias("ref"), *[F.col(c).alias(f"r{c}") for c in columns], salt.alias("salt")).checkpoint()
-    left, settled, width = queries.select("batch", "id", *columns).checkpoint(), None, size
-    around = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    whole = lambda rows, names: rows.dropna(subset=["batch", *names])
+    # Of references at one place the least ids come first, and no query takes more of them than it has places, and itself.
+    copy = F.row_number().over(Window.partitionBy("batch", *columns).orderBy("id"))
+    refs = whole(refs, columns).withColumn("copy", copy).filter(F.col("copy") <= k + 1).select("batch", F.col("id").alias("ref"), *[F.col(c).alias(f"r{c}") for c in columns]).checkpoint()
+    left, settled, width = whole(queries.select("batch", "id", *columns), columns).checkpoint(), None, size
+    block, key = [f"b{c}" for c in columns], ["batch", *[f"b{c}" for c in columns], "salt", "slice"]
     while True:
         last = width >= most * size
-        r = refs.select("*", *[cell(f"r{c}", width).alias(f"c{c}") for c in columns])
-        # A sparse table of the cells that hold references: a query goes to those alone.
-        held = r.select("batch", "cx", "cy", "cz", "salt").distinct()
-        q = left.select("*", *[cell(c, width).alias(f"o{c}") for c in columns]).withColumn("dx", around).withColumn("dy", around).withColumn("dz", around)
-        q = q.select("batch", "id", *columns, *[(F.col(f"o{c}") + F.col(f"d{c}")).alias(f"c{c}") for c in columns]).join(held, ["batch", "cx", "cy", "cz"])
-        met = q.join(r, ["batch", "cx", "cy", "cz", "salt"])
-        if not keep_self:
-            met = met.filter("id != ref")
+        r, q = refs, left
+        for c in columns:
+            of = lambda far, c=c: F.floor((cell(f"r{c}", width) + far) / BLOCK_CELLS)
+            r = r.withColumn(f"b{c}", F.explode(F.array_distinct(F.array(of(-1), of(1)))))
+            q = q.withColumn(f"b{c}", F.floor(cell(c, width) / BLOCK_CELLS))
+        parts = lambda n, each: F.ceil(F.col(n) / each).cast("int")
+        sizes = q.groupBy("batch", *block).agg(F.count("*").alias("nq")).join(r.groupBy("batch", *block).agg(F.count("*").alias("nr")), ["batch", *block])
+        sizes = sizes.select("batch", *block, parts("nq", BLOCK_QUERIES).alias("salts"), parts("nr", BLOCK_REFS).alias("slices"))
+        dealt = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        q = q.join(sizes, ["batch", *block]).withColumn("salt", dealt("id", "salts")).withColumn("slice", each("slices")).drop("salts", "slices")
+        r = r.join(sizes, ["batch", *block]).withColumn("slice", dealt("ref", "slices")).withColumn("salt", each("salts")).drop("salts", "slices")
+        r = r.toDF(*r.columns)  # columns of its own, where references and queries are one table
+        met = q.groupBy(*key).cogroup(r.groupBy(*key)).applyInPandas(_near(width, k, keep_self), NEAR)
         seen = Observation()
-        met = met.observe(seen, F.count("*").alias("pairs"))
+        met = met.observe(seen, F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).filter("pairs IS NULL")
         d = F.round(F.sqrt(sum((F.col(c) - F.col(f"r{c}")) ** 2 for c in columns)), 9)
-        place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("d", "ref"))
-        few = met.withColumn("d", d).withColumn("n", place("batch", "id", "salt")).filter(F.col("n") <= k)
-        found = few.withColumn("place", place("batch", "id").cast("long")).filter(F.col("place") <= k).select("batch", "id", "place", "ref", "d").checkpoint()
+        place = F.row_number().over(Window.partitionBy("batch", "id").orderBy("d", "ref"))
+        found = met.withColumn("d", d).withColumn("place", place.cast("long")).filter(F.col("place") <= k).select("batch", "id", "place", "ref", "d").checkpoint()
         if compared is not None:
             compared.append(seen.get["pairs"])
         if last:

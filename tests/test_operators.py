@@ -393,3 +393,22 @@ def test_a_stream_reports_its_progress(spark, tmp_path):
         assert log.rows == 40 and log.snapshots == sorted(log.snapshots)
     finally:
         spark.streams.removeListener(log)
+
+
+def test_nearest_shuffles_no_pairs(spark, monkeypatch):
+    """Copies at one place, blocks dealt over salts and slices, and pairs in several rounds of one task."""
+    monkeypatch.setattr(joins, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(joins, "BLOCK_REFS", 30)
+    monkeypatch.setattr(joins, "BLOCK_PAIRS", 500)
+    r = np.random.default_rng(12)
+    xyz = np.concatenate([r.normal(size=(150, 3)), np.full((100, 3), 0.25), r.normal(0, 1e-3, (50, 3))])
+    p = spark.createDataFrame([(k, 0, *map(float, x)) for k, x in enumerate(xyz)] + [(900, 0, None, 0.0, 0.0)], "id long, batch long, x double, y double, z double")
+    for keep_self in (True, False):
+        compared = []
+        got = {(g.id, g.place): g.ref for g in joins.nearest(p, p, 3, keep_self, compared).collect()}
+        want = {}
+        for k, x in enumerate(xyz):
+            d = np.sqrt(((xyz - x) ** 2).sum(1)).round(9)
+            near = [j for j in np.lexsort((np.arange(len(xyz)), d)) if keep_self or j != k][:3]
+            want |= {(k, n): j for n, j in enumerate(near, 1)}
+        assert got == want and sum(compared) < 0.5 * len(xyz) ** 2  # of all copies of a place four are met
