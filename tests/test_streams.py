@@ -275,3 +275,19 @@ def test_event_files_are_made_as_their_rows_pass():
     sizes = {name: len(content) for name, content in made}
     assert list(sizes) == [f"run_{k}/e" for k in range(1, 5)]
     assert {name: len(content) for name, content in records.encoded("run_%d/e", 0.5)(batches())}["run_4/e"] == sizes["run_4/e"] // 2
+
+
+def test_shards_leave_as_their_scenes_pass():
+    """The writer holds one shard: it leaves while the next batches have not been taken."""
+    import pandas as pd
+
+    taken = []
+
+    def batches():
+        for k in range(3):
+            taken.append(k)
+            yield pd.DataFrame({"source": 1, "scene": [2 * k, 2 * k + 1], "title": "t", "segment": "s", "n": 0, "shard": [k, k + 1]})
+
+    made = packed(batches())
+    assert next(made)[0] == "source_1/shard_00000.tar" and taken == [0]
+    assert [name[-9:] for name, _ in made] == ["00000.idx", *(f"{k:05d}.{e}" for k in (1, 2, 3) for e in ("tar", "idx"))]
