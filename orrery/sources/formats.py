@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.ordering import top_k
 from ..operators.quantiles import ranked
 from ..registry import query, r6
-from .files import as_rows, listed, publish, read_arrays, read_tars, scratch, write_files
+from .files import LISTED, as_rows, dealt, listed, opened, publish, read_arrays, read_tars, scratch, write_files
 from .views import METRICS, SCALARS, TRACK_OBS, metrics, points, scalars, table, track_obs
 
 
@@ -181,16 +181,51 @@ def shard_files(spark, sf_dir) -> DataFrame:
     return shard_scenes(spark, sf_dir).mapInPandas(as_rows(packed), "name string, content binary")
 
 
+def inventories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of the inventories at ``path``, line by line; one that does not hold what it says ends with a row that is ``wrong``."""
+    names = ["shard", "ext", "offset", "size", "name", "wrong"]
+    out = []
+    for batch in batches:
+        for shard in batch["path"]:
+            said, n, wrong = None, 0, False
+            with opened(shard) as raw, io.TextIOWrapper(io.BufferedReader(raw), "utf-8", "replace") as lines:
+                for line in lines:
+                    w = line.rstrip("\n").split(" ")
+                    try:
+                        if len(w) == 4:
+                            out.append((shard, w[0], int(w[1]), int(w[2]), w[3], False))
+                            n += 1
+                        elif len(w) == 2 and w[0] == "v1.2" and said is None:
+                            said = int(w[1])
+                        else:
+                            wrong = True
+                    except ValueError:
+                        wrong = True
+                    if len(out) >= LISTED:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+            if wrong or said != n:
+                out.append((shard, "", 0, 0, "", True))
+    yield pd.DataFrame(out, columns=names)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """``shard, ext, offset, size, name`` of shard inventories; a count other than the header's is an error."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.idx").text(path).select(F.col("_metadata.file_path").alias("shard"), F.split("value", " ").alias("w"))
-    head = lines.filter((F.size("w") == 2) & (F.col("w")[0] == "v1.2")).select("shard", F.col("w")[1].cast("long").alias("said"))
-    rows = lines.filter(F.size("w") == 4).select("shard", F.col("w")[0].alias("ext"), F.col("w")[1].cast("long").alias("offset"), F.col("w")[2].cast("long").alias("size"), F.col("w")[3].alias("name"))
-    counts = lines.groupBy("shard").agg((F.count("*") - 1).alias("lines"))
-    wrong = counts.join(head, "shard", "left").join(rows.groupBy("shard").agg(F.count("*").alias("n")), "shard", "left").filter(~(F.col("said").eqNullSafe(F.col("n")) & (F.col("n") == F.col("lines"))))
-    if bad := wrong.limit(3).collect():
+    """``shard, ext, offset, size, name`` of shard inventories; a count other than the header's is an error, and so is an empty inventory.
+
+    Tasks read many small inventories one after the other, each once, and check them as they read; what they find is written, so that no later look opens them again.
+    """
+    found, files = scratch(spark, "inventories"), dealt(listed(spark, path, "*.idx").select("path", "length"))
+    schema = "shard string, ext string, offset long, size long, name string, wrong boolean"
+    files.mapInPandas(inventories, schema).write.parquet(found)
+    rows = spark.read.schema(schema).parquet(found)
+    if bad := rows.filter("wrong").select("shard").limit(3).collect():
         raise ValueError(f"inventories that do not hold what they say: {[r['shard'] for r in bad]}")
-    return rows
+    return rows.drop("wrong")
+
+
+def shard_name(path: str, kind: str) -> Column:
+    """A shard's folder and name without its kind; a search of the whole path would try each of its letters."""
+    return F.regexp_extract(F.substring_index(path, "/", -2), rf"^(.+)\.{kind}$", 1)
 
 
 @query("""WITH n AS (SELECT c_nationkey AS source, c_custkey AS scene, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 8 AS shard, c_name, c_mktsegment FROM customer),
@@ -199,7 +234,7 @@ SELECT format('source_{}/shard_{:05d}', source, shard) AS shard, ext, 'scene_' |
 def src_shard_index(spark, sf_dir):
     path = scratch(spark, "shards")
     write_files(shard_scenes(spark, sf_dir), path, packed)
-    return read_index(spark, path).select(F.regexp_extract("shard", r"([^/]+/[^/]+)\.idx$", 1).alias("shard"), "ext", "name", "size")
+    return read_index(spark, path).select(shard_name("shard", "idx").alias("shard"), "ext", "name", "size")
 
 
 @query("""WITH n AS (SELECT c_nationkey AS source, c_custkey AS scene, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k, c_name, c_mktsegment FROM customer)
@@ -208,9 +243,8 @@ def sink_tar_shards(spark, sf_dir):
     """Scenes written as TAR shards and streamed back from the shards that have an inventory."""
     path = scratch(spark, "shards")
     write_files(shard_scenes(spark, sf_dir), path, packed)
-    name = lambda c, kind: F.regexp_extract(c, rf"([^/]+/[^/]+)\.{kind}$", 1)
-    whole = listed(spark, path, "*.idx").select(name("path", "idx").alias("shard"))
-    members = read_tars(spark, path).withColumn("shard", name("shard", "tar")).join(whole, "shard", "left_semi")
+    whole = listed(spark, path, "*.idx").select(shard_name("path", "idx").alias("shard"))
+    members = read_tars(spark, path).withColumn("shard", shard_name("shard", "tar")).join(whole, "shard", "left_semi")
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("content").cast("string")))
     rows = members.groupBy("shard", "scene").agg(F.get_json_object(of("json"), "$.title").alias("title"), of("txt").alias("segment"))
     return rows.withColumn("scene", F.expr("substring(scene, 7)").cast("long"))

@@ -332,6 +332,24 @@ def test_inventories_must_hold_what_they_say(spark, tmp_path):
             formats.read_index(spark, str(tmp_path))
 
 
+def test_inventories_are_read_once_and_many_to_a_task(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"source_{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"source_{k % 3}" / f"shard_{k:05d}.idx").write_text(f"v1.2 1\njson 512 {k} s_{k}/meta.json")
+    rows = formats.read_index(spark, str(tmp_path))
+    for f in tmp_path.rglob("*.idx"):
+        f.unlink()  # what was found is written: no later look opens them
+    assert rows.rdd.getNumPartitions() <= 8
+    assert sorted((r.shard[-24:], r.size) for r in rows.collect()) == sorted((f"source_{k % 3}/shard_{k:05d}.idx", k) for k in range(300))
+
+
+@pytest.mark.parametrize("text", ["", "v1.2 x\njson 512 3 s/meta.json", "v1.2 1\njson at 3 s/meta.json", "v1.2 1\nv1.2 1\njson 512 3 s/meta.json"])
+def test_inventories_without_a_count_or_a_place_are_refused(spark, tmp_path, text):
+    (tmp_path / "a.idx").write_text(text)
+    with pytest.raises(ValueError, match="inventories"):
+        formats.read_index(spark, str(tmp_path))
+
+
 def test_byte_stores_with_gaps_are_not_complete(spark, tmp_path):
     rows = spark.createDataFrame([(s, k, bytearray([65 + k] * (k + 1))) for s in "pq" for k in range(4)], "store string, frame long, data binary")
     offsets = ranges.byte_store(rows, str(tmp_path), frames=3)
