@@ -23,7 +23,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -47,42 +47,74 @@ pack_ids = struct.Struct("<I").pack
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: Words that need no Unicode normalisation and no contextual lower-casing.
+#: Words that need no Unicode normalisation and no contextual lower-casing; what is in no text of such words.
 PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+").fullmatch
+OTHER = re.compile(r"[^\n\x20-\x7e\xa1-\xff]").search
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPLIT = regex.compile(PATTERN).findall
+#: After letters, at the end of a word, each is a pre-token of its own.
+CLOSING = frozenset(",.;:!?)")
+
+
+class Lasting(Remembered):
+    """``Remembered`` that keeps the last ``room`` words when it is full, beside the next: frequent words stay."""
+
+    def __init__(self, make: Callable[[str], bytes], room: int):
+        super().__init__(make, room)
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        made = self.old.get(word)
+        if made is None:
+            made = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.room:
+                self.old = dict(self)
+                self.clear()
+            self[word] = made
+        return made
 
 
 class Words:
     """Ids of a text by the tokenizer, one word at a time and each new word once.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are
-    those of its words. Of a new word that is plain Latin-1 only the lower-cased
-    pre-tokens that are new go through the merges; any other word goes through all
-    of the tokenizer.
+    those of its words. A text of plain Latin-1 is lower-cased whole, and of a new word only
+    the pre-tokens that are new go through the merges. So do those of a plain word in any other
+    text, whose other words go through all of the tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.parts = Remembered(self.word, REMEMBERED), Remembered(self.part, REMEMBERED)
+        self.known, self.lowered, self.parts = (Lasting(f, REMEMBERED) for f in (self.word, self.low, self.part))
         self.merge = self.tokenizer.model.tokenize
         shown = byte_letters()
         self.letters = str.maketrans({chr(b): shown[b] for b in range(256)})
         self.plain = json.dumps(PATTERN)[1:-1] in self.tokenizer.to_str()
 
     def part(self, part: str) -> bytes:
-        tokens = self.merge(part.encode().decode("latin-1").translate(self.letters))
+        """Of a lower-cased pre-token; plain ASCII is printed as it is."""
+        tokens = self.merge(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))
         return b"".join([pack_ids(t.id) for t in tokens])
 
+    def low(self, word: str) -> bytes:
+        """Of a plain word in lower case."""
+        if word.isalpha():
+            return self.part(word)
+        if word[-1] in CLOSING and (head := word[:-1]).isalpha():
+            return self.lowered[head] + self.parts[word[-1]]
+        return b"".join(map(self.parts.__getitem__, SPLIT(word)))
+
     def word(self, word: str) -> bytes:
         if not word:
             return b""
         if not self.plain or "<|" in word or not PLAIN(word):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        word = word.lower()
-        return b"".join(map(self.parts.__getitem__, (word,) if word.isalpha() else SPLIT(word)))
+        return self.lowered[word.lower()]
 
     def ids(self, text: str) -> bytes:
+        if self.plain and "<|" not in text and not OTHER(text):
+            return b"".join(map(self.lowered.__getitem__, text.lower().split()))
         return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 

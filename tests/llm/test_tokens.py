@@ -172,6 +172,29 @@ def test_long_words_are_not_kept():
         assert "short" in known and max(map(len, known)) <= known.longest
 
 
+def test_frequent_words_outlive_a_full_room():
+    """Each new word is worked out once, and a word that keeps coming stays when others have filled the room."""
+    made = []
+    known = packing.Lasting(lambda word: made.append(word) or word.encode(), 4)
+    for k in range(20):
+        assert known["often"] == b"often" and known[f"w{k}"] == b"w%d" % k
+    assert made.count("often") == 1 and len(known) <= 4 and len(known.old) <= 4
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abeE'tslvm \n09.,;:!?)(-éÉßµ×ª\xad", max_size=60))
+def test_word_ids_of_plain_text(tokenizer, text):
+    made = packing.words(WORDS)
+    assert np.frombuffer(made.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_plain_text_goes_through_no_word_check(monkeypatch):
+    made = packing.Words(WORDS)
+    monkeypatch.setattr(packing, "PLAIN", None)
+    assert made.ids("Some Words, some words.\nÉté.") == made.ids("some words, Some words. été.")
+    assert {"some", "words", "words,", "été"} <= set(made.lowered) and not made.known
+
+
 def test_many_pieces_of_one_length(spark):
     docs = spark.range(2000).selectExpr("id doc_id", "'same words here' text", "1 piece", "2 salt")
     got = packing.pack(docs, WORDS, rows_per_salt=100).collect()
