@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, r6
+from ..sources.checkpoints import ready
 from .quantiles import exact_quantiles, grain_summary, looked_up, ranked, running_counts, summarised
 from ..sources.views import (
     FOLLOWED, METRICS, POINTS, RESIDUAL, SCALARS, TRACK_OBS, followed, hashed, hashed_sql, metrics, points, residual, scalars, table, track_obs,
@@ -128,9 +129,11 @@ def spearman(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Rank correlation of finite pairs with average ranks; groups of fewer than three pairs are left out.
 
     Ranks come from counts of distinct values, summed in ranges, and meet distinct pairs in
-    salted groups: a value that a third of the pairs have is one row of counts.
+    salted groups: a value that a third of the pairs have is one row of counts. Distinct pairs
+    are counted and written once, so that the input is read once.
     """
-    ok = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).groupBy(key, x, y).agg(F.count("*").alias("n"))
+    ready(rows.sparkSession)
+    ok = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).groupBy(key, x, y).agg(F.count("*").alias("n")).checkpoint()
 
     def ranks(c: str) -> DataFrame:
         upto = running_counts(ok.groupBy(key, c).agg(F.sum("n").alias("n")), [key], c, "upto")

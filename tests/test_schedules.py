@@ -149,6 +149,32 @@ def test_p_values(spark):
     assert got[0.5, 10] == pytest.approx(0.1411, abs=5e-5)
 
 
+def test_p_values_of_many_tracks_take_steps_together(spark):
+    """A batch of 20,000 rows is a few array operations a step, and the fraction stops when it has settled."""
+    import time
+
+    rng = np.random.default_rng(3)
+    free, rho = rng.integers(1, 500, 20_000).astype(float), rng.uniform(-1, 1, 20_000)
+    began = time.process_time()
+    got = student.settled_fraction(free / 2, np.full(len(free), 0.5), 1 - rho * rho)
+    assert time.process_time() - began < 5 and len(got) == 20_000
+    missing = student.settled_fraction(np.array([1.0, np.nan]), np.array([0.5, 0.5]), np.array([0.25, 0.25]))
+    assert np.isnan(missing[1]) and missing[0] == student.settled_fraction(np.array([1.0]), np.array([0.5]), np.array([0.25]))[0]
+
+
+def test_spearman_reads_its_input_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    rows = spark.range(40).selectExpr("id % 2 g", "double(id * 7 % 40) a", "double(id * 3 % 40) b").mapInPandas(counted, "g long, a double, b double")
+    assert student.spearman_test(rows, "g", "a", "b").count() == 3
+    assert reads.value == 80  # once by key, once for the whole
+
+
 def test_spearman_of_keys_and_of_all(spark):
     r = np.random.default_rng(1)
     pdf = pd.DataFrame({"g": r.integers(0, 2, 200), "a": r.normal(size=200), "b": r.normal(size=200)})
