@@ -301,6 +301,70 @@ def test_an_id_that_repeats_multiplies_nothing(spark, rand, monkeypatch):
     assert jaccard.drop_near_copies(df).count() == 201
 
 
+def moved(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jvm = context._jvm
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def large_texts(spark, r):
+    """Rows of 50 KB of text and 50 KB beside it, of which three are near copies; no two others are alike."""
+    long = lambda n, k: " ".join("%0*x" % (k, r.getrandbits(4 * k)) for _ in range(n))
+    texts = [long(50, 1000) for _ in range(97)]
+    texts += [f"{texts[k]} {word}" for k, word in ((3, "one"), (3, "two"), (8, "three"))]
+    return spark.createDataFrame([(k, t, long(1, 50_000)) for k, t in enumerate(texts)], "doc_id long, text string, other string").repartition(4).localCheckpoint()
+
+
+def test_texts_that_no_family_wants_do_not_travel(spark, rand):
+    docs = large_texts(spark, rand(21))
+    before = moved(spark)
+    assert components_of(jaccard.jaccard_components(docs)) == brute_components(docs.collect())
+    assert moved(spark) - before < 1_000_000
+
+
+def test_pairs_that_meet_too_seldom_are_dropped_before_their_bitmaps_travel(spark, rand, monkeypatch):
+    """In a large corpus the counters are all about as full: what is rare is chance."""
+    import numpy as np
+
+    r = rand(22)
+    monkeypatch.setattr(jaccard, "frequencies", lambda signed: np.ones(jaccard.COUNTERS, np.int64))
+    phrases = [prose(r, 5).replace("\n", " ") for _ in range(60)]
+    texts = [" ".join(f"{p} {prose(r, 60)}" for p in r.sample(phrases, 4)) for _ in range(200)]
+    texts += [f"{t} more" for t in texts[:30]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    joined = []
+    real = type(df).join
+
+    def join(self, other, *more):
+        out = real(self, other, *more)
+        if "bits_v" in out.columns:
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(df), "join", join)
+    assert components_of(jaccard.jaccard_components(df)) == brute_components(df.collect())
+    assert 30 <= joined[0] <= 100
+
+
+def test_any_two_similar_sets_share_as_many_of_their_rarest(rand):
+    import numpy as np
+
+    r = rand(23)
+    for percent in (1, 30, 80, 97, 100):
+        counts = np.array([r.randint(1, 9) for _ in range(1 << 20)])
+        for _ in range(300):
+            a = {r.getrandbits(64) for _ in range(r.choice((1, 2, 5, 49, 50, 120, 400)))}
+            gone = set(r.sample(sorted(a), int(r.random() * (1 - percent / 100) * len(a))))
+            b = (a - gone) | {r.getrandbits(64) for _ in range(r.randint(0, 2 + len(a) // 6))}
+            if not b or 100 * len(a & b) < percent * len(a | b):
+                continue
+            rare = [set(jaccard.rare_first(np.array(sorted(x), np.uint64), counts, percent)[0].tolist()) for x in (a, b)]
+            assert len(rare[0] & rare[1]) >= jaccard.least_shared(min(len(a), len(b)), percent) >= 1
+
+
 def test_without_a_least_span_no_later_copy_of_a_line_stays(spark):
     """Lines of any length: with spans of one word on, every line that is left is the first of its kind."""
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
