@@ -365,6 +365,14 @@ def test_any_two_similar_sets_share_as_many_of_their_rarest(rand):
             assert len(rare[0] & rare[1]) >= jaccard.least_shared(min(len(a), len(b)), percent) >= 1
 
 
+def test_rows_that_stay_do_not_travel(spark, rand):
+    docs = large_texts(spark, rand(24))
+    before = moved(spark)
+    kept = jaccard.drop_near_copies(docs).collect()
+    assert sorted(kept) == sorted(docs.filter("doc_id < 97").collect())
+    assert moved(spark) - before < 1_000_000
+
+
 def test_without_a_least_span_no_later_copy_of_a_line_stays(spark):
     """Lines of any length: with spans of one word on, every line that is left is the first of its kind."""
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
